@@ -1,0 +1,135 @@
+"""Idempotent, all-or-nothing batch commits on plain parquet folders.
+
+A batch writes each table into its own ``batch_id=N`` folder and, as the very
+last step, one commit marker that also carries the stream's cursor. Readers only
+see folders of committed batches. Running a batch again replaces its folders
+and gives the same result; a batch that died half-way is invisible.
+"""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..schemas import WriteRule
+from ..operators.upsert import latest
+
+COMMITS = "_commits"
+COMMIT_SCHEMA = T.StructType(
+    [
+        T.StructField("stream_id", T.StringType()),
+        T.StructField("chain_id", T.LongType()),
+        T.StructField("last_indexed_block", T.LongType()),
+        T.StructField("last_block_hash", T.StringType()),
+        T.StructField("updated_at", T.TimestampType()),
+        T.StructField("batch_id", T.LongType()),
+    ]
+)
+
+
+def _folder(root: str, table: str, stream_id: str, batch_id: int) -> str:
+    return f"{root}/{table}/stream={stream_id}/batch_id={batch_id}"
+
+
+def commit_batch(
+    root: str, stream_id: str, batch_id: int, frames: dict[str, DataFrame], cursor: DataFrame | None = None
+) -> None:
+    """Write all frames of a batch, then its commit marker.
+
+    ``cursor`` is a one-row table (chain_id, last_indexed_block,
+    last_block_hash); a cursor without stream id or with block 0 is not kept.
+    """
+    spark = next(iter(frames.values())).sparkSession
+    for table, frame in frames.items():
+        frame.write.mode("overwrite").parquet(_folder(root, table, stream_id, batch_id))
+    if cursor is None or not stream_id:
+        marker = spark.range(1).select(
+            F.lit(None).cast("long").alias("chain_id"),
+            F.lit(None).cast("long").alias("last_indexed_block"),
+            F.lit(None).cast("string").alias("last_block_hash"),
+        )
+    else:
+        block = F.col("last_indexed_block")
+        marker = cursor.select(
+            F.when(block > 0, F.col("chain_id")).alias("chain_id"),
+            F.when(block > 0, block).alias("last_indexed_block"),
+            F.when(block > 0, F.col("last_block_hash")).alias("last_block_hash"),
+        )
+    (
+        marker.withColumn("updated_at", F.current_timestamp())
+        .coalesce(1)  # one row by construction
+        .write.mode("overwrite")
+        .parquet(_folder(root, COMMITS, stream_id, batch_id))
+    )
+
+
+def commits(spark: SparkSession, root: str) -> DataFrame:
+    """Commit markers; empty before the first commit."""
+    schema = T.StructType([f for f in COMMIT_SCHEMA if f.name not in ("stream_id", "batch_id")])
+    schema = schema.add("stream", T.StringType()).add("batch_id", T.LongType())
+    try:
+        found = spark.read.schema(schema).parquet(f"{root}/{COMMITS}")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], COMMIT_SCHEMA)
+    return found.withColumnRenamed("stream", "stream_id")
+
+
+def is_committed(spark: SparkSession, root: str, stream_id: str, batch_id: int) -> bool:
+    done = commits(spark, root).filter(
+        (F.col("stream_id") == stream_id) & (F.col("batch_id") == batch_id)
+    )
+    return not done.isEmpty()
+
+
+def cursors(spark: SparkSession, root: str) -> DataFrame:
+    """Current cursor of each stream: the one of its newest commit that carries one."""
+    return (
+        commits(spark, root)
+        .filter(F.col("last_indexed_block").isNotNull())
+        .groupBy("chain_id", "stream_id")
+        .agg(F.max_by(F.struct("last_indexed_block", "last_block_hash", "updated_at"), "batch_id").alias("c"))
+        .select("chain_id", "stream_id", "c.*")
+    )
+
+
+def read_versions(spark: SparkSession, root: str, table: str, schema: T.StructType) -> DataFrame:
+    """All committed rows of a table, with ``stream`` and ``batch_id``.
+
+    The semi-join on the partition columns prunes uncommitted folders.
+    """
+    full = T.StructType(list(schema.fields))
+    full = full.add("stream", T.StringType()).add("batch_id", T.LongType())
+    rows = spark.read.schema(full).parquet(f"{root}/{table}")
+    done = commits(spark, root).select(F.col("stream_id").alias("stream"), "batch_id")
+    return rows.join(done, ["stream", "batch_id"], "left_semi")
+
+
+def read_current(
+    spark: SparkSession, root: str, table: str, schema: T.StructType, rule: WriteRule, order
+) -> DataFrame:
+    """Current rows of a table: committed versions folded by the table's rule."""
+    return latest(read_versions(spark, root, table, schema), rule, ["batch_id", *order])
+
+
+def compact(
+    spark: SparkSession, root: str, target: str, table: str, schema: T.StructType, rule: WriteRule, order,
+    buckets: int | None = None,
+) -> None:
+    """Fold all committed versions into a new folder set at ``target``.
+
+    Readers switch to ``target`` when the job is done; the versions stay.
+    """
+    folded = read_current(spark, root, table, schema, rule, order)
+    keys = [F.col(k) for k in rule.keys]
+    placed = folded.repartition(buckets, *keys) if buckets else folded
+    placed.write.mode("overwrite").parquet(target)
+
+
+def union_all(frames: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames)
