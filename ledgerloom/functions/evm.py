@@ -44,13 +44,13 @@ def data_word(data, index: int) -> Column:
     """The i-th 32-byte word of hex ``data``; NULL where it is short or not hex."""
     d = _c(data)
     start = 3 + 64 * index
-    word = F.lower(F.substring(d, start, 64))
+    word = F.substring(d, start, 64)
     return F.when((F.length(d) >= start + 63) & F.unhex(word).isNotNull(), word)
 
 
 def topic_word(topic) -> Column:
     """The hex digits of a 32-byte topic, NULL if it is none."""
-    word = F.lower(F.substring(_c(topic), 3, 64))
+    word = F.substring(_c(topic), 3, 64)
     return F.when((F.length(_c(topic)) == 66) & F.unhex(word).isNotNull(), word)
 
 

@@ -40,8 +40,8 @@ def _div(a: Column, b: Column) -> Column:
 
 
 def pack(hi: Column, mid: Column, lo: Column) -> Column:
-    return F.struct(
-        hi.cast(WIDE).alias("hi"), mid.cast(LIMB).alias("mid"), lo.cast(LIMB).alias("lo")
+    return F.named_struct(
+        F.lit("hi"), hi.cast(WIDE), F.lit("mid"), mid.cast(LIMB), F.lit("lo"), lo.cast(LIMB)
     )
 
 
@@ -95,62 +95,91 @@ def with_words(df: DataFrame, words: dict[str, Column]) -> DataFrame:
     The work is laid out in short projections (32-bit chunks, weighted limb
     sums, carries) instead of one expression: all of it stays in whole-stage
     generated code, with methods short enough for the JIT. Words below 2^96
-    (almost all real amounts) skip the parsing of their upper chunks.
+    (almost all real amounts) skip their upper chunks, and values below 10^26
+    skip the decimal division of the carry, which costs more than all the rest.
     """
-    plain = df.columns
-    zero_long = F.lit(0).cast("long")
+    plain = [c for c in df.columns if c not in words]
 
-    def name(out: str, part: str) -> str:
-        return f"_{part}_{out}"
+    def part(out: str, label: str) -> str:
+        return f"_{label}_{out}"
 
-    df = df.withColumns({name(out, "word"): word for out, word in words.items()})
+    df = df.withColumns({part(out, "word"): word for out, word in words.items()})
     chunks = {}
     for out in words:
-        word = F.col(name(out, "word"))
+        word = F.col(part(out, "word"))
         small = F.substring(word, 1, 40) == "0" * 40
+        chunks[part(out, "small")] = small
         for i in range(8):
             chunk = F.conv(F.substring(word, 57 - 8 * i, 8), 16, 10).cast("long")
-            chunks[name(out, f"c{i}")] = chunk if i < 3 else F.when(small, zero_long).otherwise(chunk)
+            chunks[part(out, f"c{i}")] = chunk if i < 3 else F.when(~small, chunk)
     df = df.withColumns(chunks)
 
     sums = {}
     for out in words:
+        pieces = [F.col(part(out, f"c{i}")).cast(T.DecimalType(10, 0)) for i in range(8)]
         for limb, label in enumerate(("lo", "mid", "hi")):
-            total_ = None
-            for i in range(8):
-                part = (2 ** (32 * i) // BASE**limb) % BASE
-                if part:
-                    piece = F.col(name(out, f"c{i}")).cast(T.DecimalType(10, 0))
-                    term = (piece * _const(part)).cast(WIDE)
-                    total_ = term if total_ is None else (total_ + term).cast(WIDE)
-            sums[name(out, label)] = total_
+            terms = [
+                (pieces[i] * _const(weight)).cast(WIDE)
+                for i in range(8)
+                if (weight := (2 ** (32 * i) // BASE**limb) % BASE)
+            ]
+            short = _add(terms[:3]) if limb == 0 else _wide(0)
+            sums[part(out, label)] = F.when(F.col(part(out, "small")), short).otherwise(_add(terms))
     df = df.withColumns(sums)
-    base = _wide(BASE)
-    df = df.withColumns(
-        {
-            name(out, "mid"): (
-                F.col(name(out, "mid")) + _div(F.col(name(out, "lo")), base).cast(WIDE)
-            ).cast(WIDE)
-            for out in words
-        }
-    )
+    for lower, upper in (("lo", "mid"), ("mid", "hi")):
+        df = df.withColumns(
+            {part(out, f"{lower}_carry"): _carry(F.col(part(out, lower))) for out in words}
+        ).withColumns(
+            {
+                part(out, upper): (F.col(part(out, upper)) + F.col(part(out, f"{lower}_carry"))).cast(WIDE)
+                for out in words
+            }
+        )
     done = []
     for out in words:
-        hi, mid, lo = (F.col(name(out, k)) for k in ("hi", "mid", "lo"))
-        value = pack(hi + _div(mid, base).cast(WIDE), mid % base, lo % base)
-        done.append(F.when(lo.isNotNull(), value).alias(out))
-    return df.select(*[c for c in plain if c not in words], *done)
+        hi, mid, lo = (F.col(part(out, k)) for k in ("hi", "mid", "lo"))
+        value = pack(
+            hi, _less(mid, F.col(part(out, "mid_carry"))), _less(lo, F.col(part(out, "lo_carry")))
+        )
+        done.append(F.when(F.col(part(out, "word")).isNotNull(), value).alias(out))
+    return df.select(*plain, *done)
+
+
+def _add(terms: list[Column]) -> Column:
+    out = terms[0]
+    for term in terms[1:]:
+        out = (out + term).cast(WIDE)
+    return out
+
+
+def _carry(limb: Column) -> Column:
+    """What a non-negative raw limb hands to the next one."""
+    carry = _div(limb, _wide(BASE)).cast(T.DecimalType(12, 0))
+    return F.when(limb < _const(BASE), _const(0).cast(T.DecimalType(12, 0))).otherwise(carry)
+
+
+def _less(limb: Column, carry: Column) -> Column:
+    return F.when(carry == 0, limb).otherwise((limb - (carry * _const(BASE)).cast(WIDE)).cast(WIDE))
 
 
 def normalise_parts(hi: Column, mid: Column, lo: Column) -> Column:
-    """Floor-normalise signed raw limbs: ``mid`` and ``lo`` end in [0, 10^26)."""
-    base = _wide(BASE)
+    """Floor-normalise signed raw limbs: ``mid`` and ``lo`` end in [0, 10^26).
+
+    Limbs already in range skip the decimal division.
+    """
     hi, mid, lo = hi.cast(WIDE), mid.cast(WIDE), lo.cast(WIDE)
-    lo_n = F.pmod(lo, base).cast(WIDE)
-    mid_t = (mid + _div(lo - lo_n, base).cast(WIDE)).cast(WIDE)
-    mid_n = F.pmod(mid_t, base).cast(WIDE)
-    hi_t = (hi + _div(mid_t - mid_n, base).cast(WIDE)).cast(WIDE)
-    return pack(hi_t, mid_n, lo_n)
+    lo_n, lo_carry = _floor_split(lo)
+    mid_t = (mid + lo_carry).cast(WIDE)
+    mid_n, mid_carry = _floor_split(mid_t)
+    return pack((hi + mid_carry).cast(WIDE), mid_n, lo_n)
+
+
+def _floor_split(limb: Column) -> tuple[Column, Column]:
+    base = _wide(BASE)
+    in_range = (limb >= 0) & (limb < _const(BASE))
+    rest = F.pmod(limb, base).cast(WIDE)
+    carry = _div((limb - rest).cast(WIDE), base).cast(WIDE)
+    return F.when(in_range, limb).otherwise(rest), F.when(in_range, _wide(0)).otherwise(carry)
 
 
 def add(a: Column, b: Column) -> Column:
@@ -171,12 +200,7 @@ def negate(a: Column) -> Column:
 
 def signed(a: Column, negative: Column) -> Column:
     """Raw (not normalised) limbs of ``a`` or ``-a``: cheap input for a sum."""
-    return F.struct(
-        *[
-            F.when(negative, -a[k]).otherwise(a[k]).cast(U256[k].dataType).alias(k)
-            for k in ("hi", "mid", "lo")
-        ]
-    )
+    return pack(*[F.when(negative, -a[k]).otherwise(a[k]) for k in ("hi", "mid", "lo")])
 
 
 def total(a: Column) -> Column:

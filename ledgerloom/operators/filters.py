@@ -108,10 +108,23 @@ def open_by_prefix(exceptions: DataFrame, prefix: str) -> DataFrame:
     ).orderBy("id")
 
 
+def escrow_key(escrow_id) -> str:
+    """32-byte word of an escrow id given as a number, decimal text or 0x hex text."""
+    text = str(escrow_id).strip().lower()
+    number = int(text, 16) if text.startswith("0x") else int(text)
+    if not 0 <= number < 1 << 256:
+        raise ValueError(f"escrow id {escrow_id!r} is not a uint256")
+    return format(number, "064x")
+
+
 def escrow_events_of(events: DataFrame, escrow_id) -> DataFrame:
     """All events of one escrow (hex or decimal id) in chain order."""
-    wanted = evm.parse_u256(F.lit(str(escrow_id)))
-    return events.filter(F.col("escrow_id") == wanted).orderBy("block_number", "log_index", "tx_hash")
+    word = escrow_key(escrow_id)
+    if "escrow_key" in events.columns:
+        mine = F.col("escrow_key") == word
+    else:
+        mine = F.col("escrow_id") == evm.parse_u256(F.lit("0x" + word))
+    return events.filter(mine).orderBy("block_number", "log_index", "tx_hash")
 
 
 def event_at(events: DataFrame, tx_hash: str, log_index: int) -> DataFrame:

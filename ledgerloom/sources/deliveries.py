@@ -14,13 +14,15 @@ def parse_deliveries(text: DataFrame, column: str = "value") -> DataFrame:
     Use :func:`rejected_deliveries` to see those.
     """
     body = text.select(F.from_json(F.col(column), DELIVERY).alias("d"))
+    # the outer form, filtered afterwards: a condition on the array itself would
+    # be pushed below the parser and parse every document twice
     return (
-        body.filter(F.col("d").isNotNull())
-        .select(
+        body.select(
             F.col("d.createdAt").alias("created_at"),
             F.col("d.event.data.block.number").alias("block_number_fallback"),
-            F.explode("d.event.data.block.logs").alias("log"),
+            F.explode_outer("d.event.data.block.logs").alias("log"),
         )
+        .filter(F.col("log").isNotNull())
         .select(
             F.col("log.transactionHash").alias("tx_hash"),
             F.coalesce("log.logIndex", F.lit(0)).alias("log_index"),
