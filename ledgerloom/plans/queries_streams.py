@@ -1,5 +1,227 @@
-"""Queries."""
+"""Streams drained with AvailableNow; the final tables are compared.
 
+Inputs are files that Spark derives from the given tables, in a fresh folder of
+the shared scratch space.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .. import schemas
+from ..functions import u256
+from ..operators import decode
+from ..operators.upsert import latest
+from ..session import scratch_path
+from ..sources import batches
+from ..sources.deliveries import parse_deliveries, read_deliveries
+from ..streaming import jobs
+from . import sql, views
 from .book import Book
+from .queries_payroll import EMPLOYEE_COLUMNS, STAFF, _employees_out
 
 BOOK = Book()
+
+
+def _files(df, path: str, n: int, order: str):
+    """Write ``df`` as n files, cut by range of ``order``."""
+    df.repartitionByRange(n, order).write.mode("append").parquet(path)
+
+
+def _stream(spark, schema, path: str, per_trigger: int):
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
+
+
+def _no_null_flags(schema):
+    """File sources may hold NULL anywhere."""
+    from pyspark.sql.types import StructType
+
+    return StructType.fromJson(schema.jsonValue())
+
+
+@BOOK.add("stream_transfers", sql.cte(sql.TRANSFERS) + """
+SELECT token, tx_hash, log_index, from_address, to_address, CAST(amount AS VARCHAR) AS amount,
+       block_number, removed FROM transfers""")
+def stream_transfers(spark, sf_dir):
+    """Raw token logs in six files, three micro-batches, folded by key."""
+    root = scratch_path(spark, "stream")
+    logs = views.transfer_logs(spark, sf_dir).withColumn(
+        "block_timestamp", F.col("arrival")["l_shipdate"].cast("timestamp")
+    )
+    _files(logs, f"{root}/in", 6, "block_number")
+    source = _stream(spark, logs.schema, f"{root}/in", 2)
+    spec = jobs.StreamSpec("erc20_transfers", source, jobs.transfer_tables)
+    jobs.start(spec, f"{root}/out", f"{root}/cp").awaitTermination()
+    schema = decode.decode_transfers(logs).schema
+    versions = batches.read_versions(spark, f"{root}/out", "token_transfers", schema)
+    # files may be picked up in any order; the arrival column has the last word
+    return latest(versions, schemas.RULES["token_transfers"], ["arrival"]).select(
+        "token", "tx_hash", "log_index", "from_address", "to_address",
+        u256.to_string(F.col("amount")).alias("amount"), "block_number", "removed",
+    )
+
+
+@BOOK.add("stream_cursors", "SELECT 'erc20_transfers' AS stream_id, max(CAST(11000000 + "
+          + sql.days("l_shipdate") + " AS BIGINT)) AS last_indexed_block FROM lineitem")
+def stream_cursors(spark, sf_dir):
+    """The cursor committed with the last micro-batch of a single-batch run."""
+    root = scratch_path(spark, "stream")
+    logs = views.transfer_logs(spark, sf_dir)
+    _files(logs, f"{root}/in", 2, "block_number")
+    spec = jobs.StreamSpec("erc20_transfers", _stream(spark, logs.schema, f"{root}/in", 100), jobs.transfer_tables)
+    jobs.start(spec, f"{root}/out", f"{root}/cp").awaitTermination()
+    return batches.cursors(spark, f"{root}/out").select("stream_id", "last_indexed_block")
+
+
+@BOOK.add("stream_escrow", sql.cte(sql.ESCROW_DECODED) + """
+SELECT event_type, escrow_id, amount, raw_data, tx_hash, log_index, block_number, removed FROM escrow_decoded""")
+def stream_escrow(spark, sf_dir):
+    """The same events pulled as logs and pushed as webhooks, by two isolated streams."""
+    root = scratch_path(spark, "stream")
+    logs = views.escrow_logs(spark, sf_dir)
+    _files(logs, f"{root}/pull", 3, "block_number")
+    views.webhook_text(spark, sf_dir).repartition(3).write.text(f"{root}/push")
+    pulled = decode.decode_escrow(_stream(spark, logs.schema, f"{root}/pull", 1)).withColumn(
+        "block_timestamp", F.col("created_at")
+    ).drop("created_at")
+    pushed = decode.deliveries_to_escrow_events(
+        read_deliveries(spark, f"{root}/push", streaming=True), views.ESCROW_CONTRACT, views.CHAIN
+    )
+    outcome = jobs.run_available(
+        [
+            jobs.StreamSpec("escrow_pull", pulled, jobs.escrow_tables),
+            jobs.StreamSpec("escrow_push", pushed, jobs.escrow_tables),
+        ],
+        f"{root}/out", f"{root}/cp",
+    )
+    failed = {k: v for k, v in outcome.items() if v}
+    if failed:
+        raise RuntimeError(f"streams failed: {failed}")
+    shape = decode.decode_escrow(logs).withColumns(
+        {"raw_data": decode.escrow_json(), "block_timestamp": F.col("created_at")}
+    ).drop("raw")
+    versions = batches.read_versions(spark, f"{root}/out", "escrow_events", shape.schema)
+    return latest(versions, schemas.RULES["escrow_events"], ["batch_id", "stream"]).select(
+        "event_type", u256.to_string(F.col("escrow_id")).alias("escrow_id"),
+        u256.to_string(F.col("amount")).alias("amount"), "raw_data", "tx_hash", "log_index",
+        "block_number", "removed",
+    )
+
+
+DAY = "CAST(CAST(ts AS DATE) AS VARCHAR)"
+STREAMED = STAFF.replace("FROM events)", f"FROM events WHERE {DAY} <> '2024-01-13')")
+
+
+def _payroll_input(spark, sf_dir, root):
+    """Daily logs; 2024-01-11 is sent twice, 2024-01-13 again with removed = true."""
+    logs = views.payroll_logs(spark, sf_dir)
+    day = F.to_date("block_timestamp")
+    _files(logs, f"{root}/in", 8, "block_timestamp")
+    again = logs.filter(day == "2024-01-11")
+    taken_back = logs.filter(day == "2024-01-13").withColumn("removed", F.lit(True))
+    again.unionByName(taken_back).repartition(2).write.mode("append").parquet(f"{root}/in")
+    return logs.schema
+
+
+@BOOK.add("stream_employees", sql.cte(STREAMED) + f"SELECT {EMPLOYEE_COLUMNS} FROM employees")
+def stream_employees(spark, sf_dir):
+    root = scratch_path(spark, "stream")
+    schema = _payroll_input(spark, sf_dir, root)
+    spec = jobs.StreamSpec("monthly_payroll", _stream(spark, schema, f"{root}/in", 3), jobs.payroll_tables)
+    jobs.start(spec, f"{root}/out", f"{root}/cp").awaitTermination()
+    ledger_schema = decode.decode_payroll(views.payroll_logs(spark, sf_dir)).schema
+    return _employees_out(jobs.current_employees(spark, f"{root}/out", ledger_schema))
+
+
+@BOOK.add("stream_employees_touched", sql.cte(STREAMED) + f"""
+SELECT {EMPLOYEE_COLUMNS} FROM employees WHERE wallet IN
+  (SELECT employee FROM payroll WHERE event_name = 'EmployeeRemoved')""")
+def stream_employees_touched(spark, sf_dir):
+    """Refold of the wallets a batch touched, here every removed employee."""
+    root = scratch_path(spark, "stream")
+    schema = _payroll_input(spark, sf_dir, root)
+    spec = jobs.StreamSpec("monthly_payroll", _stream(spark, schema, f"{root}/in", 100), jobs.payroll_tables)
+    jobs.start(spec, f"{root}/out", f"{root}/cp").awaitTermination()
+    decoded = decode.decode_payroll(views.payroll_logs(spark, sf_dir))
+    live = jobs.live_ledger(spark, f"{root}/out", decoded.schema)
+    touched = live.filter(F.col("event_name") == "EmployeeRemoved")
+    return _employees_out(jobs.current_employees(spark, f"{root}/out", decoded.schema, touched))
+
+
+@BOOK.add("stream_dedup", sql.cte(sql.ESCROW) + """
+SELECT tx_hash, log_index, removed FROM escrow UNION
+SELECT tx_hash, log_index, true FROM escrow WHERE escrow_number % 3 = 0""")
+def stream_dedup(spark, sf_dir):
+    """Deliveries sent twice, and a third of them once more as removed, which passes."""
+    root = scratch_path(spark, "stream")
+    text = views.webhook_text(spark, sf_dir)
+    parsed = parse_deliveries(text)
+    number = F.conv(F.right(F.element_at("topics", 2), F.lit(15)), 16, 10).cast("long")
+    gone = parsed.filter(number % 3 == 0).withColumn("removed", F.lit(True))
+    rows = parsed.unionByName(parsed).unionByName(gone).select(
+        F.lit(views.CHAIN).cast("long").alias("chain_id"),
+        F.coalesce(F.nullif("address", F.lit("")), "account_address").alias("contract_address"),
+        "tx_hash", "log_index", "removed", F.col("created_at").alias("block_timestamp"),
+    )
+    rows.repartition(4).write.parquet(f"{root}/in")
+    source = _stream(spark, _no_null_flags(rows.schema), f"{root}/in", 100)
+    query = (
+        jobs.dedup_stream(source).writeStream.format("parquet").option("path", f"{root}/out")
+        .option("checkpointLocation", f"{root}/cp").trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{root}/out").select("tx_hash", "log_index", "removed")
+
+
+@BOOK.add("stream_notifications", sql.cte(sql.ESCROW) + """
+SELECT channel, count(*) AS n, count(DISTINCT tx_hash) AS keys
+FROM escrow, (VALUES ('chain:events'), ('chain:settled')) c(channel) GROUP BY channel""")
+def stream_notifications(spark, sf_dir):
+    root = scratch_path(spark, "stream")
+    logs = views.escrow_logs(spark, sf_dir)
+    _files(logs, f"{root}/in", 3, "block_number")
+    events = decode.decode_escrow(_stream(spark, logs.schema, f"{root}/in", 2))
+    jobs.notification_stream(events, f"{root}/out", f"{root}/cp").awaitTermination()
+    sent = spark.read.parquet(f"{root}/out")
+    return sent.groupBy("channel").agg(F.count("*").alias("n"), F.countDistinct("key").alias("keys"))
+
+
+@BOOK.add("backfill_transfers", sql.cte(sql.TRANSFERS) + """
+SELECT token, tx_hash, log_index, CAST(amount AS VARCHAR) AS amount FROM transfers
+WHERE (token, tx_hash, log_index) IN
+  (SELECT (token, tx_hash, log_index) FROM deliveries WHERE block_number BETWEEN 11000100 AND 11003000)""")
+def backfill_transfers(spark, sf_dir):
+    """Two historical runs; the second resumes after the first one's cursor."""
+    root = scratch_path(spark, "backfill")
+    logs = views.transfer_logs(spark, sf_dir)
+    spec = jobs.StreamSpec("erc20_transfers", logs, jobs.transfer_tables)
+    jobs.backfill(spec, logs, root, target=11_001_500, start_block=11_000_100)
+    jobs.backfill(spec, logs, root, target=11_003_000, start_block=11_000_100, commit_blocks=1000)
+    schema = decode.decode_transfers(logs).schema
+    versions = batches.read_versions(spark, root, "token_transfers", schema)
+    seen = versions.select("token", "tx_hash", "log_index").distinct()
+    current = views.transfers(spark, sf_dir).join(seen, ["token", "tx_hash", "log_index"], "left_semi")
+    return current.select(
+        "token", "tx_hash", "log_index", u256.to_string(F.col("amount")).alias("amount")
+    )
+
+
+@BOOK.add("finalized_rows", sql.cte(sql.PAYROLL) + """
+SELECT tx_hash, event_name FROM payroll
+WHERE block_number <= (SELECT max(block_number) FROM payroll) - 25""")
+def finalized_rows(spark, sf_dir):
+    return jobs.finalized(views.payroll_events(spark, sf_dir), 25).select("tx_hash", "event_name")
+
+
+@BOOK.add("reorg_flips_flag", sql.cte(sql.PAYROLL) + """
+SELECT tx_hash, event_name, block_number % 9 = 4 AS removed FROM payroll""")
+def reorg_flips_flag(spark, sf_dir):
+    """Every ninth log is delivered again with removed = true: flagged, not deleted."""
+    rows = decode.ledger_rows(views.payroll_events(spark, sf_dir).withColumns(
+        {"previous_owner": F.lit(None).cast("string"), "new_owner": F.lit(None).cast("string")}
+    ), decode.payroll_json())
+    back = rows.filter(F.col("block_number") % 9 == 4).withColumn("removed", F.lit(True))
+    stored = jobs.apply_reorg(None, rows, "chain_events", ["block_number"])
+    out = jobs.apply_reorg(stored, back, "chain_events", ["block_number"])
+    return out.select("tx_hash", "event_name", "removed")
+

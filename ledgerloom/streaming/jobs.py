@@ -170,3 +170,67 @@ def reconcile_loop(
         if not keep_going():
             return passes
         wait()
+
+
+def notification_stream(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Append escrow notifications to files, one folder per channel."""
+    from ..operators.notify import notifications
+
+    return (
+        notifications(events)
+        .writeStream.format("parquet")
+        .partitionBy("channel")
+        .option("path", path)
+        .option("checkpointLocation", f"{checkpoint}/notifications")
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def finalized(rows: DataFrame, depth: int, variant: str = "zero") -> DataFrame:
+    """Rows at or below the safe head of the table itself.
+
+    Ingest lands everything; consumers that must not see reorgs read through
+    this filter. What is above the head now is simply seen by a later read, so
+    no state is carried between micro-batches.
+    """
+    from ..functions.blocks import safe_head
+
+    head = rows.agg(F.max("block_number").alias("b")).select(safe_head(F.col("b"), depth, variant).alias("s"))
+    return rows.filter(F.col("block_number") <= head.scalar())
+
+
+def backfill(
+    spec: StreamSpec, logs: DataFrame, root: str, *, target: int, start_block: int,
+    commit_blocks: int | None = None, clamp: bool = True,
+) -> tuple[int, int] | None:
+    """One historical run from the stream's cursor to ``target``.
+
+    The whole range is one distributed job with one commit. ``commit_blocks``
+    cuts it into several commits where a failure must not lose everything;
+    commits made before a failure stay, and the next run resumes after them.
+    Returns the covered range, or None when there is nothing to do.
+    """
+    from ..functions.blocks import resume_block
+
+    spark = logs.sparkSession
+    row = (
+        batches.cursors(spark, root)
+        .filter((F.col("stream_id") == spec.stream_id) & (F.col("chain_id") == spec.chain_id))
+        .first()
+    )
+    first = resume_block(None if row is None else row["last_indexed_block"], start_block, clamp)
+    if target < start_block or first > target:
+        return None
+    width, low = commit_blocks or target - first + 1, first
+    while low <= target:
+        high = min(low + width - 1, target)
+        part = logs.filter(F.col("block_number").between(low, high))
+        cursor = spark.range(1).select(
+            F.lit(spec.chain_id).cast("long").alias("chain_id"),
+            F.lit(high).cast("long").alias("last_indexed_block"),
+            F.lit(None).cast("string").alias("last_block_hash"),
+        )
+        batches.commit_batch(root, spec.stream_id, high, spec.to_tables(part), cursor)
+        low = high + 1
+    return first, target
