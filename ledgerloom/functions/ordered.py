@@ -63,10 +63,12 @@ def running_total(
     ranged = range_ordered(df, full_order)
     local = Window.partitionBy("_part", *keys).orderBy("_pos")
     local = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inside = ranged.withColumn("_local", u256.total_over(F.col(amount), local))
+    inside = u256.with_running(ranged, amount, local, "_local")
 
+    parts = ("hi", "mid", "lo")
     per_range = ranged.groupBy("_part", *keys).agg(
-        u256.total(F.col(amount)).alias("_sum"), F.min("_pos").alias("_first")
+        F.struct(*[F.sum(F.col(amount)[k]).alias(k) for k in parts]).alias("_sum"),
+        F.min("_pos").alias("_first"),
     )
     # a key reaches into a range from before only if it owns the range's first
     # row; its total in every range it touches is needed to build the carry
@@ -74,14 +76,18 @@ def running_total(
     spanning = per_range.join(heads.select(*keys).distinct(), keys, "left_semi")
     earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     carry = (
-        spanning.withColumn("_carry", u256.total_over(F.col("_sum"), earlier))
-        .filter((F.col("_first") == 0) & F.col("_carry")["lo"].isNotNull())
-        .select("_part", *keys, "_carry")
+        u256.with_running(spanning, "_sum", earlier, "_carry")
+        .filter((F.col("_first") == 0) & F.col("_carry_lo").isNotNull())
+        .select("_part", *keys, *[f"_carry_{k}" for k in parts])
     )
     joined = inside.join(F.broadcast(carry), ["_part", *keys], "left")
-    return joined.select(
-        *df.columns,
-        F.when(F.col("_carry").isNull(), F.col("_local"))
-        .otherwise(u256.add(F.col("_local"), F.coalesce(F.col("_carry"), u256.zero())))
-        .alias(name),
+    lifted = joined.withColumns(
+        {
+            f"_local_{k}": F.col(f"_local_{k}").cast(u256.WIDE)
+            + F.coalesce(F.col(f"_carry_{k}"), F.lit(0)).cast(u256.WIDE)
+            for k in parts
+        }
+    )
+    return lifted.select(
+        *df.columns, u256.normalise_parts(*[F.col(f"_local_{k}") for k in parts]).alias(name)
     )

@@ -54,7 +54,7 @@ def from_small(value: Column) -> Column:
     """From an integral column of at most 26 digits (long, int, DECIMAL(26,0))."""
     v = value.cast(WIDE)
     z = F.lit(0)
-    return F.when(value.isNotNull(), normalise_parts(z.cast(WIDE), z.cast(WIDE), v))
+    return normalise_parts(z.cast(WIDE), z.cast(WIDE), v)
 
 
 def from_string(text: Column) -> Column:
@@ -165,13 +165,15 @@ def _less(limb: Column, carry: Column) -> Column:
 def normalise_parts(hi: Column, mid: Column, lo: Column) -> Column:
     """Floor-normalise signed raw limbs: ``mid`` and ``lo`` end in [0, 10^26).
 
-    Limbs already in range skip the decimal division.
+    Limbs already in range skip the decimal division. The conditional around
+    the struct also keeps the optimizer from inlining it into every later
+    mention of a limb, which would multiply the whole expression.
     """
     hi, mid, lo = hi.cast(WIDE), mid.cast(WIDE), lo.cast(WIDE)
     lo_n, lo_carry = _floor_split(lo)
     mid_t = (mid + lo_carry).cast(WIDE)
     mid_n, mid_carry = _floor_split(mid_t)
-    return pack((hi + mid_carry).cast(WIDE), mid_n, lo_n)
+    return F.when(lo.isNotNull(), pack((hi + mid_carry).cast(WIDE), mid_n, lo_n))
 
 
 def _floor_split(limb: Column) -> tuple[Column, Column]:
@@ -194,7 +196,20 @@ def sub(a: Column, b: Column) -> Column:
     )
 
 
+def _magnitude(a: Column) -> tuple[Column, Column, Column]:
+    """Limbs of ``-a`` for a normalised ``a``: borrows instead of divisions."""
+    base, none, one = _wide(BASE), _wide(0), _wide(1)
+    lo, mid, hi = (a[k].cast(WIDE) for k in ("lo", "mid", "hi"))
+    mid_t = (mid + F.when(lo == 0, none).otherwise(one)).cast(WIDE)
+    return (
+        (-hi - F.when(mid_t == 0, none).otherwise(one)).cast(WIDE),
+        F.when(mid_t == 0, none).otherwise((base - mid_t).cast(WIDE)).cast(LIMB),
+        F.when(lo == 0, none).otherwise((base - lo).cast(WIDE)).cast(LIMB),
+    )
+
+
 def negate(a: Column) -> Column:
+    """``-a`` of a normalised value, normalised."""
     return normalise_parts(*[-a[k].cast(WIDE) for k in ("hi", "mid", "lo")])
 
 
@@ -205,34 +220,33 @@ def signed(a: Column, negative: Column) -> Column:
 
 def total(a: Column) -> Column:
     """Aggregate: exact signed sum of a limb column; NULL over no non-null rows."""
-    return F.when(
-        F.sum(a["lo"]).isNotNull(),
-        normalise_parts(F.sum(a["hi"]), F.sum(a["mid"]), F.sum(a["lo"])),
-    )
+    return normalise_parts(F.sum(a["hi"]), F.sum(a["mid"]), F.sum(a["lo"]))
 
 
-def total_over(a: Column, window) -> Column:
-    """Window form of :func:`total`."""
-    return normalise_parts(
-        F.sum(a["hi"]).over(window), F.sum(a["mid"]).over(window), F.sum(a["lo"]).over(window)
-    )
+def with_running(df: DataFrame, a: str, window, prefix: str) -> DataFrame:
+    """Raw running limb sums as ``prefix_hi``, ``prefix_mid``, ``prefix_lo``.
+
+    They are columns of their own: inside :func:`normalise_parts` every mention
+    of a window expression would be computed again.
+    """
+    return df.withColumns({f"{prefix}_{k}": F.sum(F.col(a)[k]).over(window) for k in ("hi", "mid", "lo")})
 
 
-def _digits(a: Column) -> Column:
-    parts = [a["hi"].cast("string"), *[F.lpad(a[k].cast("string"), DIGITS, "0") for k in ("mid", "lo")]]
+def _digits(hi: Column, mid: Column, lo: Column) -> Column:
+    parts = [hi.cast("string"), *[F.lpad(k.cast("string"), DIGITS, "0") for k in (mid, lo)]]
     # digits without leading zeros sort after "0", an empty rest before it
     return F.greatest(F.ltrim(F.concat(*parts), F.lit("0")), F.lit("0"))
 
 
 def to_string(a: Column) -> Column:
     """Canonical decimal text of a non-negative value."""
-    return F.when(a.isNotNull(), _digits(a))
+    return F.when(a.isNotNull(), _digits(a["hi"], a["mid"], a["lo"]))
 
 
 def to_signed_string(a: Column) -> Column:
     """Canonical decimal text of a normalised signed value."""
-    return F.when(a["hi"] < 0, F.concat(F.lit("-"), _digits(negate(a)))).when(
-        a.isNotNull(), _digits(a)
+    return F.when(a["hi"] < 0, F.concat(F.lit("-"), _digits(*_magnitude(a)))).when(
+        a.isNotNull(), _digits(a["hi"], a["mid"], a["lo"])
     )
 
 

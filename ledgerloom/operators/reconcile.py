@@ -293,6 +293,7 @@ def match_balances(addresses: DataFrame, stored: DataFrame, reads: DataFrame) ->
 def _balance_rows(matched: DataFrame, kind: str, ref: Column, who: str, names: tuple[str, str], target) -> DataFrame:
     block = target if isinstance(target, Column) else F.lit(target)
     context = {who: F.col("address"), "token": F.col("token"), "target_block": block}
+    matched = matched.withColumn("difference", u256.sub(F.col("on_chain"), F.col("db")))
     return matched.select(
         F.lit(kind).alias("type"),
         F.lit(SEVERITY[kind]).alias("severity"),
@@ -300,7 +301,7 @@ def _balance_rows(matched: DataFrame, kind: str, ref: Column, who: str, names: t
         evm.json_object(**{names[0]: u256.to_signed_string(F.col("on_chain"))}, **context).alias("expected"),
         evm.json_object(
             **{names[1]: u256.to_signed_string(F.col("db"))},
-            difference=u256.to_signed_string(u256.sub(F.col("on_chain"), F.col("db"))),
+            difference=u256.to_signed_string(F.col("difference")),
             **context,
         ).alias("observed"),
         block.cast("long").alias("block_number"),

@@ -8,6 +8,7 @@ from ..functions import evm, u256
 from ..operators import balances as bal
 from ..operators import decode, fold
 from ..operators import reconcile as rec
+from ..session import durable
 from ..sources.tables import as_flag
 from . import faults, sql, views
 from .book import Book
@@ -25,9 +26,9 @@ def _cursor(rows):
     return rows.select((low + F.floor((high - low) * 9 / 10)).cast("long").alias("c")).scalar()
 
 
-def _transfer_audit(spark, sf_dir, **options):
-    live = faults.live_transfers(spark, sf_dir)
-    stored = faults.observed_transfers(spark, sf_dir)
+def _transfer_audit(spark, sf_dir, live=None, **options):
+    live = faults.live_transfers(spark, sf_dir) if live is None else live
+    stored = faults.observed_transfers(live)
     arguments = {"first": None, "last": None, "safe": 99_999_999, "cursor": _cursor(live), **options}
     return rec.audit_events(rec.TRANSFER, live, stored, **arguments)
 
@@ -133,10 +134,10 @@ found AS (
   GROUP BY l.chain_id, l.token, l.tx_hash, l.log_index HAVING count(*) > 1)"""
 
 
-def _window_audit(spark, sf_dir):
+def _window_audit(spark, sf_dir, live=None):
     """One token, one block range, cursor 300 blocks behind its end."""
     return _transfer_audit(
-        spark, sf_dir, first=FIRST, last=LAST, safe=LAST, cursor=LAST - 300, token=TOKEN
+        spark, sf_dir, live, first=FIRST, last=LAST, safe=LAST, cursor=LAST - 300, token=TOKEN
     )
 
 
@@ -149,9 +150,9 @@ def recon_window(spark, sf_dir):
 SELECT DISTINCT {REF}phantom' AS entity_ref FROM observed l WHERE l.n % 3 = 0""")
 def recon_phantoms(spark, sf_dir):
     """Stored rows whose log is gone: the authoritative side lost every third order."""
-    live = faults.live_transfers(spark, sf_dir).filter(F.col("n") % 3 != 0)
+    live = faults.live_transfers(spark, sf_dir)
     found = rec.audit_events(
-        rec.TRANSFER, live, faults.observed_transfers(spark, sf_dir), first=None, last=None,
+        rec.TRANSFER, live.filter(F.col("n") % 3 != 0), faults.observed_transfers(live), first=None, last=None,
         safe=99_999_999, cursor=99_999_999, phantoms=True,
     )
     return found.filter(_of("PHANTOM")).select("entity_ref")
@@ -160,7 +161,9 @@ def recon_phantoms(spark, sf_dir):
 @BOOK.add("recon_duplicate_ids", sql.cte(faults.TRANSFERS) + f"""
 SELECT {REF}duplicate' AS entity_ref, l.id AS record_id FROM observed l WHERE l.n % 73 = 0""")
 def recon_duplicate_ids(spark, sf_dir):
-    stored = rec.stored_rows(rec.TRANSFER, faults.observed_transfers(spark, sf_dir))
+    stored = rec.stored_rows(
+        rec.TRANSFER, faults.observed_transfers(faults.live_transfers(spark, sf_dir))
+    )
     return rec.duplicate_ids(rec.TRANSFER, stored)
 
 
@@ -229,10 +232,10 @@ def recon_claims(spark, sf_dir):
 
 # --- lifecycle -------------------------------------------------------------------
 
-def _earlier_exceptions(spark, sf_dir):
+def _earlier_exceptions(live):
     """Left by earlier runs: real missing rows (97), healed amounts (101), both open,
     and amounts (89) that were closed before and are wrong again now."""
-    rows = faults.live_transfers(spark, sf_dir).filter(F.col("token") == TOKEN)
+    rows = live.filter(F.col("token") == TOKEN)
     n = F.col("n")
 
     def make(when, kind, suffix, status, shift):
@@ -271,9 +274,11 @@ outcomes AS (
   WHERE block_number BETWEEN {FIRST} AND {LAST} AND entity_ref NOT IN (SELECT entity_ref FROM found))"""
 
 
-def _lifecycle(spark, sf_dir):
+def _lifecycle(spark, sf_dir, live=None, found=None):
+    live = faults.live_transfers(spark, sf_dir) if live is None else live
+    found = durable(_window_audit(spark, sf_dir, live)) if found is None else found
     scope = rec.in_scope(rec.TRANSFER, views.CHAIN, FIRST, LAST, TOKEN)
-    return rec.apply_lifecycle(_earlier_exceptions(spark, sf_dir), _window_audit(spark, sf_dir), scope)
+    return rec.apply_lifecycle(_earlier_exceptions(live), found, scope)
 
 
 @BOOK.add("recon_lifecycle", sql.cte(EARLIER) + "SELECT entity_ref, outcome FROM outcomes")
@@ -300,9 +305,11 @@ SELECT (SELECT count(*) FROM live) AS on_chain_events, (SELECT count(*) FROM sto
        count(*) FILTER (outcome = 'skipped') AS exceptions_skipped
 FROM outcomes""")
 def recon_summary(spark, sf_dir):
-    live = rec.authoritative_rows(rec.TRANSFER, faults.live_transfers(spark, sf_dir), FIRST, LAST, TOKEN)
-    stored = rec.stored_rows(rec.TRANSFER, faults.observed_transfers(spark, sf_dir), FIRST, LAST, TOKEN)
-    return rec.summary(live, stored, _window_audit(spark, sf_dir), _lifecycle(spark, sf_dir).marks)
+    live = faults.live_transfers(spark, sf_dir)
+    chain_rows = rec.authoritative_rows(rec.TRANSFER, live, FIRST, LAST, TOKEN)
+    stored = rec.stored_rows(rec.TRANSFER, faults.observed_transfers(live), FIRST, LAST, TOKEN)
+    found = durable(_window_audit(spark, sf_dir, live))
+    return rec.summary(chain_rows, stored, found, _lifecycle(spark, sf_dir, live, found).marks)
 
 
 @BOOK.add("exceptions_page", sql.cte(EARLIER) + """
@@ -316,7 +323,7 @@ def exceptions_page(spark, sf_dir):
     """Open exceptions sorted by severity (all equal), newest id first."""
     from ..operators import reads
 
-    out = reads.list_exceptions(_earlier_exceptions(spark, sf_dir), status="OPEN", sort="severity")
+    out = reads.list_exceptions(_earlier_exceptions(faults.live_transfers(spark, sf_dir)), status="OPEN", sort="severity")
     return out.rows.select("type", "entity_ref", "status")
 
 
@@ -325,7 +332,7 @@ SELECT entity_ref FROM earlier WHERE status = 'open' AND starts_with(entity_ref,
 def exceptions_by_prefix(spark, sf_dir):
     from ..operators import filters
 
-    return filters.open_by_prefix(_earlier_exceptions(spark, sf_dir), f"1:{TOKEN}:").select("entity_ref")
+    return filters.open_by_prefix(_earlier_exceptions(faults.live_transfers(spark, sf_dir)), f"1:{TOKEN}:").select("entity_ref")
 
 
 # --- balances and states ---------------------------------------------------------
@@ -337,9 +344,9 @@ def _addresses(spark, sf_dir, stored):
     ).withColumn("token", F.lit(TOKEN))
 
 
-def _balance_snapshots(spark, sf_dir, addresses):
+def _balance_snapshots(live, addresses):
     """balanceOf of every address at two blocks, from the authoritative transfers."""
-    live = faults.live_transfers(spark, sf_dir).withColumn("removed", F.lit(False)).filter(F.col("token") == TOKEN)
+    live = live.withColumn("removed", F.lit(False)).filter(F.col("token") == TOKEN)
 
     def at(block):
         return bal.balances_of(live, addresses, block).select(
@@ -351,11 +358,9 @@ def _balance_snapshots(spark, sf_dir, addresses):
     return at(TARGET - 700).unionByName(at(TARGET))
 
 
-def _stored_transfers(spark, sf_dir):
-    return (
-        faults.observed_transfers(spark, sf_dir).withColumn("removed", F.lit(False))
-        .filter(F.col("token") == TOKEN)
-    )
+def _stored_transfers(live):
+    stored = faults.observed_transfers(live).withColumn("removed", F.lit(False))
+    return stored.filter(F.col("token") == TOKEN)
 
 
 BALANCE_SQL = faults.TRANSFERS + "," + sql.PAYROLL + f""",
@@ -393,9 +398,10 @@ def _sorted_pack(fields: dict) -> str:
     "TOKEN_BALANCE_MISMATCH", f"'1:{TOKEN}:' || address || ':token_balance_mismatch'", "wallet",
     ("on_chain_balance", "db_balance"), ""))
 def balance_audit(spark, sf_dir):
-    stored = _stored_transfers(spark, sf_dir)
+    live = faults.live_transfers(spark, sf_dir)
+    stored = _stored_transfers(live)
     addresses = _addresses(spark, sf_dir, stored)
-    reads = rec.state_at(_balance_snapshots(spark, sf_dir, addresses), "balance_of", TARGET).select(
+    reads = rec.state_at(_balance_snapshots(live, addresses), "balance_of", TARGET).select(
         "chain_id", F.col("contract").alias("token"), F.col("wallet").alias("address"),
         F.col("value").alias("balance"),
     )
@@ -407,7 +413,8 @@ def balance_audit(spark, sf_dir):
     "CONTRACT_BALANCE_MISMATCH", f"'1:' || address || ':{TOKEN}:contract_balance_mismatch'", "contract",
     ("on_chain_contract_balance", "db_contract_balance"), f"WHERE address = '{CONTRACT}'"))
 def contract_balance_audit(spark, sf_dir):
-    stored = _stored_transfers(spark, sf_dir)
+    live = faults.live_transfers(spark, sf_dir)
+    stored = _stored_transfers(live)
     account = spark.range(1).select(
         F.lit(views.CHAIN).cast("long").alias("chain_id"), F.lit(TOKEN).alias("token"),
         F.lit(CONTRACT).alias("address"),
@@ -415,7 +422,7 @@ def contract_balance_audit(spark, sf_dir):
     db = bal.wallet_balance(stored, TOKEN, CONTRACT, TARGET).select(
         F.lit(views.CHAIN).cast("long").alias("chain_id"), F.lit(TOKEN).alias("token"), "address", "balance"
     )
-    reads = rec.state_at(_balance_snapshots(spark, sf_dir, account), "balance_of", TARGET).select(
+    reads = rec.state_at(_balance_snapshots(live, account), "balance_of", TARGET).select(
         "chain_id", F.col("contract").alias("token"), F.col("wallet").alias("address"),
         F.col("value").alias("balance"),
     )

@@ -13,7 +13,7 @@ from .. import registry
 from ..functions import evm, u256
 from ..operators import upsert as up
 from ..schemas import RULES
-from ..session import apply_settings
+from ..session import apply_settings, spread
 
 CHAIN = 1
 PAYROLL_CONTRACT = "0x" + format(7777, "040x")
@@ -27,7 +27,7 @@ ARRIVAL = (
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     apply_settings(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def _chain():

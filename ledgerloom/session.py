@@ -50,13 +50,23 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
+    """Write ``df`` as a table in the shared folder and read it back.
 
-    The result survives the loss of executors, and every later reader sees the
-    same rows in the same partitions.
+    The lineage ends there: the result survives the loss of executors, and
+    every later reader sees the same rows. As parquet it also keeps column
+    pruning and filter pushdown for those readers.
     """
-    spark = df.sparkSession
-    directory = shared_dir(spark)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(directory)
-    return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession, "durable")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for an input that comes in fewer pieces than there are cores.
+
+    A file of one row group is one task, however many cores wait. Such an input
+    is small, so one round-robin shuffle of its needed columns is cheap; an
+    input with enough pieces is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

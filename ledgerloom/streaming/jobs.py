@@ -44,8 +44,13 @@ def start(spec: StreamSpec, root: str, checkpoint: str, interval: str | None = N
     """Run a stream: continuously every ``interval``, or once over all there is."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        frames = spec.to_tables(batch)
-        batches.commit_batch(root, spec.stream_id, batch_id, frames, _cursor(batch, spec.chain_id))
+        # several tables and the cursor come from one read of the batch
+        batch.persist()
+        try:
+            frames = spec.to_tables(batch)
+            batches.commit_batch(root, spec.stream_id, batch_id, frames, _cursor(batch, spec.chain_id))
+        finally:
+            batch.unpersist()
 
     writer = (
         spec.source.writeStream.foreachBatch(write)
