@@ -78,9 +78,8 @@ def _escrow_versions(spark, sf_dir):
     rows = decode.decode_escrow(views.escrow_logs(spark, sf_dir)).withColumns(
         {"raw_data": decode.escrow_json(), "block_timestamp": F.col("created_at")}
     )
-    again = rows.filter(
-        F.col("escrow_id")["lo"].cast("long") % 3 == 0
-    ).withColumns(
+    number = F.conv(F.right("escrow_key", F.lit(15)), 16, 10).cast("long")
+    again = rows.filter(number % 3 == 0).withColumns(
         {
             "event_type": F.concat("event_type", F.lit("2")),
             "block_number": F.col("block_number") + 5,
