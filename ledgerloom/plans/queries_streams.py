@@ -43,13 +43,13 @@ def _no_null_flags(schema):
 SELECT token, tx_hash, log_index, from_address, to_address, CAST(amount AS VARCHAR) AS amount,
        block_number, removed FROM transfers""")
 def stream_transfers(spark, sf_dir):
-    """Raw token logs in six files, three micro-batches, folded by key."""
+    """Raw token logs in 24 files, three micro-batches, folded by key."""
     root = scratch_path(spark, "stream")
     logs = views.transfer_logs(spark, sf_dir).withColumn(
         "block_timestamp", F.col("arrival")["l_shipdate"].cast("timestamp")
     )
-    _files(logs, f"{root}/in", 6, "block_number")
-    source = _stream(spark, logs.schema, f"{root}/in", 2)
+    _files(logs, f"{root}/in", 24, "block_number")
+    source = _stream(spark, logs.schema, f"{root}/in", 8)
     spec = jobs.StreamSpec("erc20_transfers", source, jobs.transfer_tables)
     jobs.start(spec, f"{root}/out", f"{root}/cp").awaitTermination()
     schema = decode.decode_transfers(logs).schema
