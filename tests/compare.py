@@ -68,15 +68,15 @@ def compare(spark, con, sf_dir, run, sql):
 
 
 def main(parts):
-    from ledgerloom.plans import catalog
+    import __spark_entry__ as contract
     from tests.sessions import local_session
 
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.01")
     spark = local_session()
     con = duck(sf_dir)
-    oracle = catalog.oracle_sql()
+    oracle = contract.oracle_sql()
     failed = 0
-    for name, run in catalog.queries().items():
+    for name, run in contract.queries().items():
         if parts and not any(p in name for p in parts):
             continue
         try:

@@ -3,10 +3,11 @@
 import pytest
 
 import __spark_entry__ as contract
+from ledgerloom.plans import catalog
 from tests.compare import compare, duck
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLE = contract.queries(), contract.oracle_sql()
+QUERIES, ORACLE = catalog.queries(), catalog.oracle_sql()
 
 
 @pytest.fixture(scope="module")
