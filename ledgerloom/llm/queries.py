@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import ngram_join
+from . import line_dedup, mixing, ngram_join, packing, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,8 +34,77 @@ SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, least(n.doc_id, min(r.b)) AS
 FROM n LEFT JOIN reach r ON n.doc_id = r.a GROUP BY n.doc_id, n.n
 """
 
-QUERIES = {"op4_ngram_jaccard_join": op4_ngram_jaccard_join}
-ORACLE = {"op4_ngram_jaccard_join": OP4_SQL}
+
+def op3_weighted_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(_table(spark, sf_dir, "documents"), shards=8)
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), min_chars=40, min_docs=5)
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP7_SQL = r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents),
+k AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+f AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+m AS (SELECT k.*, coalesce(f.last <> k.doc_id, false) AS gone FROM k LEFT JOIN f ON k.key = f.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+"""
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"))
+
+
+def op9_weighted_fair_queueing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(_table(spark, sf_dir, "documents"), weights=(5, 2, 1), repeats=3, keep=["doc_id"])
+    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+
+
+OP9_SQL = r"""
+WITH q AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+         coalesce('=' || source, '') AS src, coalesce(md5(text), '') AS tie,
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS h FROM documents),
+s AS (SELECT src, any_value(source) AS source, CAST(sum(size) AS BIGINT) AS s FROM q GROUP BY src),
+w AS (SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM s),
+p AS (
+  SELECT *, row_number() OVER o AS i,
+    sum(s) OVER () - coalesce(sum(3 * s) OVER (ORDER BY s / w, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS l,
+    sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY s / w, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS z
+  FROM w WINDOW o AS (ORDER BY s / w, src)),
+c AS (SELECT i, CAST(l AS DOUBLE) / z AS level FROM p WHERE 3 * s * z >= w * l ORDER BY i LIMIT 1),
+t AS (SELECT src, s, CASE WHEN p.i < c.i THEN 3.0::DOUBLE * s ELSE least(3.0::DOUBLE * s, w * level) END AS t FROM p, c),
+r AS (SELECT q.*, s, t, sum(size) OVER (PARTITION BY q.src ORDER BY h, doc_id NULLS FIRST, size, tie ROWS UNBOUNDED PRECEDING) AS sent
+      FROM q JOIN t ON q.src = t.src),
+e AS (SELECT *, CAST(2 * (sent + copy * s) - size AS DOUBLE) / (2 * t) AS time
+      FROM r, (SELECT unnest([0, 1, 2]) AS copy) WHERE size > 0 AND t > 0),
+g AS (SELECT *, sum(size) OVER (ORDER BY time, src, h, doc_id NULLS FIRST, size, tie, copy ROWS UNBOUNDED PRECEDING) AS upto FROM e),
+k AS (SELECT src, h, doc_id, size, tie, sent, count(*) AS n FROM g WHERE upto <= (SELECT sum(size) FROM q) GROUP BY ALL)
+SELECT r.doc_id, CAST(r.size AS BIGINT) AS size, r.s AS source_size, r.t AS target, CAST(coalesce(k.n, 0) * r.size AS BIGINT) AS taken
+FROM r LEFT JOIN k ON r.src = k.src AND r.h = k.h AND r.sent = k.sent AND r.size = k.size AND r.tie = k.tie
+  AND r.doc_id IS NOT DISTINCT FROM k.doc_id
+"""
+
+QUERIES = {
+    "op3_weighted_hash_tree": op3_weighted_hash_tree,
+    "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op7_line_dedup": op7_line_dedup,
+    "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_weighted_fair_queueing": op9_weighted_fair_queueing,
+}
+ORACLE = {
+    "op4_ngram_jaccard_join": OP4_SQL,
+    "op7_line_dedup": OP7_SQL,
+    "op9_weighted_fair_queueing": OP9_SQL,
+}
 
 
 def queries() -> dict:
