@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, ngram_join, packing, sharding
+from . import line_dedup, mixing, ngram_join, packing, sharding, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,9 +93,14 @@ FROM r LEFT JOIN k ON r.src = k.src AND r.h = k.h AND r.sent = k.sent AND r.size
   AND r.doc_id IS NOT DISTINCT FROM k.doc_id
 """
 
+def op5_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op3_weighted_hash_tree": op3_weighted_hash_tree,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op5_counterfactual_toxicity": op5_counterfactual_toxicity,
     "op7_line_dedup": op7_line_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_weighted_fair_queueing": op9_weighted_fair_queueing,
