@@ -12,15 +12,15 @@ where a product entry can still reach the bound:
 3. The surviving rows get exact column sums over all their columns. Columns are
    ordered rarest first; by the same bound linked rows meet in the first
    ``size - ceil(percent * size) + 1`` columns of both, so only these are multiplied.
-4. Row pairs whose sizes cannot reach the bound are discarded; the overlap of the
-   others is counted over their whole sets and compared with
-   ``100 * overlap >= percent * union`` in whole numbers.
+4. A pair that meets first in a column can overlap in no more than what either row
+   has from there on. Pairs for which this or the sizes cannot reach the bound are
+   discarded; the overlap of the others is counted over their whole sets and
+   compared with ``100 * overlap >= percent * union`` in whole numbers.
 
-Only membership in a component is asked of large groups. So a column first
-pairs its rows with one hub (three rounds, each with a hub of the largest
-component so far), and then every pair of the column that is still in different
-components is counted. No pair that could matter is left out, and a group of
-near copies is not expanded into all its pairs.
+Only membership in a component is asked. So a column first pairs its rows with a
+few hubs, drawn anew in each round, and then every pair of the column that is
+still in different components is counted. No pair that could matter is left out,
+and a group of near copies is not expanded into all its pairs.
 
 Column sums are exchanged between a batch of rows and a column block, never
 single (row, column) entries: a column that many rows share is one entry of each
@@ -46,7 +46,7 @@ SAMPLED = 4  # step 2 looks at one in SAMPLED columns, a fixed range of the hash
 BLOCK = 2_000_000  # shingles of a column block, about
 BATCH = 1 << 14  # rows of a batch
 BROADCAST_ROWS = 1_000_000  # rows of 24 bytes; beyond it the survivors are joined by shuffling
-HUBS = 3
+HUBS = (1, 8, 64)  # hubs of a column in each round, on average
 
 
 def _signature(tokens: np.ndarray) -> bytes:
@@ -211,8 +211,8 @@ def _rows_of(chosen: DataFrame, k: int) -> DataFrame:
 
 
 def _incidence(rows: DataFrame, percent: int, blocks: int) -> DataFrame:
-    """(cls, n, tokens, head): shared shingles of each row that may still have a link, and
-    those among which its links must show (step 3)."""
+    """(cls, n, tokens, head, place): shared shingles of each row that may still have a link,
+    those among which its links must show, and how many of its shingles come before (step 3)."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -243,7 +243,7 @@ def _incidence(rows: DataFrame, percent: int, blocks: int) -> DataFrame:
                 sums = np.frombuffer(b"".join(a["sums"] for a in sorted(row["answers"], key=lambda a: a["block"])), dtype=np.uint32)
                 df = sums[np.searchsorted(keys, tokens)]
                 lens = np.frombuffer(row["lens"], dtype=np.uint32)
-                out: tuple[list, list, list, list] = ([], [], [], [])
+                out: tuple[list, ...] = ([], [], [], [], [])
                 start = 0
                 for i, n in enumerate(int(x) for x in lens):
                     own, often = tokens[start : start + n], df[start : start + n]
@@ -257,10 +257,11 @@ def _incidence(rows: DataFrame, percent: int, blocks: int) -> DataFrame:
                     out[1].append(n)
                     out[2].append(own[shared].view(np.int64))
                     out[3].append(own[rare].view(np.int64))
+                    out[4].append(np.arange(n - len(shared), n - len(shared) + len(rare), dtype=np.int64))
                 longs = pa.list_(pa.int64())
                 yield pa.RecordBatch.from_pydict({
                     n: pa.array(c, t) for n, c, t in zip(
-                        ("cls", "n", "tokens", "head"), out, (pa.binary(), pa.int64(), longs, longs), strict=True)})
+                        ("cls", "n", "tokens", "head", "place"), out, (pa.binary(), pa.int64(), longs, longs, longs), strict=True)})
 
     asked = rows.select("batch", "tokens").mapInArrow(ask, "block int, batch long, keys binary, counts binary")
     answers = (
@@ -268,12 +269,13 @@ def _incidence(rows: DataFrame, percent: int, blocks: int) -> DataFrame:
         .groupBy("batch").agg(F.collect_list(F.struct("block", "sums")).alias("answers"))  # one per block
     )
     return rows.join(answers, "batch").mapInArrow(
-        order, "cls binary, n bigint, tokens array<bigint>, head array<bigint>"
+        order, "cls binary, n bigint, tokens array<bigint>, head array<bigint>, place array<bigint>"
     ).dropDuplicates(["cls"])
 
 
-def _near_in_size(percent: int) -> F.Column:
-    return F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+def _may_reach(percent: int) -> F.Column:
+    """``left_``: what a row has from the column of the meeting on."""
+    return F.least("left_a", "left_b", "n_a", "n_b") * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
 
 
 def _linked(pairs: DataFrame, incidence: DataFrame, percent: int) -> DataFrame:
@@ -308,41 +310,35 @@ def class_links(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> Da
     incidence = durable(_incidence(rows, percent, max(least, -(-(size[1] or 0) // BLOCK))))
 
     # columns of the product: one of those with the same rows is enough
-    entries = incidence.select("cls", "n", F.explode("head").alias("token"))
+    entries = incidence.select("cls", "n", F.explode(F.arrays_zip("head", "place")).alias("e"))
+    entries = entries.select("cls", "n", F.col("e.head").alias("token"), (F.col("n") - F.col("e.place")).alias("left"))
     marks = F.sum(F.xxhash64("cls").cast("decimal(20,0)"))
     columns = entries.groupBy("token").agg(
-        F.count("*").alias("rows"), F.bit_xor(F.xxhash64("cls")).alias("x"), marks.alias("s")
+        F.count("*").alias("rows"), F.bit_xor(F.xxhash64("cls")).alias("x"), marks.alias("s"), F.sum("left").alias("l")
     ).filter("rows > 1")
-    columns = columns.groupBy("rows", "x", "s").agg(F.min("token").alias("token")).select("token")
+    # all rows have the columns in the same order, so the first of equal ones is first in every row
+    columns = columns.groupBy("rows", "x", "s").agg(F.max_by("token", "l").alias("token")).select("token")
     entries = durable(entries.join(columns, "token"))
 
-    links = None
-    for turn in range(HUBS + 1):
-        if links is None:
-            now = entries.withColumns({"comp": F.col("cls"), "weight": F.lit(1)})
-        else:
-            nodes = components(links)
-            weight = nodes.groupBy("root").agg(F.count("*").alias("weight"))
-            named = nodes.join(weight, "root")
-            now = entries.join(named, entries["cls"] == named["node"], "left").select(
-                "token", "cls", "n", F.coalesce("root", "cls").alias("comp"), F.coalesce("weight", F.lit(1)).alias("weight")
-            )
-            open_ = now.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-            now = durable(now.join(open_.filter("lo <> hi").select("token"), "token"))
-            if now.isEmpty():
-                break
-        if turn < HUBS:
-            by = F.struct("weight", F.xxhash64("cls", F.lit(turn)))
-            hubs = now.groupBy("token").agg(F.max_by(F.struct("cls", "n", "comp"), by).alias("hub"))
-            paired = now.join(hubs, "token").filter("comp <> hub.comp")
-            pairs = paired.select(
-                F.col("cls").alias("a"), F.col("hub.cls").alias("b"), F.col("n").alias("n_a"), F.col("hub.n").alias("n_b")
-            )
-        else:
-            one = now.select("token", F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("comp_a"))
-            two = now.select("token", F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"))
-            pairs = one.join(two, "token").filter("comp_a < comp_b")
-        pairs = pairs.filter(_near_in_size(percent)).select("a", "b").distinct()
+    side = lambda rows, s: rows.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("cls", "n", "left", "comp")])
+    links, now = None, entries.withColumn("comp", F.col("cls"))
+    for turn, width in enumerate([*HUBS, None]):
+        if links is not None:
+            nodes = components(links.select("a", "b"))
+            now = entries.join(nodes, entries["cls"] == nodes["node"], "left").withColumn("comp", F.coalesce("root", "cls"))
+        columns = now.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("rows"))
+        columns = columns.filter("lo <> hi").select("token", "rows")
+        now = durable(now.select("token", "cls", "n", "left", "comp").join(columns, "token"))
+        if now.isEmpty() and links is not None:
+            break
+        hubs = now
+        if width:
+            draw = F.pmod(F.xxhash64("cls", F.lit(turn)), F.lit(1 << 30)) * F.col("rows")
+            hubs = now.filter(draw <= width * (1 << 30))
+        pairs = side(now, "a").join(side(hubs, "b"), "token").filter("comp_a <> comp_b").filter(_may_reach(percent))
+        if not width:
+            pairs = pairs.filter("comp_a < comp_b")
+        pairs = pairs.select(F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b")).distinct()
         found = _linked(pairs, incidence, percent)
         links = durable(found if links is None else links.unionByName(found))
     return links
