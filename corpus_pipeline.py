@@ -1,17 +1,70 @@
-"""The corpus pipeline: ordered stages over ``documents``."""
+"""The corpus pipeline: ordered stages over ``documents``.
+
+Each stage takes (spark, docs, sf_dir), where ``docs`` has the columns of
+``documents``, and returns those columns again; the last one returns packed pieces.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerloom.llm import line_dedup, mixing, ngram_join, packing, toxicity
+from ledgerloom.session import durable
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier finds toxic (score 0.5 or more) go; it learns from ``labels``."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = toxicity.with_score(docs, toxicity.train(docs, labels), name="_score")
+    return scored.filter(F.col("_score") < 0.5).select(*docs.columns)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Long lines of many documents stay in one of them; ``n_chars`` follows the text. All documents stay."""
+    out = line_dedup.dedup_lines(docs, min_chars=40, min_docs=5)
+    changed = F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
+    return out.withColumn("n_chars", changed).select(*docs.columns)
+
+
+def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group with a Jaccard similarity of 0.8 or more on five-word shingles."""
+    groups = ngram_join.ngram_components(docs, k=5, percent=80)
+    kept = groups.filter("component_id is null or doc_id = component_id").select("doc_id").distinct()
+    kept = kept.withColumnRenamed("doc_id", "_kept")
+    # rows that repeat an id are one document; rows without an id differ by their text
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi").withColumn(
+        "_text", F.when(F.col("doc_id").isNull(), F.sha2("text", 256))
+    ).dropDuplicates(["doc_id", "_text"]).drop("_text")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    mixed = mixing.mix(docs, weights=(5, 2, 1), repeats=3)
+    taken = mixed.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return taken.select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 2048 tokens, each with its sequence and place there."""
+    return packing.pack_documents(docs, capacity=2048)
+
 
-from ledgerloom.llm import ngram_join
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("line dedup", drop_repeated_lines),
+    ("n-gram Jaccard join", keep_one_of_similar),
+    ("mixing sources to target weights", mix_sources),
+    ("best-fit packing", pack),
+]
 
-STAGES: list = []
+#: The classifier and the tokenizer have no SQL form; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole ``documents``, each written to the shared folder for the next one."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = durable(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, embedding_dedup, line_dedup, mixing, ngram_join, packing, sharding, toxicity
+from . import ann, embedding_dedup, html_extract, line_dedup, mixing, ngram_join, packing, sharding, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -122,6 +122,10 @@ def op6_cross_polytope_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op3_weighted_hash_tree": op3_weighted_hash_tree,
@@ -131,6 +135,7 @@ QUERIES = {
     "op7_line_dedup": op7_line_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_weighted_fair_queueing": op9_weighted_fair_queueing,
+    "op10_html_extraction": op10_html_extraction,
 }
 ORACLE = {
     "op2_embedding_near_dedup": OP2_SQL,
