@@ -18,8 +18,9 @@ Texts are tokenised once; what is shuffled is a few numbers a piece.
 from __future__ import annotations
 
 import bisect
+import json
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +51,61 @@ def tokenizer(path: str | None):
     return _tokenizers[path]
 
 
+# Fixed value: how byte-level BPE cuts a text before merging.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _byte_letters() -> dict[str, int]:
+    """The letter that a byte-level vocabulary file writes for each byte."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letters = {chr(b): b for b in plain}
+    rest = (b for b in range(256) if b not in plain)
+    return letters | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+def _ranked(path: str):
+    """The same ids from a faster library, for a file of plain byte-level BPE whose merges are in
+    the order of their ids; None for any other file."""
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    model, cutter = file["model"], file.get("pre_tokenizer") or {}
+    plain = model.get("type", "BPE") == "BPE" and cutter.get("type") == "ByteLevel" and not cutter.get("add_prefix_space")
+    special = [t["content"] for t in file.get("added_tokens", [])]
+    if not plain or file.get("normalizer") or not cutter.get("use_regex", True):
+        return None
+    letters = _byte_letters()
+    ranks = {bytes(letters[c] for c in t): i for t, i in model["vocab"].items() if t not in special}
+    merged = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    if merged != sorted(merged):
+        return None
+    return tiktoken.Encoding("ranked", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), special
+
+
+def encoder(path: str | None) -> Callable[[list[str]], list[list[int]]]:
+    """Texts to token ids, as the tokenizer file gives them without added special tokens.
+
+    A text that spells a special token goes to the file's own library.
+    """
+    path = path or default_tokenizer()
+    key = f"ranked {path}"
+    if key not in _tokenizers:
+        _tokenizers[key] = _ranked(path)
+
+    def slow(texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in tokenizer(path).encode_batch_fast(texts, add_special_tokens=False)]
+
+    if _tokenizers[key] is None:
+        return slow
+    ranked, special = _tokenizers[key]
+
+    def fast(texts: list[str]) -> list[list[int]]:
+        return [slow([t])[0] if any(x in t for x in special) else ranked.encode_ordinary(t) for t in texts]
+
+    return fast
+
+
 def cut(length: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces: one if it fits, else full ones after a shorter first one."""
     if length <= capacity:
@@ -64,7 +120,7 @@ def token_pieces(
     """(id, piece, start, length, ids_crc32[, ids]) of every document's ids and a closing 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer(path).encode_batch_fast
+        encode = encoder(path)
         for batch in batches:
             names, texts = batch.column(0), batch.column(1).fill_null("")
             sizes = np.cumsum(texts.to_pandas().str.len().to_numpy(dtype=np.int64)) if len(texts) else np.zeros(0)
@@ -73,8 +129,8 @@ def token_pieces(
                 if i == j:
                     continue
                 rows: list[list] = [[], [], [], [], [], []]
-                for k, one in enumerate(encode(texts.slice(i, j - i).to_pylist(), add_special_tokens=False)):
-                    ids = np.array([*one.ids, END], dtype="<u4")
+                for k, one in enumerate(encode(texts.slice(i, j - i).to_pylist())):
+                    ids = np.array([*one, END], dtype="<u4")
                     for p, (start, length) in enumerate(cut(len(ids), capacity)):
                         own = ids[start : start + length]
                         for to, value in zip(rows, (i + k, p, start, length, zlib.crc32(own.tobytes()), own), strict=True):
