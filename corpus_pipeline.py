@@ -13,36 +13,44 @@ from ledgerloom.llm import line_dedup, mixing, ngram_join, packing, toxicity
 from ledgerloom.session import durable
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    """All columns in one, beside those the operators read: no name can clash with theirs."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text", "source")
+
+
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier finds toxic (score 0.5 or more) go; it learns from ``labels``."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = toxicity.with_score(docs, toxicity.train(docs, labels), name="_score")
-    return scored.filter(F.col("_score") < 0.5).select(*docs.columns)
+    scored = toxicity.with_score(_rows(docs).select("row", "text"), toxicity.train(docs, labels))
+    return scored.filter("score < 0.5").select("row.*")
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Long lines of many documents stay in one of them; ``n_chars`` follows the text. All documents stay."""
-    out = line_dedup.dedup_lines(docs, min_chars=40, min_docs=5)
-    changed = F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
-    return out.withColumn("n_chars", changed).select(*docs.columns)
+    out = line_dedup.dedup_lines(_rows(docs), min_chars=40, min_docs=5)
+    new = {"text": F.when(F.col("n_dropped") > 0, F.col("text")).otherwise(F.col("row.text"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("row.n_chars"))
+    return out.select(*[(new[c] if c in new else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group with a Jaccard similarity of 0.8 or more on five-word shingles."""
+    """One document of each group with a Jaccard similarity of 0.8 or more on five-word shingles.
+
+    Rows that repeat an id are one document; rows without an id differ by their text.
+    """
     groups = ngram_join.ngram_components(docs, k=5, percent=80)
-    kept = groups.filter("component_id is null or doc_id = component_id").select("doc_id").distinct()
-    kept = kept.withColumnRenamed("doc_id", "_kept")
-    # rows that repeat an id are one document; rows without an id differ by their text
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi").withColumn(
-        "_text", F.when(F.col("doc_id").isNull(), F.sha2("text", 256))
-    ).dropDuplicates(["doc_id", "_text"]).drop("_text")
+    kept = groups.filter("component_id is null or doc_id = component_id").select(F.col("doc_id").alias("kept")).distinct()
+    rows = _rows(docs).join(kept, F.col("doc_id").eqNullSafe(F.col("kept")), "left_semi")
+    rows = rows.withColumn("unnamed", F.when(F.col("doc_id").isNull(), F.sha2("text", 256)))
+    return rows.dropDuplicates(["doc_id", "unnamed"]).select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    mixed = mixing.mix(docs, weights=(5, 2, 1), repeats=3)
-    taken = mixed.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return taken.select(*docs.columns)
+    mixed = mixing.mix(_rows(docs), weights=(5, 2, 1), repeats=3, keep=["row"])
+    taken = mixed.filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return taken.select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -170,16 +170,22 @@ def dedup_lines(
     columns pass through; two that are named ``n_lines`` or ``n_dropped`` are
     replaced. An empty table gives an empty result.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
     drops = repeated_lines(docs, id_col, text_col, min_chars, min_docs)
     drops = drops.select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("drops").alias("_drops"))
-    joined = docs.withColumn("_text_hash", F.xxhash64(text)).join(
-        drops, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left"
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).cast("long").alias("_own"),
+        text.alias("_text"), F.xxhash64(text).alias("_text_hash"),
     )
-    lines = F.split(text, "\n", -1)
-    kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("_drops"), _line_hash(x, min_chars)), F.lit(False)))
-    new = F.when(F.col("_drops").isNull(), text).otherwise(F.array_join(F.col("_kept"), "\n"))
+    rows = rows.join(drops, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left")
+    lines = F.split("_text", "\n", -1)
+    gone = lambda x: F.coalesce(F.array_contains("_drops", _line_hash(x, min_chars)), F.lit(False))
+    rows = rows.withColumn("_kept", F.when(F.col("_drops").isNotNull(), F.filter(lines, lambda x: ~gone(x))))
     n = F.size(lines).cast("long")
-    out = joined.withColumn("_kept", F.when(F.col("_drops").isNotNull(), kept))
-    out = out.withColumns({"n_lines": n, "n_dropped": F.when(F.col("_kept").isNull(), F.lit(0)).otherwise(n - F.size("_kept")).cast("long")})
-    return out.withColumn(text_col, new).drop("_id", "_hash", "_drops", "_text_hash", "_kept")
+    added = {
+        text_col: F.when(F.col("_kept").isNull(), F.col("_text")).otherwise(F.array_join("_kept", "\n")),
+        "n_lines": n,
+        "n_dropped": F.when(F.col("_kept").isNull(), F.lit(0)).otherwise(n - F.size("_kept")).cast("long"),
+    }
+    names = list(dict.fromkeys([*docs.columns, *added]))
+    return rows.select(*[(added[c] if c in added else F.col("_row")[c]).alias(c) for c in names])

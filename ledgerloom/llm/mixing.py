@@ -62,11 +62,11 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...], repeats: int) ->
 
 
 def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """``docs`` and what the queue needs; a null source is a source of its own."""
+    """``_row``, all columns of ``docs``, and ``_q``, what the queue needs; a null source is a source of its own."""
     source = F.col(source_col).cast("string")
     key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
     return docs.select(
-        *docs.columns,
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
         F.struct(
             F.col(id_col).alias("id"), source.alias("source"), word_count(F.col(text_col)).alias("size"),
             F.coalesce(F.concat(F.lit("="), source), F.lit("")).alias("src"),
@@ -140,8 +140,8 @@ def mix(
     ``copies`` says how often the mix takes the row, 0 to ``repeats``. The budget
     is the words of all rows. A null text has no words and is never taken; a null
     source is one source, the last one; a null id is a defined place in the shuffle.
-    Repeated rows each have their own place. ``keep`` columns may not be named like
-    the four added ones. An empty table gives an empty result.
+    Repeated rows each have their own place. A kept column named like one of the four
+    added ones is replaced. An empty table gives an empty result.
     """
     keep = docs.columns if keep is None else keep
     rows = _sized(docs, id_col, text_col, source_col)
@@ -153,5 +153,6 @@ def mix(
     taken = _taken(_cut(queue, budget), kind)
     small = set(keep) <= {id_col}
     full = queue if small else _queued(rows, targets, repeats)
-    mine = [F.col("_q.id").alias(c) if small else F.col(c) for c in keep]
+    keep = [c for c in keep if c not in ("size", "source_size", "target", "copies")]
+    mine = [F.col("_q.id").alias(c) if small else F.col("_row")[c].alias(c) for c in keep]
     return full.select(*mine, F.col("_q.size").alias("size"), "source_size", "target", taken.alias("copies"))

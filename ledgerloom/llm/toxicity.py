@@ -79,7 +79,7 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lab
     )
 
 
-def _vocabulary(rows: DataFrame, size: int, min_rows: int) -> list[str]:
+def _vocabulary(rows: DataFrame, size: int, min_rows: int, min_chi: float) -> list[str]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             every, toxic = Counter(), Counter()
@@ -101,7 +101,8 @@ def _vocabulary(rows: DataFrame, size: int, min_rows: int) -> list[str]:
     expected = F.col("n") * (whole["t"] / whole["n"])
     rate = whole["t"] / whole["n"]
     chi = F.pow(F.col("t") - expected, 2) / (F.col("n") * (rate * (1 - rate)) * (1 - F.col("n") / (whole["n"] + 1)))
-    best = sums.filter(F.col("n") >= min_rows).orderBy(chi.desc(), "name").limit(size)
+    best = sums.filter(F.col("n") >= min_rows).withColumn("chi", chi).filter(F.col("chi") >= min_chi)
+    best = best.orderBy(F.col("chi").desc(), "name").limit(size)
     return [r["name"] for r in best.select("name").collect()]
 
 
@@ -148,7 +149,7 @@ class _Sparse:
 
 
 def fit(
-    examples: list[tuple[list[int], int]], place: dict[str, int], fairness: float = 10.0, ridge: float = 1e-5,
+    examples: list[tuple[list[int], int]], place: dict[str, int], fairness: float = 10.0, ridge: float = 1e-4,
     steps: int = 600, rate: float = 0.1, swaps: int = 2, seed: int = 7,
 ) -> tuple[np.ndarray, float]:
     """Weights and bias by full-batch Adam: log loss + ridge + ``fairness`` * mean squared logit change."""
@@ -171,7 +172,7 @@ def fit(
 
 def train(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    max_rows: int = 20_000, vocabulary: int = 2_000, min_rows: int = 3,
+    max_rows: int = 20_000, vocabulary: int = 2_000, min_rows: int = 3, min_chi: float = 12.0,
 ) -> Model:
     """Fit on at most ``max_rows`` labelled rows outside the held-out fold.
 
@@ -179,7 +180,7 @@ def train(
     scores every text with the share of label 1 (0 without labels).
     """
     rows = labelled(docs, labels, id_col, text_col, label_col, max_rows)
-    chosen = _vocabulary(rows, vocabulary, min_rows)
+    chosen = _vocabulary(rows, vocabulary, min_rows, min_chi)
     if not chosen:
         share = rows.agg(F.avg("label")).first()[0] or 0.0
         return Model({}, float(np.log((share + 1e-6) / (1 - share + 1e-6))))
