@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 DEFAULT_RECON_BATCH = 100
 DEFAULT_BALANCE_BATCH = 50
 MAX_BACKFILL_WIDTH = 50_000
-CHUNKS_PER_POLL = 5
 
 CHUNK_FANOUT = 4096
 

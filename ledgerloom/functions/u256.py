@@ -219,8 +219,14 @@ def signed(a: Column, negative: Column) -> Column:
 
 
 def total(a: Column) -> Column:
-    """Aggregate: exact signed sum of a limb column; NULL over no non-null rows."""
-    return normalise_parts(F.sum(a["hi"]), F.sum(a["mid"]), F.sum(a["lo"]))
+    """Aggregate: exact signed sum of a limb column; NULL over no non-null rows.
+
+    A limb that is NULL over rows that are not (an overflow outside ANSI mode) fails.
+    """
+    full = F.count(a["lo"]) > 0
+    sums = [F.sum(a[k]) for k in ("hi", "mid", "lo")]
+    lost = F.raise_error(F.lit("a sum of amounts is out of range"))
+    return normalise_parts(*[F.when(full & s.isNull(), lost.cast("decimal(38,0)")).otherwise(s) for s in sums])
 
 
 def with_running(df: DataFrame, a: str, window, prefix: str) -> DataFrame:

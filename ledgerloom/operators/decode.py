@@ -242,22 +242,41 @@ def deliveries_to_escrow_events(
 def with_block_time(logs: DataFrame, blocks: DataFrame) -> DataFrame:
     """Attach the block's timestamp; one row per block, joined by number.
 
+    A log without its header fails the job when the time is read, so that no cursor
+    passes it; :func:`without` tells which logs have none.
+
     Spark broadcasts the headers when their measured size allows it and
     otherwise shuffles both sides.
     """
     times = blocks.select(
         "chain_id", "block_number", F.timestamp_seconds("timestamp").alias("block_timestamp")
     )
-    return logs.drop("block_timestamp").join(times, ["chain_id", "block_number"])
+    joined = logs.drop("block_timestamp").join(times.withColumn("_known", F.lit(True)), ["chain_id", "block_number"], "left")
+    return _complete(joined, ["block_timestamp"], F.concat(F.lit("no header of block "), "block_number"))
 
 
 def with_tx(df: DataFrame, transactions: DataFrame) -> DataFrame:
-    """Attach transaction metadata by hash."""
+    """Attach transaction metadata by hash; rows without it fail the job, as in :func:`with_block_time`."""
     meta = transactions.select(
         "chain_id", "tx_hash", "sender", "recipient", "gas_used", "status",
         F.col("block_number").alias("tx_block_number"),
     )
-    return df.join(meta, ["chain_id", "tx_hash"])
+    columns = [c for c in meta.columns if c not in ("chain_id", "tx_hash")]
+    joined = df.join(meta.withColumn("_known", F.lit(True)), ["chain_id", "tx_hash"], "left")
+    return _complete(joined, columns, F.concat(F.lit("no transaction "), "tx_hash"))
+
+
+def without(logs: DataFrame, metadata: DataFrame, keys: tuple[str, ...] = ("chain_id", "block_number")) -> DataFrame:
+    """Logs whose header (or transaction, by its keys) is not there yet, to be held back."""
+    return logs.join(metadata.select(*keys), list(keys), "left_anti")
+
+
+def _complete(joined: DataFrame, columns: list[str], message: Column) -> DataFrame:
+    kinds = {f.name: f.dataType for f in joined.schema}
+    checked = {
+        c: F.when(F.col("_known"), F.col(c)).otherwise(F.raise_error(message).cast(kinds[c])) for c in columns
+    }
+    return joined.withColumns(checked).drop("_known")
 
 
 def ledger_rows(decoded: DataFrame, raw: Column, name: str = "event_name") -> DataFrame:

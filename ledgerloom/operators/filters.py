@@ -96,7 +96,7 @@ def open_exception(exceptions: DataFrame, entity_ref: str) -> DataFrame:
     """The newest open exception of one entity, at most one row."""
     return (
         exceptions.filter((F.col("entity_ref") == entity_ref) & (F.col("status") == "open"))
-        .orderBy(F.desc("id"))
+        .orderBy(F.desc("detected_at"), F.desc("id"))
         .limit(1)
     )
 

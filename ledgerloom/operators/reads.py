@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import evm, u256
+from ..functions import u256
 from . import checkpoints as cp
 from . import filters as flt
 from . import paging
@@ -155,19 +155,16 @@ def employee_profile(
         fundings = flt.equal_ci(fundings, "employee", wallet)
         claims = flt.equal_ci(claims, "employee", wallet)
 
-    def nested(history: DataFrame, name: str, *fields) -> DataFrame:
-        entry = F.struct("rank", *fields, "tx_hash", "block_number", "block_timestamp", "log_index")
+    def nested(history: DataFrame, name: str, amounts: tuple[str, ...], *fields) -> DataFrame:
+        entry = F.struct("rank", *fields, *amounts, "tx_hash", "block_number", "block_timestamp", "log_index")
         return (
-            newest_per_employee(history)
+            _text(newest_per_employee(history), *amounts)  # amounts are written out for the newest rows only
             .groupBy("chain_id", F.col("employee").alias("wallet"))
             .agg(F.sort_array(F.collect_list(entry)).alias(name))
         )
 
-    paid = nested(
-        _text(fundings, "amount_paid", "fee", "amount_credited"), "funding_history",
-        "employer", "amount_paid", "fee", "amount_credited",
-    )
-    claimed = nested(_text(claims, "amount"), "claim_history", "amount")
+    paid = nested(fundings, "funding_history", ("amount_paid", "fee", "amount_credited"), "employer")
+    claimed = nested(claims, "claim_history", ("amount",))
     keys = ["chain_id", "wallet"]
     return _text(
         employees.join(paid, keys, "left").join(claimed, keys, "left"),
@@ -180,7 +177,3 @@ def backfill_requests(requests: DataFrame) -> DataFrame:
     from .quality import valid_ranges
 
     return valid_ranges(requests, backfill=True)
-
-
-def valid_accounts(df: DataFrame, column: str) -> DataFrame:
-    return df.filter(evm.valid_address(column))

@@ -20,10 +20,6 @@ from ..functions import evm, u256
 
 OPEN, RESOLVED = "open", "resolved"
 
-# Largest group of copies whose ids are listed inside the exception itself. The
-# ids of larger groups are all in :func:`duplicate_ids`, one row per copy.
-INLINE_IDS = 1000
-
 
 @dataclass(frozen=True)
 class Family:
@@ -222,29 +218,6 @@ def duplicate_ids(family: Family, stored: DataFrame) -> DataFrame:
     )
 
 
-def with_record_ids(family: Family, mismatches: DataFrame, stored: DataFrame) -> DataFrame:
-    """Put the copies' ids into the observed side of duplicates of bounded size."""
-    small = (
-        mismatches.filter(
-            (F.col("type") == f"{family.prefix}_DUPLICATE") & (F.col("copies") <= INLINE_IDS)
-        ).select(*family.keys)
-    )
-    ids = (
-        stored.select(*family.keys, "id", "block_number")
-        .join(small, list(family.keys))
-        .groupBy(*family.keys)
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("block_number", "id"))), lambda s: s["id"]).alias("ids"))
-    )
-    joined = mismatches.join(ids, list(family.keys), "left")
-    listed = evm.json_object(count=F.col("copies"), record_ids=F.col("ids"))
-    return joined.withColumn(
-        "observed",
-        F.when((F.col("type") == f"{family.prefix}_DUPLICATE") & F.col("ids").isNotNull(), listed).otherwise(
-            F.col("observed")
-        ),
-    ).drop("ids")
-
-
 _MISMATCH_COLUMNS = ("type", "severity", "entity_ref", "expected", "observed", "block_number")
 
 
@@ -256,7 +229,7 @@ def audit_events(
     chain_rows = authoritative_rows(family, decoded, first, last, token)
     db_rows = stored_rows(family, stored, first, last, token)
     found = find_mismatches(family, match_events(family, chain_rows, db_rows), safe, cursor, phantoms)
-    return with_record_ids(family, found, db_rows).select(*_MISMATCH_COLUMNS)
+    return found.select(*_MISMATCH_COLUMNS)
 
 
 # --- balances and contract state -------------------------------------------------
@@ -363,6 +336,11 @@ class Lifecycle:
     marks: DataFrame
 
 
+def exception_id(entity_ref: Column, detected_at: Column) -> Column:
+    """Id of an exception: what it is about and when it was found decide, so a repeated run gives the same."""
+    return F.shiftrightunsigned(F.xxhash64(entity_ref, detected_at.cast("timestamp")), 1)
+
+
 def _open_refs(exceptions: DataFrame) -> DataFrame:
     return exceptions.filter(F.col("status") == OPEN).select("entity_ref").distinct()
 
@@ -384,7 +362,7 @@ def apply_lifecycle(
         F.min_by(F.struct("type", "severity", "expected", "observed"), "type").alias("m")
     )
     opened = wanted.join(_open_refs(exceptions), "entity_ref", "left_anti").select(
-        F.lit(None).cast("long").alias("id"),
+        exception_id(F.col("entity_ref"), now).alias("id"),
         F.col("m.type").alias("type"),
         F.col("m.severity").alias("severity"),
         "entity_ref",
@@ -438,16 +416,6 @@ def in_scope(family: Family, chain_id: int, first, last, token: str | None = Non
     )
 
 
-def new_exception(rows: DataFrame) -> DataFrame:
-    """Defaults of a created exception: open, detected now."""
-    return rows.withColumns(
-        {
-            "status": F.coalesce(F.nullif("status", F.lit("")), F.lit(OPEN)),
-            "detected_at": F.coalesce("detected_at", F.current_timestamp()),
-        }
-    )
-
-
 def resolve_exceptions(exceptions: DataFrame, ids: DataFrame, now: Column | None = None) -> DataFrame:
     """Close the given ids where they are still open."""
     now = F.current_timestamp() if now is None else now

@@ -79,7 +79,7 @@ DUPLICATE_SQL = f"""
 SELECT 'TOKEN_TRANSFER_DUPLICATE' AS type, 'high' AS severity, {REF}duplicate' AS entity_ref,
   '{{"block_number":' || l.block_number || ',"chain_id":1,"count":1,"log_index":' || l.log_index
   || ',"token":"' || l.token || '","tx_hash":"' || l.tx_hash || '"}}' AS expected,
-  '{{"count":' || count(*) || ',"record_ids":[' || string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) || ']}}' AS observed
+  '{{"count":' || count(*) || '}}' AS observed
 FROM observed l GROUP BY l.chain_id, l.token, l.tx_hash, l.log_index, l.block_number HAVING count(*) > 1"""
 
 
@@ -211,7 +211,7 @@ SELECT '{prefix}_TX_INCONSISTENCY', 'medium', {ref}tx_inconsistency',
 UNION ALL
 SELECT '{prefix}_DUPLICATE', 'high', {ref}duplicate',
   {json({**key, **block, "count": "1"})},
-  '{{"count":' || count(*) || ',"record_ids":[' || string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) || ']}}'
+  '{{"count":' || count(*) || '}}'
 FROM observed l GROUP BY l.chain_id, l.tx_hash, l.log_index, l.block_number HAVING count(*) > 1"""
 
 

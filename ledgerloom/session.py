@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 # the cluster: AQE coalesces small partitions and splits skewed ones at run time.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
+    # exact sums must fail on overflow and never turn into NULL
+    "spark.sql.ansi.enabled": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -19,6 +21,9 @@ SETTINGS = {
 }
 
 
+SPREAD_BYTES = 64 << 20
+
+
 def apply_settings(spark: SparkSession) -> SparkSession:
     """Set the run-time settings on a session somebody else created."""
     for key, value in SETTINGS.items():
@@ -62,11 +67,10 @@ def durable(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for an input that comes in fewer pieces than there are cores.
+    """Use all cores for an input of at most ``SPREAD_BYTES``, by the size of its files.
 
-    A file of one row group is one task, however many cores wait. Such an input
-    is small, so one round-robin shuffle of its needed columns is cheap; an
-    input with enough pieces is left alone.
+    A small file is often one row group and so one task, however many cores wait.
+    Larger inputs are never shuffled for this. The rows are the same either way.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SPREAD_BYTES else df

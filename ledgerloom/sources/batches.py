@@ -1,135 +1,192 @@
 """Idempotent, all-or-nothing batch commits on plain parquet folders.
 
-A batch writes each table into its own ``batch_id=N`` folder and, as the very
-last step, one commit marker that also carries the stream's cursor. Readers only
-see folders of committed batches. Running a batch again replaces its folders
-and gives the same result; a batch that died half-way is invisible.
+A batch writes each table into a folder of its own and, as the very last step, one
+commit marker that also carries the stream's cursor. Readers only see folders of
+committed batches. Running a batch again replaces its folders and gives the same
+result; a batch that died half-way is invisible.
+
+A commit gets the next number of the store (``commit_seq``) when it is made, and versions
+of a row are ordered by it. What a writer calls its batches (``writer``,
+``batch_id``) only serves to recognise a repeated one, so a backfill and a live
+stream can share a stream id. A cursor never moves back by a commit; only
+``reset_cursor`` lowers it. ``compact`` folds what is committed into a base that
+readers take instead of the versions up to it.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..schemas import WriteRule
 from ..operators.upsert import latest
+from ..schemas import WriteRule
 
 COMMITS = "_commits"
-COMMIT_SCHEMA = T.StructType(
-    [
-        T.StructField("stream_id", T.StringType()),
-        T.StructField("chain_id", T.LongType()),
-        T.StructField("last_indexed_block", T.LongType()),
-        T.StructField("last_block_hash", T.StringType()),
-        T.StructField("updated_at", T.TimestampType()),
-        T.StructField("batch_id", T.LongType()),
-    ]
-)
+BASES = "_bases"
+LIVE = "live"
+_CURSOR = ("chain_id", "last_indexed_block", "last_block_hash")
+_MARKER = (
+    T.StructType().add("chain_id", T.LongType()).add("last_indexed_block", T.LongType())
+    .add("last_block_hash", T.StringType()).add("updated_at", T.TimestampType()).add("commit_seq", T.LongType())
+)
 
 
-def _folder(root: str, table: str, stream_id: str, batch_id: int) -> str:
-    return f"{root}/{table}/stream={stream_id}/batch_id={batch_id}"
+def _folder(root: str, table: str, stream_id: str, batch_id: int, writer: str = LIVE) -> str:
+    return f"{root}/{table}/stream={stream_id}/writer={writer}/batch_id={batch_id}"
 
 
 def commit_batch(
-    root: str, stream_id: str, batch_id: int, frames: dict[str, DataFrame], cursor: DataFrame | None = None
+    root: str, stream_id: str, batch_id: int, frames: dict[str, DataFrame], cursor: DataFrame | None = None,
+    writer: str = LIVE,
 ) -> None:
     """Write all frames of a batch, then its commit marker.
 
     ``cursor`` is a one-row table (chain_id, last_indexed_block,
-    last_block_hash); a cursor without stream id or with block 0 is not kept.
+    last_block_hash); a cursor without stream id or with block 0 is not kept, and
+    one below the stream's present cursor leaves that as it is.
     """
     spark = next(iter(frames.values())).sparkSession
     for table, frame in frames.items():
-        frame.write.mode("overwrite").parquet(_folder(root, table, stream_id, batch_id))
+        frame.write.mode("overwrite").parquet(_folder(root, table, stream_id, batch_id, writer))
+    _mark(spark, root, stream_id, batch_id, writer, cursor, forward=True)
+
+
+def reset_cursor(
+    spark: SparkSession, root: str, stream_id: str, chain_id: int, block: int, block_hash: str | None = None
+) -> None:
+    """Set a stream's cursor, lower ones included; the next backfill resumes after it."""
+    number = _next(spark, root)
+    cursor = spark.range(1).select(
+        F.lit(chain_id).cast("long").alias("chain_id"), F.lit(block).cast("long").alias("last_indexed_block"),
+        F.lit(block_hash).cast("string").alias("last_block_hash"),
+    )
+    _mark(spark, root, stream_id, number, "reset", cursor, forward=False)
+
+
+def _next(spark: SparkSession, root: str) -> int:
+    return (commits(spark, root).agg(F.max("commit_seq")).first()[0] or 0) + 1
+
+
+def _mark(
+    spark: SparkSession, root: str, stream_id: str, batch_id: int, writer: str, cursor: DataFrame | None, forward: bool
+) -> None:
+    """The marker of a commit; a repeated one keeps its number."""
+    done = commits(spark, root).filter(
+        (F.col("stream_id") == stream_id) & (F.col("writer") == writer) & (F.col("batch_id") == batch_id)
+    ).first()
+    seq = done["commit_seq"] if done else _next(spark, root)
     if cursor is None or not stream_id:
-        marker = spark.range(1).select(
-            F.lit(None).cast("long").alias("chain_id"),
-            F.lit(None).cast("long").alias("last_indexed_block"),
-            F.lit(None).cast("string").alias("last_block_hash"),
-        )
+        marker = spark.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in _MARKER if f.name in _CURSOR])
     else:
         block = F.col("last_indexed_block")
-        marker = cursor.select(
-            F.when(block > 0, F.col("chain_id")).alias("chain_id"),
-            F.when(block > 0, block).alias("last_indexed_block"),
-            F.when(block > 0, F.col("last_block_hash")).alias("last_block_hash"),
-        )
+        kept = block > 0 if forward else F.lit(True)
+        marker = cursor.select(*[F.when(kept, F.col(c)).cast(_MARKER[c].dataType).alias(c) for c in _CURSOR])
+        if forward:
+            earlier = cursors(spark, root, before=seq).filter(F.col("stream_id") == stream_id).select(*_CURSOR)
+            # the farthest of one row each; at the same block the newer hash
+            both = marker.withColumn("new", F.lit(1)).unionByName(earlier.withColumn("new", F.lit(0)))
+            ahead = F.max_by(F.struct(*_CURSOR), F.struct("last_indexed_block", "new"))
+            chain = marker.select("chain_id").first()["chain_id"]
+            if chain is not None:
+                marker = both.filter(F.col("chain_id") == chain).agg(ahead.alias("c")).select("c.*")
     (
-        marker.withColumn("updated_at", F.current_timestamp())
+        marker.withColumns({"updated_at": F.current_timestamp(), "commit_seq": F.lit(seq).cast("long")})
         .coalesce(1)  # one row by construction
         .write.mode("overwrite")
-        .parquet(_folder(root, COMMITS, stream_id, batch_id))
+        .parquet(_folder(root, COMMITS, stream_id, batch_id, writer))
     )
 
 
-def commits(spark: SparkSession, root: str) -> DataFrame:
-    """Commit markers; empty before the first commit."""
-    schema = T.StructType([f for f in COMMIT_SCHEMA if f.name not in ("stream_id", "batch_id")])
-    schema = schema.add("stream", T.StringType()).add("batch_id", T.LongType())
+def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The rows of a folder, none where it is not there yet."""
     try:
-        found = spark.read.schema(schema).parquet(f"{root}/{COMMITS}")
+        return spark.read.schema(schema).parquet(path)
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], COMMIT_SCHEMA)
-    return found.withColumnRenamed("stream", "stream_id")
+        return spark.createDataFrame([], schema)
+
+
+def _placed(schema: T.StructType) -> T.StructType:
+    full = T.StructType(list(schema.fields))
+    return full.add("stream", T.StringType()).add("writer", T.StringType()).add("batch_id", T.LongType())
 
 
-def is_committed(spark: SparkSession, root: str, stream_id: str, batch_id: int) -> bool:
+def commits(spark: SparkSession, root: str) -> DataFrame:
+    """Commit markers; empty before the first commit."""
+    return _read(spark, f"{root}/{COMMITS}", _placed(_MARKER)).withColumnRenamed("stream", "stream_id")
+
+
+def is_committed(spark: SparkSession, root: str, stream_id: str, batch_id: int, writer: str = LIVE) -> bool:
     done = commits(spark, root).filter(
-        (F.col("stream_id") == stream_id) & (F.col("batch_id") == batch_id)
+        (F.col("stream_id") == stream_id) & (F.col("writer") == writer) & (F.col("batch_id") == batch_id)
     )
     return not done.isEmpty()
 
 
-def cursors(spark: SparkSession, root: str) -> DataFrame:
+def cursors(spark: SparkSession, root: str, before: int | None = None) -> DataFrame:
     """Current cursor of each stream: the one of its newest commit that carries one."""
+    done = commits(spark, root).filter(F.col("last_indexed_block").isNotNull())
+    if before is not None:
+        done = done.filter(F.col("commit_seq") < before)
     return (
-        commits(spark, root)
-        .filter(F.col("last_indexed_block").isNotNull())
-        .groupBy("chain_id", "stream_id")
-        .agg(F.max_by(F.struct("last_indexed_block", "last_block_hash", "updated_at"), "batch_id").alias("c"))
+        done.groupBy("chain_id", "stream_id")
+        .agg(F.max_by(F.struct("last_indexed_block", "last_block_hash", "updated_at"), "commit_seq").alias("c"))
         .select("chain_id", "stream_id", "c.*")
     )
 
 
+def _base(spark: SparkSession, root: str, table: str) -> tuple[int, str] | None:
+    """(number, folder) of the newest base of a table."""
+    schema = T.StructType().add("folder", T.StringType()).add("table", T.StringType()).add("commit_seq", T.LongType())
+    newest = _read(spark, f"{root}/{BASES}", schema).filter(F.col("table") == table).orderBy(F.desc("commit_seq")).first()
+    return (newest["commit_seq"], newest["folder"]) if newest else None
+
+
 def read_versions(spark: SparkSession, root: str, table: str, schema: T.StructType) -> DataFrame:
-    """All committed rows of a table, with ``stream`` and ``batch_id``.
+    """All committed rows of a table with ``stream``, ``batch_id`` and ``commit_seq``, on top of its newest base.
 
-    The semi-join on the partition columns prunes uncommitted folders.
+    The join on the partition columns prunes uncommitted and folded folders.
     """
-    full = T.StructType(list(schema.fields))
-    full = full.add("stream", T.StringType()).add("batch_id", T.LongType())
-    rows = spark.read.schema(full).parquet(f"{root}/{table}")
-    done = commits(spark, root).select(F.col("stream_id").alias("stream"), "batch_id")
-    return rows.join(done, ["stream", "batch_id"], "left_semi")
+    base = _base(spark, root, table)
+    done = commits(spark, root).select(F.col("stream_id").alias("stream"), "writer", "batch_id", "commit_seq")
+    if base:
+        done = done.filter(F.col("commit_seq") > base[0])
+    rows = _read(spark, f"{root}/{table}", _placed(schema)).join(done, ["stream", "writer", "batch_id"])
+    columns = [*schema.fieldNames(), "stream", "batch_id", "commit_seq"]
+    if base is None:
+        return rows.select(*columns)
+    folded = spark.read.schema(schema).parquet(base[1])
+    folded = folded.withColumns({
+        "stream": F.lit(None).cast("string"), "batch_id": F.lit(None).cast("long"), "commit_seq": F.lit(base[0]).cast("long"),
+    })
+    return rows.select(*columns).unionByName(folded.select(*columns))
 
 
 def read_current(
     spark: SparkSession, root: str, table: str, schema: T.StructType, rule: WriteRule, order
 ) -> DataFrame:
     """Current rows of a table: committed versions folded by the table's rule."""
-    return latest(read_versions(spark, root, table, schema), rule, ["batch_id", *order])
+    return latest(read_versions(spark, root, table, schema), rule, ["commit_seq", *order])
 
 
 def compact(
-    spark: SparkSession, root: str, target: str, table: str, schema: T.StructType, rule: WriteRule, order,
-    buckets: int | None = None,
+    spark: SparkSession, root: str, table: str, schema: T.StructType, rule: WriteRule, order, buckets: int | None = None
 ) -> None:
-    """Fold all committed versions into a new folder set at ``target``.
+    """Fold all that is committed into a new base of the table.
 
-    Readers switch to ``target`` when the job is done; the versions stay.
+    Readers take the base once its marker is there; the versions it holds are not
+    read again and may be removed when no reader that began before is left.
+    ``schema`` has the columns of the rule.
     """
+    seq = _next(spark, root) - 1
     folded = read_current(spark, root, table, schema, rule, order)
     keys = [F.col(k) for k in rule.keys]
-    placed = folded.repartition(buckets, *keys) if buckets else folded
-    placed.write.mode("overwrite").parquet(target)
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
+    folder = f"{root}/_base/{table}/commit_seq={seq}"
+    (folded.repartition(buckets, *keys) if buckets else folded).select(
+        *[F.col(f.name) if f.name in folded.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema]
+    ).write.mode("overwrite").parquet(folder)
+    marker = spark.range(1).select(F.lit(folder).alias("folder"))
+    marker.coalesce(1).write.mode("overwrite").parquet(f"{root}/{BASES}/table={table}/commit_seq={seq}")

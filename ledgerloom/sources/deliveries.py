@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schemas import DELIVERY
 
@@ -11,18 +12,20 @@ from ..schemas import DELIVERY
 def parse_deliveries(text: DataFrame, column: str = "value") -> DataFrame:
     """Rows of JSON text to logs; malformed deliveries are left out.
 
-    Use :func:`rejected_deliveries` to see those.
+    A delivery with a member of the wrong type is malformed as a whole; an absent
+    log index is 0. Use :func:`rejected_deliveries` to see what was left out.
     """
-    body = text.select(F.from_json(F.col(column), DELIVERY).alias("d"))
+    body = text.select(_parsed(column).alias("d"))
     # the outer form, filtered afterwards: a condition on the array itself would
     # be pushed below the parser and parse every document twice
     return (
         body.select(
             F.col("d.createdAt").alias("created_at"),
             F.col("d.event.data.block.number").alias("block_number_fallback"),
+            F.col("d._corrupt").alias("corrupt"),
             F.explode_outer("d.event.data.block.logs").alias("log"),
         )
-        .filter(F.col("log").isNotNull())
+        .filter(F.col("log").isNotNull() & F.col("corrupt").isNull())
         .select(
             F.col("log.transactionHash").alias("tx_hash"),
             F.coalesce("log.logIndex", F.lit(0)).alias("log_index"),
@@ -40,14 +43,12 @@ def parse_deliveries(text: DataFrame, column: str = "value") -> DataFrame:
 
 def rejected_deliveries(text: DataFrame, column: str = "value") -> DataFrame:
     """Deliveries that do not parse: not JSON, or a member of the wrong type."""
-    parsed = F.from_json(F.col(column), _with_corrupt(), {"columnNameOfCorruptRecord": "_corrupt"})
-    return text.withColumn("_d", parsed).filter(F.col("_d._corrupt").isNotNull()).drop("_d")
+    return text.withColumn("_d", _parsed(column)).filter(F.col("_d._corrupt").isNotNull()).drop("_d")
 
 
-def _with_corrupt():
-    from pyspark.sql import types as T
-
-    return T.StructType([*DELIVERY.fields, T.StructField("_corrupt", T.StringType())])
+def _parsed(column: str) -> Column:
+    schema = T.StructType([*DELIVERY.fields, T.StructField("_corrupt", T.StringType())])
+    return F.from_json(F.col(column), schema, {"columnNameOfCorruptRecord": "_corrupt"})
 
 
 def read_deliveries(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:

@@ -33,10 +33,11 @@ class StreamSpec:
 
 def _cursor(batch: DataFrame, chain_id: int) -> DataFrame:
     """Highest block of the batch, known only once its rows are durable."""
+    hash_of = F.max_by("block_hash", "block_number") if "block_hash" in batch.columns else F.lit(None)
     return batch.agg(
         F.lit(chain_id).cast("long").alias("chain_id"),
         F.coalesce(F.max("block_number"), F.lit(0).cast("long")).alias("last_indexed_block"),
-        F.lit(None).cast("string").alias("last_block_hash"),
+        hash_of.cast("string").alias("last_block_hash"),
     )
 
 
@@ -80,15 +81,18 @@ def run_available(specs: Iterable[StreamSpec], root: str, checkpoint: str) -> di
 
 
 def dedup_stream(deliveries: DataFrame, ttl: str = "30 days", strict_compat: bool = False) -> DataFrame:
-    """Drop repeated webhook logs seen within ``ttl`` of event time.
+    """Drop repeated webhook logs that arrive within ``ttl`` of the first one.
 
-    The key is the log identity with its ``removed`` flag, so that a reorg
+    Time is that of receipt, the clock of the micro-batch, which is kept with the
+    batch's offsets and so is the same when the batch runs again. A first delivery
+    of an old block is never late. The key is the log identity with its ``removed`` flag, so that a reorg
     notice passes. ``strict_compat`` uses (tx_hash, log_index) alone.
     """
     keys = ["tx_hash", "log_index"] if strict_compat else [
         "chain_id", "contract_address", "tx_hash", "log_index", "removed"
     ]
-    return deliveries.withWatermark("block_timestamp", ttl).dropDuplicatesWithinWatermark(keys)
+    received = deliveries.withColumn("received_at", F.current_timestamp())
+    return received.withWatermark("received_at", ttl).dropDuplicatesWithinWatermark(keys).drop("received_at")
 
 
 def transfer_tables(batch: DataFrame) -> dict[str, DataFrame]:
@@ -98,13 +102,8 @@ def transfer_tables(batch: DataFrame) -> dict[str, DataFrame]:
     ledger = decode.ledger_rows(
         transfers.withColumn("event_name", F.lit("Transfer")), decode.transfer_json()
     )
-    extra = [c for c in ("arrival",) if c in batch.columns]
-    if not extra:
-        ledger = ledger.unionByName(
-            decode.ledger_rows(
-                approvals.withColumn("event_name", F.lit("Approval")), decode.approval_json()
-            )
-        )
+    allowed = decode.ledger_rows(approvals.withColumn("event_name", F.lit("Approval")), decode.approval_json())
+    ledger = ledger.unionByName(allowed, allowMissingColumns=True)
     return {"token_transfers": transfers, "chain_events": ledger}
 
 
@@ -133,14 +132,15 @@ def current_employees(spark: SparkSession, root: str, schema, touched: DataFrame
     A wallet is refolded from its whole committed history, so late and removed
     logs give the same result as if they had come in order.
     """
-    ledger = live_ledger(spark, root, schema)
-    if touched is not None:
-        ledger = ledger.join(touched.select("chain_id", "employee").distinct(), ["chain_id", "employee"], "left_semi")
-    return fold.fold_employees(ledger)
+    return fold.fold_employees(live_ledger(spark, root, schema, touched))
+
 
+def live_ledger(spark: SparkSession, root: str, schema, touched: DataFrame | None = None) -> DataFrame:
+    """Committed payroll ledger with the last word on ``removed``, reorged logs left out.
 
-def live_ledger(spark: SparkSession, root: str, schema) -> DataFrame:
-    """Committed payroll ledger with the last word on ``removed``, reorged logs left out."""
+    With ``touched`` only versions of those wallets are folded; all versions of a
+    log name the same wallet.
+    """
     from ..schemas import WriteRule
 
     keys = ("chain_id", "contract_address", "tx_hash", "log_index")
@@ -149,7 +149,10 @@ def live_ledger(spark: SparkSession, root: str, schema) -> DataFrame:
     )
     rule = WriteRule(keys, payload, ("removed", "block_timestamp"))
     versions = batches.read_versions(spark, root, "payroll_ledger", schema)
-    current = latest(versions, rule, ["batch_id", F.col("removed").cast("int")])
+    if touched is not None:
+        wallets = touched.select("chain_id", "employee").distinct()
+        versions = versions.join(wallets, ["chain_id", "employee"], "left_semi")
+    current = latest(versions, rule, ["commit_seq", F.col("removed").cast("int")])
     return current.filter(~F.col("removed"))
 
 
@@ -231,11 +234,10 @@ def backfill(
     while low <= target:
         high = min(low + width - 1, target)
         part = logs.filter(F.col("block_number").between(low, high))
-        cursor = spark.range(1).select(
-            F.lit(spec.chain_id).cast("long").alias("chain_id"),
-            F.lit(high).cast("long").alias("last_indexed_block"),
-            F.lit(None).cast("string").alias("last_block_hash"),
-        )
-        batches.commit_batch(root, spec.stream_id, high, spec.to_tables(part), cursor)
+        cursor = _cursor(part, spec.chain_id).withColumn(
+            # the hash is that of the range's last block, if it has a log
+            "last_block_hash", F.when(F.col("last_indexed_block") == high, F.col("last_block_hash"))
+        ).withColumn("last_indexed_block", F.lit(high).cast("long"))
+        batches.commit_batch(root, spec.stream_id, high, spec.to_tables(part), cursor, writer="backfill")
         low = high + 1
     return first, target

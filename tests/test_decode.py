@@ -103,4 +103,21 @@ def test_malformed_deliveries_are_rejected(spark):
     hexed = good.replace('"logIndex":3', '"logIndex":"0x3"')
     df = spark.createDataFrame([(good,), (hexed,), ("not json",)], "value string")
     assert rejected_deliveries(df).count() == 2
-    assert parse_deliveries(df.limit(1)).first().log_index == 3
+    assert [r.log_index for r in parse_deliveries(df).collect()] == [3]
+    absent = spark.createDataFrame([(good.replace(',"logIndex":3', ""),)], "value string")
+    assert rejected_deliveries(absent).count() == 0 and parse_deliveries(absent).first().log_index == 0
+
+
+def test_logs_without_metadata_are_never_dropped(spark):
+    logs = spark.createDataFrame([(1, 5, "0xa"), (1, 6, "0xb")], "chain_id long, block_number long, tx_hash string")
+    headers = spark.createDataFrame([(1, 5, 100)], "chain_id long, block_number long, timestamp long")
+    held = decode.without(logs, headers)
+    assert [r.block_number for r in held.collect()] == [6]
+    assert decode.with_block_time(logs.filter("block_number = 5"), headers).count() == 1
+    with pytest.raises(Exception, match="no header of block 6"):
+        decode.with_block_time(logs, headers).collect()
+    known = spark.createDataFrame([(1, "0xa", A, B, 1, "ok", 5)],
+                                  "chain_id long, tx_hash string, sender string, recipient string, gas_used long, status string, block_number long")
+    with pytest.raises(Exception, match="no transaction 0xb"):
+        decode.with_tx(logs, known).collect()
+    assert decode.without(logs, known, ("chain_id", "tx_hash")).first().tx_hash == "0xb"

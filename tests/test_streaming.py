@@ -142,6 +142,29 @@ def test_strict_dedup_drops_a_reorg_notice(spark, tmp_path):
     assert counts == {False: 2, True: 1}
 
 
+def test_first_delivery_of_an_old_block_is_not_late(spark, tmp_path):
+    days = ["2024-03-01", "2024-01-01", "2023-06-01", "2024-03-01"]  # newest first, the last one a repeat
+    for i, day in enumerate(days):
+        spark.createDataFrame([(1, A, f"0x{day}", 0, False, day)],
+                              "chain_id long, contract_address string, tx_hash string, log_index int, removed boolean, day string"
+                              ).withColumn("block_timestamp", F.to_timestamp("day")).coalesce(1).write.parquet(f"{tmp_path}/in/n={i}")
+    schema = spark.read.parquet(f"{tmp_path}/in").drop("n").schema
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    jobs.dedup_stream(source).writeStream.format("parquet").option("path", f"{tmp_path}/out").option(
+        "checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r.day for r in spark.read.parquet(f"{tmp_path}/out").collect()) == sorted(set(days))
+
+
+def test_cursor_carries_the_hash_of_its_block(spark, tmp_path):
+    root, cp, src = (f"{tmp_path}/{n}" for n in ("out", "cp", "in"))
+    frame = spark.createDataFrame([transfer(3, 1), transfer(7, 1)], SCHEMA)
+    frame.withColumn("block_hash", F.concat(F.lit("0xhash"), "block_number")).coalesce(1).write.parquet(src)
+    source = spark.readStream.schema(spark.read.parquet(src).schema).parquet(src)
+    jobs.start(jobs.StreamSpec("erc20", source, jobs.transfer_tables), root, cp).awaitTermination()
+    row = batches.cursors(spark, root).first()
+    assert (row.last_indexed_block, row.last_block_hash) == (7, "0xhash7")
+
+
 @pytest.fixture(autouse=True)
 def _no_leftover_streams(spark):
     yield

@@ -75,7 +75,7 @@ def test_batch_without_marker_is_invisible_and_rerun_replaces(spark, tmp_path):
     root = str(tmp_path)
     df = spark.createDataFrame([(1, 1, 1, 0)], "k int, first int, last int, seq int")
     batches.commit_batch(root, "s", 0, {"t": df}, _cursor(spark, 10))
-    df.withColumn("last", F.lit(99)).write.parquet(f"{root}/t/stream=s/batch_id=1")  # died before its marker
+    df.withColumn("last", F.lit(99)).write.parquet(f"{root}/t/stream=s/writer=live/batch_id=1")  # died before its marker
     assert batches.read_current(spark, root, "t", df.schema, RULE, ["seq"]).collect()[0].last == 1
     assert [r.last_indexed_block for r in batches.cursors(spark, root).collect()] == [10]
     for _ in range(2):
@@ -86,6 +86,32 @@ def test_batch_without_marker_is_invisible_and_rerun_replaces(spark, tmp_path):
     assert [r.last_indexed_block for r in batches.cursors(spark, root).collect()] == [20]
 
 
+def test_cursor_goes_forward_only_until_reset(spark, tmp_path):
+    root, df = str(tmp_path), spark.createDataFrame([(1,)], "k int")
+
+    def cursor():
+        return [(r.last_indexed_block, r.last_block_hash) for r in batches.cursors(spark, root).collect()]
+
+    batches.commit_batch(root, "s", 0, {"t": df}, _cursor(spark, 500))
+    late = spark.createDataFrame([(1, 300, "0xlate")], "chain_id long, last_indexed_block long, last_block_hash string")
+    batches.commit_batch(root, "s", 1, {"t": df}, late)
+    assert cursor() == [(500, "0xh")]
+    batches.reset_cursor(spark, root, "s", 1, 200, "0xr")
+    assert cursor() == [(200, "0xr")]
+    batches.commit_batch(root, "s", 2, {"t": df}, late)
+    assert cursor() == [(300, "0xlate")]
+
+
+def test_backfill_and_live_share_a_stream(spark, tmp_path):
+    """A batch of one writer never replaces that of another, and the later commit has the last word."""
+    root = str(tmp_path)
+    df = spark.createDataFrame([(1, 1, 1)], "k int, first int, last int")
+    batches.commit_batch(root, "s", 200, {"t": df}, _cursor(spark, 200), writer="backfill")
+    batches.commit_batch(root, "s", 0, {"t": df.withColumn("last", F.lit(2))}, _cursor(spark, 500))
+    assert batches.read_current(spark, root, "t", df.schema, RULE, []).first().last == 2
+    assert [r.last_indexed_block for r in batches.cursors(spark, root).collect()] == [500]
+
+
 def test_cursor_of_block_zero_is_not_kept(spark, tmp_path):
     df = spark.createDataFrame([(1,)], "k int")
     batches.commit_batch(str(tmp_path), "s", 0, {"t": df}, _cursor(spark, 0))
@@ -94,11 +120,26 @@ def test_cursor_of_block_zero_is_not_kept(spark, tmp_path):
 
 
 def test_compacted_table_equals_the_versions(spark, tmp_path):
-    df = spark.createDataFrame([(1, 1, 1, 0), (1, 2, 2, 1), (2, 5, 5, 2)], "k int, first int, last int, seq int")
-    batches.commit_batch(f"{tmp_path}/v", "s", 0, {"t": df}, None)
-    batches.compact(spark, f"{tmp_path}/v", f"{tmp_path}/c", "t", df.schema, RULE, ["seq"], buckets=2)
-    got = spark.read.parquet(f"{tmp_path}/c").select("k", "first", "last").collect()
-    assert sorted(map(tuple, got)) == [(1, 1, 2), (2, 5, 5)]
+    root, shape = str(tmp_path), "k int, first int, last int"
+
+    def commit(n, *rows):
+        batches.commit_batch(root, "s", n, {"t": spark.createDataFrame(list(rows), shape)}, None)
+
+    def current():
+        got = batches.read_current(spark, root, "t", spark.createDataFrame([], shape).schema, RULE, [])
+        return sorted(map(tuple, got.select("k", "first", "last").collect()))
+
+    commit(0, (1, 1, 1))
+    commit(1, (1, 2, 2), (2, 5, 5))
+    schema = spark.createDataFrame([], shape).schema
+    for _ in range(2):
+        batches.compact(spark, root, "t", schema, RULE, [], buckets=2)
+        assert current() == [(1, 1, 2), (2, 5, 5)]
+    commit(2, (2, 9, 9), (3, 7, 7))  # on top of the base: the first value stays, the last one wins
+    assert current() == [(1, 1, 2), (2, 5, 9), (3, 7, 7)]
+    batches.compact(spark, root, "t", schema, RULE, [])
+    assert current() == [(1, 1, 2), (2, 5, 9), (3, 7, 7)]
+    assert batches.read_versions(spark, root, "t", schema).count() == 3
 
 
 def test_checkpoint_reset_takes_underscore_literally(spark):
