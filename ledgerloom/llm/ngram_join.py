@@ -46,7 +46,7 @@ SAMPLED = 4  # step 2 looks at one in SAMPLED columns, a fixed range of the hash
 BLOCK = 2_000_000  # shingles of a column block, about
 BATCH = 1 << 14  # rows of a batch
 BROADCAST_ROWS = 1_000_000  # rows of 24 bytes; beyond it the survivors are joined by shuffling
-HUBS = (1, 8, 64)  # hubs of a column in each round, on average
+HUBS = (8, 96)  # hubs of a column in each round, on average
 
 
 def _signature(tokens: np.ndarray) -> bytes:
