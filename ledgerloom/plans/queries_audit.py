@@ -493,3 +493,60 @@ def state_audit_lifecycle(spark, sf_dir):
     )
     done = rec.apply_lifecycle(earlier, checked.filter(~F.col("matches")), checked.filter("matches"))
     return done.marks.groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+_AFTER = EARLIER + """,
+after AS (
+  SELECT e.type, e.entity_ref, CASE WHEN e.status = 'open' AND e.entity_ref IN
+    (SELECT entity_ref FROM outcomes WHERE outcome = 'resolved') THEN 'resolved' ELSE e.status END AS status FROM earlier e
+  UNION ALL SELECT type, entity_ref, 'open' FROM outcomes WHERE outcome = 'created')"""
+
+
+def _created(exceptions):
+    return exceptions.filter(F.col("detected_at") > F.lit("2024-01-02").cast("timestamp"))
+
+
+@BOOK.add("exceptions_created", sql.cte(EARLIER) + """
+SELECT count(*) AS n, count(*) AS ids, count(DISTINCT entity_ref) AS entities FROM outcomes WHERE outcome = 'created'""")
+def exceptions_created(spark, sf_dir):
+    """Every exception a run opens has an id of its own."""
+    opened = _created(_lifecycle(spark, sf_dir).exceptions)
+    return opened.agg(
+        F.count("*").alias("n"), F.countDistinct("id").alias("ids"), F.countDistinct("entity_ref").alias("entities")
+    )
+
+
+@BOOK.add("exceptions_resolved_by_id", sql.cte(_AFTER) + """
+SELECT 'TOKEN_TRANSFER_' || type AS type, entity_ref,
+       CASE WHEN type = 'MISSING' AND entity_ref IN (SELECT entity_ref FROM outcomes WHERE outcome = 'created')
+            THEN 'resolved' ELSE status END AS status FROM after""")
+def exceptions_resolved_by_id(spark, sf_dir):
+    """The missing rows of a run, closed by the ids the run gave them."""
+    after = durable(_lifecycle(spark, sf_dir).exceptions)
+    ids = _created(after).filter(_of("MISSING")).select("id")
+    return rec.resolve_exceptions(after, ids).select("type", "entity_ref", "status")
+
+
+@BOOK.add("open_exception_of_ref", sql.cte(_AFTER) + """
+SELECT 'TOKEN_TRANSFER_' || type AS type, entity_ref, status FROM after
+WHERE status = 'open' AND entity_ref = (SELECT min(entity_ref) FROM after WHERE status = 'open')""")
+def open_exception_of_ref(spark, sf_dir):
+    from ..operators import filters as flt
+
+    after = durable(_lifecycle(spark, sf_dir).exceptions)
+    ref = after.filter("status = 'open'").agg(F.min("entity_ref")).first()[0] or ""
+    return flt.open_exception(after, ref).select("type", "entity_ref", "status")
+
+
+@BOOK.add("exceptions_filtered", sql.cte(EARLIER) + """
+SELECT 'TOKEN_TRANSFER_' || type AS type, entity_ref FROM earlier WHERE type = 'MISSING' AND status = 'open'""")
+def exceptions_filtered(spark, sf_dir):
+    """By severity, status, type and time of detection, each in another case than stored."""
+    from ..operators import filters as flt
+
+    rows = _earlier_exceptions(faults.live_transfers(spark, sf_dir))
+    late = rows.withColumn("detected_at", F.lit("2025-06-01").cast("timestamp"))
+    both = rows.unionByName(late)
+    return flt.exceptions_where(
+        both, "HIGH", "Open", "token_transfer_missing", "2023-12-31", "2024-12-31"
+    ).select("type", "entity_ref")

@@ -9,6 +9,7 @@ from ..functions import evm, u256
 from ..operators import decode
 from ..session import scratch_path
 from ..sources import logs as log_source
+from ..sources import deliveries
 from ..sources.deliveries import parse_deliveries
 from . import sql, views
 from .book import Book
@@ -284,3 +285,33 @@ UNION SELECT 'Transfer' UNION SELECT 'Approval'""")
 def registry_topics_used(spark, sf_dir):
     used = _every_log(spark, sf_dir).select("topic0").distinct()
     return reg.event_registry(spark).join(used, "topic0", "left_semi").select("event_name")
+
+
+@BOOK.add("rejected_deliveries", sql.cte(sql.ESCROW) + """
+SELECT tx_hash, CAST('0x' || right(tx_hash, 15) AS BIGINT) % 3 <> 0 AS accepted FROM escrow""")
+def rejected_deliveries(spark, sf_dir):
+    """Every third delivery has its log index as hex text: rejected as a whole, never log 0."""
+    text = views.webhook_text(spark, sf_dir)
+    tx = F.get_json_object("value", "$.id")
+    number = F.conv(F.right(tx, F.lit(15)), 16, 10).cast("long")
+    hexed = F.regexp_replace("value", '"logIndex":([0-9]+)', '"logIndex":"0x$1"')
+    damaged = text.select(F.when(number % 3 == 0, hexed).otherwise(F.col("value")).alias("value"))
+    accepted = parse_deliveries(damaged).select("tx_hash", F.lit(True).alias("accepted"))
+    rejected = deliveries.rejected_deliveries(damaged).select(tx.alias("tx_hash"), F.lit(False).alias("accepted"))
+    return accepted.unionByName(rejected)
+
+
+@BOOK.add("logs_without_header", sql.cte(sql.DELIVERIES) + """
+SELECT tx_hash, log_index, block_number FROM deliveries WHERE block_number % 5 = 0""")
+def logs_without_header(spark, sf_dir):
+    """Logs to be held back while every fifth header is not there."""
+    headers = views.blocks(spark, sf_dir).filter(F.col("block_number") % 5 != 0)
+    return decode.without(views.transfer_logs(spark, sf_dir), headers).select("tx_hash", "log_index", "block_number")
+
+
+@BOOK.add("logs_without_tx", sql.cte(sql.DELIVERIES) + """
+SELECT tx_hash, log_index FROM deliveries WHERE order_key % 3 = 0""")
+def logs_without_tx(spark, sf_dir):
+    number = F.conv(F.right("tx_hash", F.lit(15)), 16, 10).cast("long")
+    known = views.transactions(spark, sf_dir).filter(number % 3 != 0)
+    return decode.without(views.transfer_logs(spark, sf_dir), known, ("chain_id", "tx_hash")).select("tx_hash", "log_index")

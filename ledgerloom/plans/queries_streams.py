@@ -18,6 +18,7 @@ from ..sources.deliveries import parse_deliveries, read_deliveries
 from ..streaming import jobs
 from . import sql, views
 from .book import Book
+from .queries_decode import APPROVALS
 from .queries_payroll import EMPLOYEE_COLUMNS, STAFF, _employees_out
 
 BOOK = Book()
@@ -28,15 +29,13 @@ def _files(df, path: str, n: int, order: str):
     df.repartitionByRange(n, order).write.mode("append").parquet(path)
 
 
-def _stream(spark, schema, path: str, per_trigger: int):
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
-
+def _dated_logs(spark, sf_dir):
+    day = F.col("arrival")["l_shipdate"].cast("timestamp")
+    return views.transfer_logs(spark, sf_dir).withColumn("block_timestamp", day)
 
-def _no_null_flags(schema):
-    """File sources may hold NULL anywhere."""
-    from pyspark.sql.types import StructType
 
-    return StructType.fromJson(schema.jsonValue())
+def _stream(spark, schema, path: str, per_trigger: int):
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
 
 
 @BOOK.add("stream_transfers", sql.cte(sql.TRANSFERS) + """
@@ -64,11 +63,13 @@ def stream_transfers(spark, sf_dir):
 @BOOK.add("stream_cursors", "SELECT 'erc20_transfers' AS stream_id, max(CAST(11000000 + "
           + sql.days("l_shipdate") + " AS BIGINT)) AS last_indexed_block FROM lineitem")
 def stream_cursors(spark, sf_dir):
-    """The cursor committed with the last micro-batch of a single-batch run."""
+    """The cursor after several micro-batches of shuffled ranges, and one of late blocks only."""
     root = scratch_path(spark, "stream")
     logs = views.transfer_logs(spark, sf_dir)
-    _files(logs, f"{root}/in", 2, "block_number")
-    spec = jobs.StreamSpec("erc20_transfers", _stream(spark, logs.schema, f"{root}/in", 100), jobs.transfer_tables)
+    _files(logs, f"{root}/in", 6, "block_number")
+    spec = jobs.StreamSpec("erc20_transfers", _stream(spark, logs.schema, f"{root}/in", 2), jobs.transfer_tables)
+    jobs.start(spec, f"{root}/out", f"{root}/cp").awaitTermination()
+    _files(logs.filter(F.col("block_number") < 11_000_500), f"{root}/in", 1, "block_number")
     jobs.start(spec, f"{root}/out", f"{root}/cp").awaitTermination()
     return batches.cursors(spark, f"{root}/out").select("stream_id", "last_indexed_block")
 
@@ -101,7 +102,7 @@ def stream_escrow(spark, sf_dir):
         {"raw_data": decode.escrow_json(), "block_timestamp": F.col("created_at")}
     ).drop("raw")
     versions = batches.read_versions(spark, f"{root}/out", "escrow_events", shape.schema)
-    return latest(versions, schemas.RULES["escrow_events"], ["batch_id", "stream"]).select(
+    return latest(versions, schemas.RULES["escrow_events"], ["commit_seq", "stream"]).select(
         "event_type", u256.to_string(F.col("escrow_id")).alias("escrow_id"),
         u256.to_string(F.col("amount")).alias("amount"), "raw_data", "tx_hash", "log_index",
         "block_number", "removed",
@@ -164,7 +165,8 @@ def stream_dedup(spark, sf_dir):
         "tx_hash", "log_index", "removed", F.col("created_at").alias("block_timestamp"),
     )
     rows.repartition(4).write.parquet(f"{root}/in")
-    source = _stream(spark, _no_null_flags(rows.schema), f"{root}/in", 100)
+    # a file a trigger, in no order of their dates: a first delivery is never late
+    source = _stream(spark, rows.schema, f"{root}/in", 1)
     query = (
         jobs.dedup_stream(source).writeStream.format("parquet").option("path", f"{root}/out")
         .option("checkpointLocation", f"{root}/cp").trigger(availableNow=True).start()
@@ -186,26 +188,105 @@ def stream_notifications(spark, sf_dir):
     return sent.groupBy("channel").agg(F.count("*").alias("n"), F.countDistinct("key").alias("keys"))
 
 
-@BOOK.add("backfill_transfers", sql.cte(sql.TRANSFERS) + """
-SELECT token, tx_hash, log_index, CAST(amount AS VARCHAR) AS amount FROM transfers
-WHERE (token, tx_hash, log_index) IN
-  (SELECT (token, tx_hash, log_index) FROM deliveries WHERE block_number BETWEEN 11000100 AND 11003000)""")
+@BOOK.add("backfill_transfers", sql.cte(sql.TRANSFERS) + """,
+d AS (SELECT *, CASE WHEN block_number <= 11001500 THEN 0 ELSE 1 + (block_number - 11001501) // 1000 END AS step
+      FROM deliveries WHERE block_number BETWEEN 11000100 AND 11003000)
+SELECT token, tx_hash, log_index, CAST(arg_min(amount, step * 1000 + arrival) AS VARCHAR) AS amount
+FROM d GROUP BY token, tx_hash, log_index""")
 def backfill_transfers(spark, sf_dir):
     """Two historical runs; the second resumes after the first one's cursor."""
     root = scratch_path(spark, "backfill")
-    logs = views.transfer_logs(spark, sf_dir)
+    logs = _dated_logs(spark, sf_dir)
     spec = jobs.StreamSpec("erc20_transfers", logs, jobs.transfer_tables)
     jobs.backfill(spec, logs, root, target=11_001_500, start_block=11_000_100)
     jobs.backfill(spec, logs, root, target=11_003_000, start_block=11_000_100, commit_blocks=1000)
     schema = decode.decode_transfers(logs).schema
-    versions = batches.read_versions(spark, root, "token_transfers", schema)
-    seen = versions.select("token", "tx_hash", "log_index").distinct()
-    current = views.transfers(spark, sf_dir).join(seen, ["token", "tx_hash", "log_index"], "left_semi")
+    # a key that is delivered in both runs keeps the amount of the first one
+    current = batches.read_current(spark, root, "token_transfers", schema, schemas.RULES["token_transfers"], ["arrival"])
     return current.select(
         "token", "tx_hash", "log_index", u256.to_string(F.col("amount")).alias("amount")
     )
 
 
+def _notices(logs):
+    """Each log of an early block once more, taken back."""
+    return logs.filter(F.col("block_number") < 11_000_400).withColumn("removed", F.lit(True))
+
+
+@BOOK.add("backfill_then_live", sql.cte(sql.DELIVERIES) + """
+SELECT token, tx_hash, log_index, bool_or(block_number < 11000400) AS taken_back,
+       (SELECT max(block_number) FROM deliveries WHERE NOT removed) AS cursor
+FROM deliveries WHERE NOT removed GROUP BY token, tx_hash, log_index""")
+def backfill_then_live(spark, sf_dir):
+    """History first, then a live batch under the same stream id: newer blocks and reorg notices."""
+    root = scratch_path(spark, "both")
+    logs = _dated_logs(spark, sf_dir).drop("arrival").filter(~F.col("removed"))
+    split = 11_001_200
+    spec = jobs.StreamSpec("erc20_transfers", logs, jobs.transfer_tables)
+    jobs.backfill(spec, logs, f"{root}/out", target=split, start_block=11_000_000)
+    live = logs.filter(F.col("block_number") > split).unionByName(_notices(logs))
+    live.repartition(4).write.parquet(f"{root}/in")
+    source = _stream(spark, live.schema, f"{root}/in", 100)
+    jobs.start(jobs.StreamSpec("erc20_transfers", source, jobs.transfer_tables), f"{root}/out", f"{root}/cp").awaitTermination()
+    schema = decode.decode_transfers(logs).schema
+    current = batches.read_current(
+        spark, f"{root}/out", "token_transfers", schema, schemas.RULES["token_transfers"], [F.col("removed").cast("int")]
+    )
+    seen = batches.cursors(spark, f"{root}/out").select("last_indexed_block")
+    return current.select("token", "tx_hash", "log_index", F.col("removed").alias("taken_back"), seen.scalar().alias("cursor"))
+
+
+@BOOK.add("stream_ledger", sql.cte(sql.DELIVERIES, "approvals AS (" + APPROVALS + ")") + """
+SELECT DISTINCT token AS contract_address, 'Transfer' AS event_name, tx_hash, CAST(log_index AS INTEGER) AS log_index FROM deliveries
+UNION ALL SELECT token, 'Approval', tx_hash, 0 FROM approvals""")
+def stream_ledger(spark, sf_dir):
+    """Transfers and Approvals of the token contracts in one ledger, over several micro-batches."""
+    root = scratch_path(spark, "stream")
+    logs = _dated_logs(spark, sf_dir).unionByName(views.approval_logs(spark, sf_dir), allowMissingColumns=True)
+    _files(logs, f"{root}/in", 6, "block_number")
+    spec = jobs.StreamSpec("erc20_transfers", _stream(spark, logs.schema, f"{root}/in", 3), jobs.transfer_tables)
+    jobs.start(spec, f"{root}/out", f"{root}/cp").awaitTermination()
+    schema = jobs.transfer_tables(logs)["chain_events"].schema
+    versions = batches.read_versions(spark, f"{root}/out", "chain_events", schema)
+    if "block_timestamp" not in versions.columns:
+        versions = versions.withColumn("block_timestamp", F.lit(None).cast("timestamp"))
+    return latest(versions, schemas.RULES["chain_events"], ["commit_seq"]).select(
+        "contract_address", "event_name", "tx_hash", "log_index"
+    )
+
+
+@BOOK.add("reset_cursor", "SELECT 'erc20_transfers' AS stream_id, CAST(11000700 AS BIGINT) AS last_indexed_block, "
+          "CAST(11000701 AS BIGINT) AS resumed_at")
+def reset_cursor(spark, sf_dir):
+    """A cursor set back by hand, and the range the next backfill reads."""
+    root = scratch_path(spark, "reset")
+    logs = _dated_logs(spark, sf_dir)
+    spec = jobs.StreamSpec("erc20_transfers", logs, jobs.transfer_tables)
+    jobs.backfill(spec, logs, root, target=11_000_900, start_block=11_000_000)
+    batches.reset_cursor(spark, root, "erc20_transfers", views.CHAIN, 11_000_700)
+    kept = batches.cursors(spark, root).select("stream_id", "last_indexed_block").collect()
+    first, _ = jobs.backfill(spec, logs, root, target=11_000_950, start_block=11_000_000)
+    rows = [(r["stream_id"], r["last_indexed_block"], first) for r in kept]
+    return spark.createDataFrame(rows, "stream_id string, last_indexed_block long, resumed_at long")
+
+
+@BOOK.add("compacted_transfers", sql.cte(sql.TRANSFERS) + """
+SELECT token, tx_hash, log_index, CAST(amount AS VARCHAR) AS amount, removed FROM transfers""")
+def compacted_transfers(spark, sf_dir):
+    """Four commits, folded into a base after the second one; readers take the base and what follows."""
+    root = scratch_path(spark, "compact")
+    logs = _dated_logs(spark, sf_dir)
+    rows = decode.decode_transfers(logs)
+    rule, schema = schemas.RULES["token_transfers"], rows.schema
+    keyed = F.pmod(F.xxhash64("token", "tx_hash", "log_index"), F.lit(4))
+    for part in range(4):
+        batches.commit_batch(root, "erc20_transfers", part, {"token_transfers": rows.filter(keyed == part)})
+        if part == 1:
+            batches.compact(spark, root, "token_transfers", schema, rule, ["arrival"])
+    current = batches.read_current(spark, root, "token_transfers", schema, rule, ["arrival"])
+    return current.select("token", "tx_hash", "log_index", u256.to_string(F.col("amount")).alias("amount"), "removed")
+
+
 @BOOK.add("finalized_rows", sql.cte(sql.PAYROLL) + """
 SELECT tx_hash, event_name FROM payroll
 WHERE block_number <= (SELECT max(block_number) FROM payroll) - 25""")
