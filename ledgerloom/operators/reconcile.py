@@ -9,7 +9,9 @@ more equi-joins on the entity reference.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -484,6 +486,62 @@ def reconcile_events(
     return EventRun(apply_lifecycle(exceptions, found, scope, now), found, first, last)
 
 
+@dataclass(frozen=True)
+class BalanceRun:
+    """``checked`` has every address looked at, ``target`` is the block it was looked at."""
+
+    lifecycle: Lifecycle
+    mismatches: DataFrame
+    checked: DataFrame
+    target: int
+
+
+def reconcile_balances(
+    checks: Callable[[int], list[DataFrame]], exceptions: DataFrame, *, latest: int, depth: int, start: int,
+    mode: str = "next", token_cursor: int | None = None, recon_cursor: int | None = None, batch: int = 0,
+    window: int = 0, target: int = 0, now: Column | None = None,
+) -> BalanceRun | None:
+    """One audit pass of balances and contract states by mode; None when there is no final block to look at.
+
+    ``checks`` gives the checked rows at a block (:func:`audit_balances`,
+    :func:`audit_contract_balance`, :func:`audit_states`). What matches may resolve
+    its open exception. The caller stores ``target`` as the audit cursor once the
+    exceptions are written (mode ``next``).
+    """
+    safe = blk.safe_head(latest, depth, "latest")
+    wanted = blk.balance_target(mode, start=start, safe=safe, cursor=recon_cursor, batch=batch, window=window, target=target)
+    block = blk.effective_target(wanted, safe, token_cursor, start)
+    if block is None:
+        return None
+    checked = reduce(DataFrame.unionByName, [c.select("matches", *_MISMATCH_COLUMNS) for c in checks(block)])
+    found = checked.filter(~F.col("matches")).select(*_MISMATCH_COLUMNS)
+    fixed = checked.filter("matches").select("entity_ref")
+    return BalanceRun(apply_lifecycle(exceptions, found, fixed, now), found, checked, block)
+
+
+def reconcile_all(runs: dict[str, Callable[[], EventRun | BalanceRun | None]], kind: str = "all") -> dict:
+    """The passes of a combined run, in their fixed order, by family; a pass with nothing to do is left out."""
+    done = {name: runs[name]() for name in combined_kinds(kind)}
+    return {name: run for name, run in done.items() if run is not None}
+
+
+def combined_summary(done: dict) -> DataFrame:
+    """A row per family of a combined run: where its audit cursor goes, mismatches and outcomes."""
+
+    def row(name: str, run) -> DataFrame:
+        counts = run.lifecycle.marks.agg(
+            *[F.count_if(F.col("outcome") == o).alias(o) for o in ("created", "resolved", "skipped")]
+        )
+        cursor = run.target if isinstance(run, BalanceRun) else run.last
+        found = run.mismatches.agg(F.count("*").alias("n")).scalar()
+        return counts.select(
+            F.lit(name).alias("family"), F.lit(cursor).cast("long").alias("cursor"), found.alias("mismatches"),
+            "created", "resolved", "skipped",
+        )
+
+    return reduce(DataFrame.unionByName, [row(name, run) for name, run in done.items()])
+
+
 def combined_kinds(kind: str) -> tuple[str, ...]:
     """Audits of one run; ``all`` runs every family."""
     every = ("payroll", "claims", "token", "balance")

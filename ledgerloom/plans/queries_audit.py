@@ -550,3 +550,94 @@ def exceptions_filtered(spark, sf_dir):
     return flt.exceptions_where(
         both, "HIGH", "Open", "token_transfer_missing", "2023-12-31", "2024-12-31"
     ).select("type", "entity_ref")
+
+
+# --- runs --------------------------------------------------------------------------
+
+_BALANCE_ROWS = _balance_rows_sql(
+    "TOKEN_BALANCE_MISMATCH", f"'1:{TOKEN}:' || address || ':token_balance_mismatch'", "wallet",
+    ("on_chain_balance", "db_balance"), "")
+
+
+def _no_exceptions(spark):
+    return spark.createDataFrame([], rec.EXCEPTION_SCHEMA)
+
+
+def _balance_run(spark, sf_dir, exceptions=None, **plan):
+    live = faults.live_transfers(spark, sf_dir)
+    stored = _stored_transfers(live)
+
+    def checks(block):
+        addresses = _addresses(spark, sf_dir, stored)
+        reads = rec.state_at(_balance_snapshots(live, addresses), "balance_of", block).select(
+            "chain_id", F.col("contract").alias("token"), F.col("wallet").alias("address"),
+            F.col("value").alias("balance"),
+        )
+        matched = rec.match_balances(addresses, bal.token_balances(stored, block), reads)
+        return [rec.audit_balances(matched, block)]
+
+    exceptions = _no_exceptions(spark) if exceptions is None else exceptions
+    return rec.reconcile_balances(checks, exceptions, depth=12, start=11_000_000, **plan)
+
+
+@BOOK.add("balance_run_next", sql.cte(BALANCE_SQL) + f"""
+SELECT entity_ref, 'created' AS outcome, CAST({TARGET} AS BIGINT) AS cursor FROM ({_BALANCE_ROWS}) WHERE NOT matches""")
+def balance_run_next(spark, sf_dir):
+    """The next batch after the audit cursor; its target becomes the cursor."""
+    run = _balance_run(
+        spark, sf_dir, latest=TARGET + 5000, mode="next", token_cursor=TARGET + 900, recon_cursor=TARGET - 50, batch=50
+    )
+    return run.lifecycle.marks.select("entity_ref", "outcome", F.lit(run.target).cast("long").alias("cursor"))
+
+
+@BOOK.add("balance_run_recent", sql.cte(BALANCE_SQL) + f""",
+checked AS ({_BALANCE_ROWS}), open_ AS (SELECT entity_ref FROM checked WHERE right(entity_ref, 25) LIKE '%0:token_balance_mismatch')
+SELECT entity_ref, CASE WHEN matches THEN 'resolved' WHEN entity_ref IN (SELECT entity_ref FROM open_) THEN 'skipped'
+                        ELSE 'created' END AS outcome
+FROM checked WHERE NOT matches OR entity_ref IN (SELECT entity_ref FROM open_)""")
+def balance_run_recent(spark, sf_dir):
+    """The recent window, limited by the token cursor, over exceptions that are already open."""
+    rows = _balance_run(spark, sf_dir, latest=TARGET + 12, mode="target", token_cursor=TARGET, target=TARGET).checked
+    open_ = rows.filter(F.col("entity_ref").endswith("0:token_balance_mismatch")).select(
+        F.lit(1).cast("long").alias("id"), "type", "severity", "entity_ref", "expected", "observed", F.lit("open").alias("status"),
+        F.lit("2024-01-01").cast("timestamp").alias("detected_at"), F.lit(None).cast("timestamp").alias("resolved_at"),
+    )
+    run = _balance_run(
+        spark, sf_dir, durable(open_), latest=TARGET + 800 + 12, mode="recent", token_cursor=TARGET, window=100
+    )
+    return run.lifecycle.marks.select("entity_ref", "outcome")
+
+
+def _counted(family: str, cursor: int, text: str) -> str:
+    return f"""SELECT '{family}' AS family, CAST({cursor} AS BIGINT) AS cursor, count(*) AS mismatches,
+  count(DISTINCT entity_ref) AS created, CAST(0 AS BIGINT) AS resolved, CAST(0 AS BIGINT) AS skipped FROM ({text})"""
+
+
+END = 99_999_987
+
+
+@BOOK.add("combined_run_summary", " UNION ALL ".join([
+    _counted("payroll", END, BOOK["recon_fundings"].sql), _counted("claims", END, BOOK["recon_claims"].sql),
+    _counted("token", END, BOOK["recon_transfers"].sql),
+    _counted("balance", TARGET, sql.cte(BALANCE_SQL) + f"SELECT * FROM ({_BALANCE_ROWS}) WHERE NOT matches")]))
+def combined_run_summary(spark, sf_dir):
+    """All four families in one run, each over its own rows."""
+
+    def events(family, decoded, stored):
+        return lambda: rec.reconcile_events(
+            family, decoded, stored, _no_exceptions(spark), chain_id=views.CHAIN, latest=END + 12, depth=12, start=0,
+            mode="range", bounds=(0, END), ingest_cursor=_cursor(decoded),
+        )
+
+    def payroll(family, kind):
+        decoded = decode.decode_payroll(views.payroll_logs(spark, sf_dir)).filter(F.col("event_name") == kind)
+        return events(family, decoded, faults.observed_payroll(spark, sf_dir, kind))
+
+    live = faults.live_transfers(spark, sf_dir)
+    done = rec.reconcile_all({
+        "payroll": payroll(rec.FUNDING, "PayrollFunded"),
+        "claims": payroll(rec.CLAIM, "SalaryClaimed"),
+        "token": events(rec.TRANSFER, live, faults.observed_transfers(live)),
+        "balance": lambda: _balance_run(spark, sf_dir, latest=TARGET + 12, mode="target", token_cursor=TARGET, target=TARGET),
+    })
+    return rec.combined_summary(done)
