@@ -134,6 +134,17 @@ def stream_employees(spark, sf_dir):
     return _employees_out(jobs.current_employees(spark, f"{root}/out", ledger_schema))
 
 
+@BOOK.add("stream_employees_incremental", sql.cte(STREAMED) + f"SELECT {EMPLOYEE_COLUMNS} FROM employees")
+def stream_employees_incremental(spark, sf_dir):
+    """Five micro-batches, each of which folds only the wallets it names."""
+    root = scratch_path(spark, "stream")
+    schema = _payroll_input(spark, sf_dir, root)
+    spec = jobs.StreamSpec("monthly_payroll", _stream(spark, schema, f"{root}/in", 2), jobs.payroll_tables)
+    ledger = decode.decode_payroll(views.payroll_logs(spark, sf_dir)).schema
+    jobs.start_projected(spec, f"{root}/out", f"{root}/cp", ledger).awaitTermination()
+    return _employees_out(jobs.projected_employees(spark, f"{root}/out", ledger))
+
+
 @BOOK.add("stream_employees_touched", sql.cte(STREAMED) + f"""
 SELECT {EMPLOYEE_COLUMNS} FROM employees WHERE wallet IN
   (SELECT employee FROM payroll WHERE event_name = 'EmployeeRemoved')""")

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import decode, fold
@@ -135,6 +136,45 @@ def current_employees(spark: SparkSession, root: str, schema, touched: DataFrame
     return fold.fold_employees(live_ledger(spark, root, schema, touched))
 
 
+def start_projected(spec: StreamSpec, root: str, checkpoint: str, schema, interval: str | None = None) -> StreamingQuery:
+    """A payroll stream that also keeps the table of current employees.
+
+    After a batch's ledger rows are committed, only the wallets it names are folded
+    again, from their committed history, and written as new versions of their rows; a
+    wallet that no live log names any more gets a version that says so.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        try:
+            frames = spec.to_tables(batch)
+            batches.commit_batch(root, spec.stream_id, batch_id, frames, _cursor(batch, spec.chain_id))
+            named = frames["payroll_ledger"].filter(F.col("employee").isNotNull())
+            touched = named.select("chain_id", "employee").distinct()
+            fresh = current_employees(batch.sparkSession, root, schema, touched).withColumn("present", F.lit(True))
+            rows = touched.withColumnRenamed("employee", "wallet").join(fresh, ["chain_id", "wallet"], "left")
+            rows = rows.withColumn("present", F.coalesce("present", F.lit(False)))
+            batches.commit_batch(root, spec.stream_id, batch_id, {"employees": rows}, writer="projection")
+        finally:
+            batch.unpersist()
+
+    writer = (
+        spec.source.writeStream.foreachBatch(write)
+        .queryName(spec.stream_id)
+        .option("checkpointLocation", f"{checkpoint}/{spec.stream_id}")
+    )
+    return writer.trigger(**({"processingTime": interval} if interval else {"availableNow": True})).start()
+
+
+def projected_employees(spark: SparkSession, root: str, schema) -> DataFrame:
+    """The newest version of every wallet that ``start_projected`` has kept."""
+    shape = fold.fold_employees(spark.createDataFrame([], schema)).schema
+    versions = batches.read_versions(spark, root, "employees", T.StructType([*shape.fields]).add("present", T.BooleanType()))
+    newest = F.max_by(F.struct(*[c for c in shape.fieldNames() if c not in ("chain_id", "wallet")], "present"), "commit_seq")
+    rows = versions.groupBy("chain_id", "wallet").agg(newest.alias("v")).filter("v.present")
+    return rows.select(*[F.col(c) if c in ("chain_id", "wallet") else F.col("v")[c].alias(c) for c in shape.fieldNames()])
+
+
 def live_ledger(spark: SparkSession, root: str, schema, touched: DataFrame | None = None) -> DataFrame:
     """Committed payroll ledger with the last word on ``removed``, reorged logs left out.
 
