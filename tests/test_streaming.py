@@ -165,6 +165,25 @@ def test_cursor_carries_the_hash_of_its_block(spark, tmp_path):
     assert (row.last_indexed_block, row.last_block_hash) == (7, "0xhash7")
 
 
+def test_wallet_without_live_logs_leaves_the_projection(spark, tmp_path):
+    from ledgerloom.plans import views
+
+    logs = views.payroll_logs(spark, "/root/testdata/sf0.001").limit(400)
+    root, cp, src = (f"{tmp_path}/{n}" for n in ("out", "cp", "in"))
+    logs.coalesce(1).write.parquet(src)
+    logs = spark.read.parquet(src)
+    ledger = decode.decode_payroll(logs)
+    job = jobs.StreamSpec("payroll", spark.readStream.schema(logs.schema).parquet(src), jobs.payroll_tables)
+    jobs.start_projected(job, root, cp, ledger.schema).awaitTermination()
+    before = {r.wallet for r in jobs.projected_employees(spark, root, ledger.schema).collect()}
+    gone = min(before)
+    keys = ledger.filter(F.col("employee") == gone).select("tx_hash", "log_index").distinct()
+    logs.join(keys, ["tx_hash", "log_index"], "left_semi").withColumn("removed", F.lit(True)).select(
+        *logs.columns).coalesce(1).write.mode("append").parquet(src)
+    jobs.start_projected(job, root, cp, ledger.schema).awaitTermination()
+    assert {r.wallet for r in jobs.projected_employees(spark, root, ledger.schema).collect()} == before - {gone}
+
+
 @pytest.fixture(autouse=True)
 def _no_leftover_streams(spark):
     yield
