@@ -552,6 +552,22 @@ def exceptions_filtered(spark, sf_dir):
     ).select("type", "entity_ref")
 
 
+@BOOK.add("exception_enum_violations", sql.cte(EARLIER) + """
+SELECT 'reconciliation_exceptions.severity' AS rule, entity_ref AS ref, 'urgent' AS value FROM earlier WHERE block_number % 3 = 0
+UNION ALL
+SELECT 'reconciliation_exceptions.status', entity_ref, 'waiting' FROM earlier WHERE block_number % 5 = 0""")
+def exception_enum_violations(spark, sf_dir):
+    """Exceptions with a severity or a status that there is not."""
+    from ..operators import quality
+
+    block = F.get_json_object("expected", "$.block_number").cast("long")
+    rows = _earlier_exceptions(faults.live_transfers(spark, sf_dir)).withColumns({
+        "severity": F.when(block % 3 == 0, "urgent").otherwise(F.col("severity")),
+        "status": F.when(block % 5 == 0, "waiting").otherwise(F.col("status")),
+    })
+    return quality.check_enums(exceptions=rows)
+
+
 # --- runs --------------------------------------------------------------------------
 
 _BALANCE_ROWS = _balance_rows_sql(

@@ -315,3 +315,31 @@ def logs_without_tx(spark, sf_dir):
     number = F.conv(F.right("tx_hash", F.lit(15)), 16, 10).cast("long")
     known = views.transactions(spark, sf_dir).filter(number % 3 != 0)
     return decode.without(views.transfer_logs(spark, sf_dir), known, ("chain_id", "tx_hash")).select("tx_hash", "log_index")
+
+
+@BOOK.add("explorer_links", f"""
+SELECT l_orderkey AS k, l_linenumber AS n, l_partkey AS p,
+       CASE WHEN l_linenumber % 2 = 0 THEN 'https://sepolia.etherscan.io/tx/' ELSE 'https://etherscan.io/tx/' END
+         || {sql.hash_('l_orderkey')} AS link,
+       'https://scan.example/t/' || {sql.hash_('l_orderkey')} || '?from=l' AS own FROM lineitem""")
+def explorer_links(spark, sf_dir):
+    """By chain, and by a template of the caller's."""
+    rows = views.table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"),
+        evm.hash_of("l_orderkey").alias("tx_hash"), F.when(F.col("l_linenumber") % 2 == 0, 11155111).otherwise(1).alias("chain_id"),
+    )
+    return rows.select(
+        "k", "n", "p", evm.explorer_url("tx_hash", "chain_id").alias("link"),
+        evm.explorer_url("tx_hash", "chain_id", "https://scan.example/t/%s?from=l").alias("own"),
+    )
+
+
+@BOOK.add("unique_violations_ledger", sql.cte(sql.DELIVERIES) + """
+SELECT t AS table_name, '1:' || token || ':' || tx_hash || ':' || log_index AS key, count(*) AS n
+FROM deliveries, (VALUES ('chain_events'), ('escrow_events')) v(t) GROUP BY ALL HAVING count(*) > 1""")
+def unique_violations_ledger(spark, sf_dir):
+    """Raw deliveries taken for the stored ledger and escrow tables: every repeat is a violation."""
+    from ..operators import quality
+
+    rows = views.deliveries(spark, sf_dir).select("chain_id", F.col("token").alias("contract_address"), "tx_hash", "log_index")
+    return quality.unique_violations({"chain_events": rows, "escrow_events": rows})

@@ -260,3 +260,31 @@ def employee_profile_one(spark, sf_dir):
         F.size(F.coalesce("funding_history", F.array())).alias("n_fundings"),
         F.size(F.coalesce("claim_history", F.array())).alias("n_claims"),
     )
+
+
+_OTHER_CHAIN = 11155111
+
+
+def _two_chains(rows):
+    """The same rows on a second chain, under wallets that end in another digit."""
+    other = rows.withColumns({
+        "chain_id": F.lit(_OTHER_CHAIN).cast("long"), "wallet": F.concat(F.substring("wallet", 1, 41), F.lit("f")),
+    })
+    return rows.unionByName(other)
+
+
+@BOOK.add("employees_of_chain", sql.cte(STAFF) + f"""
+SELECT {_OTHER_CHAIN} AS chain_id, left(wallet, 41) || 'f' AS wallet, employer, active FROM employees""")
+def employees_of_chain(spark, sf_dir):
+    """Of a table that holds two chains."""
+    from ..operators import filters as flt
+
+    rows = _two_chains(fold.fold_employees(views.payroll_events(spark, sf_dir)))
+    return flt.list_employees(rows, _OTHER_CHAIN).select(F.col("chain_id").cast("int").alias("chain_id"), "wallet", "employer", "active")
+
+
+@BOOK.add("employers_of_chain", sql.cte(STAFF) + "SELECT wallet FROM employers")
+def employers_of_chain(spark, sf_dir):
+    from ..operators import filters as flt
+
+    return flt.list_employers(_two_chains(fold.fold_employers(views.payroll_events(spark, sf_dir))), views.CHAIN).select("wallet")
