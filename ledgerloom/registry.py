@@ -1,7 +1,7 @@
 """Event registry: which topic means which event, and where its fields sit.
 
-The registry is the extension point of the decoder: pass rows of the same shape
-to :func:`event_registry` to decode further contracts.
+Rows of the same shape passed to :func:`event_registry` extend what dispatch knows
+and what the checks look at; the decoders are those of the built-in events.
 """
 
 from __future__ import annotations
