@@ -321,6 +321,22 @@ def test_planted_passages_are_found(spark):
         assert r["end"] - r["start"] >= 65 and 145 <= r["start"] <= 155 and r["n_equal"] >= 0.8 * r["n_words"]
 
 
+@pytest.mark.parametrize("parts", [(60, 20, 60), (60, 300, 100), (200, 1000, 200), (16, 20, 60), (6, 40, 60)])
+def test_every_passage_of_a_chain_is_found(spark, parts):
+    """Two shared passages (the last two cases: a stray phrase and one passage) with other words between."""
+    rng = random.Random(sum(parts))
+    rows, want = [], 0
+    for i in range(0, 40, 2):
+        first, between, last = parts
+        one, two = sentence(rng, first), sentence(rng, last)
+        rows += [(i + j, f"{sentence(rng, 30)} {one} {sentence(rng, between)} {two} {sentence(rng, 30)}", "s") for j in range(2)]
+        want += (first >= 50) + (last >= 50)
+    got = substring_dedup.repeated_passages(made(spark, rows)).collect()
+    assert len(got) == want
+    for r in got:
+        assert r["doc_id"] // 2 == r["other_id"] // 2 and min(abs(r["end"] - r["start"] - n) for n in parts if n >= 50) <= 3
+
+
 def test_best_chain_equals_brute_force():
     import numpy as np
 
