@@ -337,6 +337,24 @@ def test_every_passage_of_a_chain_is_found(spark, parts):
         assert r["doc_id"] // 2 == r["other_id"] // 2 and min(abs(r["end"] - r["start"] - n) for n in parts if n >= 50) <= 3
 
 
+def test_passages_whose_parts_are_led_by_other_texts(spark):
+    """Halves of a shared passage, or each of its frequent lines, are in other texts too; and one text holds it twice."""
+    rng = random.Random(21)
+    rows, want = [], set()
+    for i in range(0, 400, 10):
+        x, y, z = (sentence(rng, n) for n in (30, 30, 25))
+        own = lambda: sentence(rng, 40)
+        shared = f"{x} {y}" if i % 20 else f"{x} {y} {z}"
+        rows += [(i, f"{own()} {shared} {own()}", "s"), (i + 1, f"{own()} {shared} {own()}", "s")]
+        rows += [(i + 2 + j, f"{own()} {part} {own()}", "s") for j, part in enumerate([x, y, x, y, z, z])]
+        want.add((i, i + 1))
+    twice = sentence(rng, 60)
+    rows += [(1000, f"{sentence(rng, 20)} {twice} {sentence(rng, 80)} {twice} {sentence(rng, 20)}", "s"), (1001, f"{twice} {sentence(rng, 30)}", "s")]
+    got = substring_dedup.repeated_passages(made(spark, rows)).collect()
+    assert {tuple(sorted((r["doc_id"], r["other_id"]))) for r in got} == want | {(1000, 1001)}
+    assert sorted(r["start"] if r["doc_id"] == 1000 else r["other_start"] for r in got if r["doc_id"] >= 1000) == [20, 160]
+
+
 def test_best_chain_equals_brute_force():
     import numpy as np
 
