@@ -355,6 +355,21 @@ def test_passages_whose_parts_are_led_by_other_texts(spark):
     assert sorted(r["start"] if r["doc_id"] == 1000 else r["other_start"] for r in got if r["doc_id"] >= 1000) == [20, 160]
 
 
+@pytest.mark.parametrize(("n", "changed"), [(50, 2), (50, 5), (50, 7), (60, 9), (100, 18)])
+def test_changed_passages_are_found(spark, n, changed):
+    """Pairs that share ``n`` words but for some that are changed, no two of them neighbours."""
+    rng = random.Random(n + changed)
+    rows = []
+    for i in range(0, 120, 2):
+        w = sentence(rng, n).split()
+        other = list(w)
+        for at in rng.sample(range(2, n - 2, 2), changed):
+            other[at] = f"changed{at}"
+        rows += [(i + j, f"{sentence(rng, 40)} {' '.join(t)} {sentence(rng, 40)}", "s") for j, t in enumerate([w, other])]
+    got = {tuple(sorted((r["doc_id"], r["other_id"]))) for r in substring_dedup.repeated_passages(made(spark, rows)).collect()}
+    assert got <= {(i, i + 1) for i in range(0, 120, 2)} and len(got) >= 59
+
+
 def test_best_chain_equals_brute_force():
     import numpy as np
 
