@@ -37,13 +37,17 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group with a Jaccard similarity of 0.8 or more on five-word shingles.
 
-    Rows that repeat an id are one document; rows without an id differ by their text.
+    A row is judged by its own text: its name is its id and the hash of its text, and the smallest name of
+    a group stays, those without an id last. Rows with equal id and text are one document.
     """
-    groups = ngram_join.ngram_components(docs, k=5, percent=80)
-    kept = groups.filter("component_id is null or doc_id = component_id").select(F.col("doc_id").alias("kept")).distinct()
-    rows = _rows(docs).join(kept, F.col("doc_id").eqNullSafe(F.col("kept")), "left_semi")
-    rows = rows.withColumn("unnamed", F.when(F.col("doc_id").isNull(), F.sha2("text", 256)))
-    return rows.dropDuplicates(["doc_id", "unnamed"]).select("row.*")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    name = F.struct(
+        F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), F.col("text").isNull().alias("no_text"), F.sha2(text, 256).alias("sha")
+    )
+    groups = ngram_join.ngram_components(docs.select(name.alias("name"), "text"), id_col="name", k=5, percent=80)
+    kept = groups.filter(F.col("component_id").eqNullSafe(F.col("name"))).select(F.col("name").alias("kept")).distinct()
+    rows = _rows(docs).select("row", name.alias("name"))
+    return rows.join(kept, F.col("name").eqNullSafe(F.col("kept")), "left_semi").dropDuplicates(["name"]).select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

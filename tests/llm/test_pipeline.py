@@ -87,6 +87,22 @@ def test_one_document_of_a_group_stays(steps):
     assert after.filter("doc_id between 200 and 239").count() < 10
 
 
+def test_rows_are_judged_by_their_own_text(spark):
+    """Ids repeated with other texts, and near copies of which some or all have no id."""
+    rng = random.Random(3)
+    near, alone = [sentence(rng, 60) for _ in range(3)], [sentence(rng, 60) for _ in range(4)]
+    rows = [
+        (5, alone[0]), (5, alone[1]), (None, alone[2]), (None, alone[3]), (5, near[0] + " tail"), (3, near[0]),
+        (None, near[1]), (None, near[1] + " tail"), (None, near[1]), (None, near[2]), (9, near[2] + " tail"), (None, None), (None, ""), (8, None),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows], SCHEMA)
+    got = [(r["doc_id"], r["text"]) for r in STAGE["n-gram Jaccard join"](spark, docs, "").collect()]
+    ours = [r for r in got if r[1] in (near[1], near[1] + " tail")]
+    assert len(ours) == 1
+    want = [*rows[:4], (3, near[0]), *ours, (9, near[2] + " tail"), (None, None), (None, ""), (8, None)]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 def test_documents_are_mixed(steps):
     before, after = steps["mixing sources to target weights"]
     want = {(r["doc_id"], r["text"]): r["copies"] for r in mixing.mix(before).collect() if r["copies"]}
