@@ -9,18 +9,21 @@ rows is many tasks, and nothing is capped.
 
 Inside a block, queries and rows meet in one matrix product of the original vectors
 in double precision; the best ``k`` of each query leave the block, and the best of
-all blocks are the result. Largest inner product is asked, so vectors are first
-given one more coordinate that makes all lengths equal (the longest one), unless
-they are; the query's is 0. Angles then order as inner products do.
+all blocks are the result. Largest inner product is asked and angles are hashed, so
+rows are banded by length: inside a band angles order nearly as products do. A band of
+few rows (outliers in length among them) is compared with every query, and so are all
+rows with a query that the tables gave fewer than ``k``.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +33,8 @@ from . import vectors
 BLOCK = 8192
 TABLES = 12
 PROBES = 12
+BAND = 1.25  # lengths of a band, longest by shortest
+EXACT = 4096  # a band of fewer rows is compared with all queries
 QUERIES = 512  # of one product
 
 
@@ -48,13 +53,10 @@ def rotations(width: int, tables: int, seed: int = 5) -> np.ndarray:
     return np.random.default_rng(seed).choice([-1.0, 1.0], (tables, 3, width))
 
 
-def padded(rows: np.ndarray, extra: np.ndarray | None) -> np.ndarray:
-    """Rows, with one more coordinate if given, filled with zeros to a power of two."""
-    width = rows.shape[1] + (extra is not None)
-    out = np.zeros((len(rows), 1 << (width - 1).bit_length()))
+def padded(rows: np.ndarray) -> np.ndarray:
+    """Rows filled with zeros to a power of two."""
+    out = np.zeros((len(rows), 1 << (rows.shape[1] - 1).bit_length()))
     out[:, : rows.shape[1]] = rows
-    if extra is not None:
-        out[:, rows.shape[1]] = extra
     return out
 
 
@@ -84,33 +86,35 @@ def nearest(
         F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"), queries.alias("q")
     )
     rows = rows.filter(vectors.usable("v") & F.col("id").isNotNull()).select("id", "v", F.coalesce("q", F.lit(False)).alias("q"))
-    rows = durable(rows.withColumn("dim", F.size("v")))
     norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    lengths = rows.groupBy("dim").agg(F.max(norm).alias("most"), F.min(norm).alias("least")).collect()  # a row per length
-    longest = {r["dim"]: r["most"] for r in lengths}
-    unequal = {r["dim"] for r in lengths if r["most"] - r["least"] > 1e-6 * r["most"]}
+    # rounded, so that vectors of length 1 are in the middle of a band; squares may leave the range of doubles
+    band = F.round(F.log(F.least(F.greatest(norm, F.lit(1e-300)), F.lit(1e300))) / (2 * math.log(BAND))).cast("int")
+    rows = durable(rows.withColumn("dim", F.size("v")).withColumn("band", band))
+    sizes = rows.groupBy("dim", "band").agg(F.count("*").alias("n"), F.count_if("q").alias("asks")).collect()  # lengths are few
+    few = {(r["dim"], r["band"]) for r in sizes if r["n"] < EXACT}
+    hashed = {r["dim"] for r in sizes if r["n"] >= EXACT}
+    asks = sum(r["asks"] for r in sizes)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            dims = batch.column("dim").to_numpy()
-            for dim in np.unique(dims):
+            dims, bands = batch.column("dim").to_numpy(), batch.column("band").to_numpy()
+            small = np.array([(int(d), int(c)) in few for d, c in zip(dims, bands, strict=True)], dtype=bool)
+            for dim in np.unique(dims[np.isin(dims, list(hashed))]):
                 at = np.flatnonzero(dims == dim)
                 own = batch.take(pa.array(at))
                 x = vectors.matrix(own.column("v"))
                 blobs = [v.tobytes() for v in x]
-                lifted = int(dim) in unequal
-                flat = padded(x, np.sqrt(np.maximum(0, longest[int(dim)] - (x * x).sum(axis=1))) if lifted else None)
+                flat, indexed = padded(x), np.flatnonzero(~small[at])
                 asks = np.flatnonzero(own.column("q").to_numpy(zero_copy_only=False))
-                plain = padded(x[asks], np.zeros(len(asks)) if lifted else None)
                 ids = own.column("id").to_numpy()
                 for t, signs in enumerate(rotations(flat.shape[1], tables)):
-                    home = axes(flat, signs, 1)[:, 0]
-                    probed = axes(plain, signs, probes) if len(asks) else np.zeros((0, 1), np.int64)
-                    who = np.concatenate([np.arange(len(at)), np.repeat(asks, probed.shape[1])])
+                    home = axes(flat[indexed], signs, 1)[:, 0]
+                    probed = axes(flat[asks], signs, probes) if len(asks) else np.zeros((0, 1), np.int64)
+                    who = np.concatenate([indexed, np.repeat(asks, probed.shape[1])])
                     yield pa.RecordBatch.from_pydict({
                         "dim": pa.array(np.full(len(who), dim), pa.int32()), "bucket_table": pa.array(np.full(len(who), t), pa.int32()),
                         "bucket": pa.array(np.concatenate([home, probed.ravel()]), pa.int32()),
-                        "asks": pa.array(np.arange(len(who)) >= len(at)), "id": pa.array(ids[who], pa.int64()),
+                        "asks": pa.array(np.arange(len(who)) >= len(indexed)), "id": pa.array(ids[who], pa.int64()),
                         "vector": pa.array([blobs[i] for i in who], pa.binary()),
                     })
 
@@ -118,7 +122,7 @@ def nearest(
     placed = rows.mapInArrow(place, "dim int, bucket_table int, bucket int, asks boolean, id long, vector binary")
     # blocks of a bucket by its rows; a row per table and axis
     blocks = placed.filter("not asks").groupBy(*key).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = placed.join(F.broadcast(durable(blocks)), key)
+    placed = placed.join(F.broadcast(durable(blocks)), key) if hashed else placed.withColumn("blocks", F.lit(1))
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     own = F.array(F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = placed.withColumn("block", F.explode(F.when(F.col("asks"), every).otherwise(own))).drop("blocks")
@@ -143,8 +147,53 @@ def nearest(
         empty = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
         return pd.concat(out) if out else empty
 
-    found = dealt.groupBy(*key, "block").applyInPandas(best, "query_id long, vec_id long, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            column, blobs = batch.column(2), []
+            values, cuts = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64), pa.compute.list_value_length(column)
+            for n in cuts.to_pylist():
+                blobs.append(values[at : at + n].tobytes())
+                at += n
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(blobs, pa.binary())], names=["dim", "id", "vector"])
+
+    blobs = lambda some: some.select("dim", "id", "v").mapInArrow(flat, "dim int, id long, vector binary")
+
+    def compared(held: DataFrame, looking: DataFrame, held_rows: int, parts: int) -> DataFrame:
+        """Every row with every query of its length: blocks of rows by parts of queries."""
+        across = -(-max(1, held_rows) // BLOCK)
+        own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+        all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        held = blobs(held).withColumn("asks", F.lit(False)).withColumn("block", own(across)).withColumn("part", all_of(parts))
+        looking = blobs(looking).withColumn("asks", F.lit(True)).withColumn("part", own(parts)).withColumn("block", all_of(across))
+        both = held.unionByName(looking)
+        return both.groupBy("dim", "block", "part").applyInPandas(best, "query_id long, vec_id long, score double")
+
+    def ranked(found: DataFrame) -> DataFrame:
+        found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+        return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    in_few = F.lit(False)
+    for dim in sorted({d for d, _ in few}):
+        in_few = in_few | ((F.col("dim") == dim) & F.col("band").isin([c for d, c in sorted(few) if d == dim]))
+    found = []
+    if few:
+        n = sum(r["n"] for r in sizes if (r["dim"], r["band"]) in few)
+        found.append(compared(rows.filter(in_few), rows.filter("q"), n, -(-max(1, asks) // BLOCK)))
+    if hashed:
+        found.append(dealt.groupBy(*key, "block").applyInPandas(best, "query_id long, vec_id long, score double"))
+    if not found:
+        return embeddings.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    first = ranked(found[0] if len(found) == 1 else found[0].unionByName(found[1]))
+    if not hashed:
+        return first
+    first = durable(first)
+    full = first.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") >= k)
+    short = durable(rows.filter("q").filter(F.col("dim").isin(sorted(hashed))).join(full, F.col("id") == F.col("query_id"), "left_anti"))
+    lacking = short.count()
+    if not lacking:
+        return first
+    n = sum(r["n"] for r in sizes if (r["dim"], r["band"]) not in few)
+    more = compared(rows.filter(~in_few), short, n, -(-lacking // BLOCK))
+    return ranked(first.select("query_id", "vec_id", "score").unionByName(more))

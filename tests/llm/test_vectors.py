@@ -116,6 +116,37 @@ def test_search_recall(spark, stretch):
     assert found / (20 * len(want)) >= 0.9
 
 
+@pytest.mark.parametrize("lengths", ["one", "outliers", "spread"])
+def test_recall_does_not_hang_on_lengths(spark, monkeypatch, lengths):
+    """64 dimensions, tables for the bands of 500 rows or more; every query has its 20."""
+    monkeypatch.setattr(ann, "EXACT", 500)
+    rng = np.random.default_rng(11)
+    v = rng.normal(size=(3000, 64))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    if lengths == "outliers":
+        v[7], v[8] = v[7] * 100, v[8] * 10
+    if lengths == "spread":
+        v *= np.exp(0.5 * rng.normal(size=(3000, 1)))
+    rows = [(i, np.float64(np.float32(x))) for i, x in enumerate(v)]
+    got = ann.nearest(made(spark, [(i, x, 0) for i, x in rows]), F.col("vec_id") % 20 == 0, k=20).collect()
+    want = exact(rows, lambda i: i % 20 == 0, 20)
+    mine = {q: {r["vec_id"] for r in got if r["query_id"] == q} for q in want}
+    assert all(len(m) == 20 for m in mine.values())
+    assert sum(len(mine[q] & {j for j, _ in best}) for q, best in want.items()) / (20 * len(want)) >= 0.9
+
+
+def test_small_sets_and_short_queries_are_whole(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    rows = [(i, np.float64(np.float32(x))) for i, x in enumerate(rng.normal(size=(21, 64)))]
+    frame = made(spark, [(i, x, 0) for i, x in rows])
+    for least in (4096, 1):  # compared at once, or after the tables gave too few
+        monkeypatch.setattr(ann, "EXACT", least)
+        got = ann.nearest(frame, F.col("vec_id") % 20 == 0, k=20).collect()
+        assert {q: [j for j, _ in b] for q, b in exact(rows, lambda i: i % 20 == 0, 20).items()} == {
+            q: [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] for q in (0, 20)
+        }
+
+
 def test_blocks_of_a_bucket_change_nothing(spark, monkeypatch):
     rng = np.random.default_rng(1)
     frame = made(spark, [(i, rng.normal(size=8), 0) for i in range(300)] + [(1000 + i, np.ones(8), 0) for i in range(200)])
