@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, embedding_dedup, html_extract, line_dedup, mixing, ngram_join, packing, sharding, substring_dedup, toxicity
+from . import (
+    ann, embedding_dedup, html_extract, line_dedup, mixing, ngram_join, packing, ranked_search, sharding, substring_dedup, toxicity,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -130,6 +132,31 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(_table(spark, sf_dir, "pages"))
 
 
+def op13_pipelined_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=10)
+
+
+OP13_SQL = r"""
+WITH dw AS (
+  SELECT doc_id, row_number() OVER () AS d,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+iw AS (
+  SELECT DISTINCT item_id, unnest(
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark WHERE item_id IS NOT NULL),
+c AS (SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS l FROM dw WHERE len(w) > 0),
+p AS (SELECT d, term, count(*) AS tf FROM (SELECT d, unnest(w) AS term FROM dw) GROUP BY ALL),
+t AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w
+      FROM p, c WHERE term IN (SELECT term FROM iw) GROUP BY term, n_docs),
+m AS (SELECT d, doc_id, CAST(100 - 90 + (90 * len(w) * n_docs) // l AS BIGINT) AS m FROM dw, c WHERE len(w) > 0),
+s AS (SELECT item_id, doc_id, d, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+      FROM iw JOIN t USING (term) JOIN p USING (term) JOIN m USING (d) WHERE doc_id IS NOT NULL GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
@@ -141,12 +168,14 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_weighted_fair_queueing": op9_weighted_fair_queueing,
     "op10_html_extraction": op10_html_extraction,
+    "op13_pipelined_search": op13_pipelined_search,
 }
 ORACLE = {
     "op2_embedding_near_dedup": OP2_SQL,
     "op4_ngram_jaccard_join": OP4_SQL,
     "op7_line_dedup": OP7_SQL,
     "op9_weighted_fair_queueing": OP9_SQL,
+    "op13_pipelined_search": OP13_SQL,
 }
 
 
