@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import (
     ann, embedding_dedup, html_extract, line_dedup, mixing, ngram_join, packing, ranked_search, sharding, substring_dedup, toxicity,
+    whitening,
 )
 
 
@@ -132,6 +133,10 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(_table(spark, sf_dir, "pages"))
 
 
+def op11_feast_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_pipelined_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=10)
 
@@ -168,6 +173,7 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_weighted_fair_queueing": op9_weighted_fair_queueing,
     "op10_html_extraction": op10_html_extraction,
+    "op11_feast_whitening": op11_feast_whitening,
     "op13_pipelined_search": op13_pipelined_search,
 }
 ORACLE = {
