@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    ann, embedding_dedup, html_extract, line_dedup, mixing, ngram_join, packing, ranked_search, sharding, substring_dedup, toxicity,
+    ann, chunk_encoding, embedding_dedup, html_extract, line_dedup, mixing, ngram_join, packing, ranked_search, sharding, substring_dedup, toxicity,
     whitening,
 )
 
@@ -137,6 +137,13 @@ def op11_feast_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_chunk_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = chunk_encoding.encode_documents(_table(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
 def op13_pipelined_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=10)
 
@@ -174,6 +181,7 @@ QUERIES = {
     "op9_weighted_fair_queueing": op9_weighted_fair_queueing,
     "op10_html_extraction": op10_html_extraction,
     "op11_feast_whitening": op11_feast_whitening,
+    "op12_chunk_encoding": op12_chunk_encoding,
     "op13_pipelined_search": op13_pipelined_search,
 }
 ORACLE = {
