@@ -203,14 +203,16 @@ def search(
         docs = durable(docs.select(doc_id, doc_text))
     by_name = Window.partitionBy("slice").orderBy("name")
     vocabulary = distinct.withColumn("slice", F.pmod("name", F.lit(slices)).cast("int"))
-    # names are hashes: no slice comes to twice the mean
-    vocabulary = durable(vocabulary.withColumn("term", (F.row_number().over(by_name) - 1 + F.col("slice") * 2 * OWNED).cast("int")))
-    found = None
+    vocabulary = durable(vocabulary.withColumn("place", F.row_number().over(by_name) - 1))
+    found, term, before = None, F.lit(0), 0
     for s in range(slices):
         known = [r[0] for r in vocabulary.filter(F.col("slice") == s).select("name").collect()]
-        one = _blocks(docs, doc_id, doc_text, np.array(sorted(known), dtype=np.int64), s * 2 * OWNED).withColumn("slice", F.lit(s))
+        # a job of its own each: blocks are named by task and place in it
+        one = durable(_blocks(docs, doc_id, doc_text, np.array(sorted(known), dtype=np.int64), before).withColumn("slice", F.lit(s)))
         found = one if found is None else found.unionByName(one)
-    found = durable(found)
+        term = F.when(F.col("slice") == s, F.col("place") + before).otherwise(term)
+        before += len(known)
+    vocabulary = vocabulary.withColumn("term", term.cast("int"))
     whole = found.filter("slice = 0")
     sizes = whole.select(F.explode("n").alias("n")).filter("n > 0").agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     n_docs, all_terms = int(sizes[0]), int(sizes[1])
