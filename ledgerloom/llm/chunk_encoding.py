@@ -19,6 +19,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
+import struct
 from collections.abc import Iterator
 from functools import cache
 from unicodedata import category, combining, decomposition, normalize
@@ -26,6 +28,7 @@ from unicodedata import category, combining, decomposition, normalize
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,11 +39,16 @@ from . import words
 WINDOW, LEAST, MASK_BITS, MOST = 32, 128, 9, 8192  # bytes; a chunk ends about every LEAST + 2**MASK_BITS
 BITS_PER_KEY, MOST_BITS, PAGE_BITS = 32, 1 << 28, 1 << 16
 GROUP_BYTES = 4 << 20  # texts put together in one group
-AT_ONCE = 1_000_000  # characters encoded in one call
-SIDE = 192  # characters at both ends of a chunk in which the beginnings of words are kept
+AT_ONCE = 250_000  # characters encoded in one call
+WORDS = 200_000  # words that a task remembers
+SIDE = 96  # characters at both ends of a chunk in which the beginnings of words are kept
 STRETCH = 64
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
+# Fixed value: the bytes that a byte-level vocabulary writes as themselves; the others follow from U+0100 on.
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
+
 _open: dict = {}
 
 
@@ -55,6 +63,7 @@ class Coder:
     """A tokenizer file, and how far what follows a place can change what stands before it."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -64,19 +73,77 @@ class Coder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         special = [t["content"] for t in file.get("added_tokens") or []]
+        self.special = special
         self.back = max([16, *(len(s) for s in special)]) + 8
+        self.words = None if file.get("decoder") else _words(file)
+        self.lowers = "Lowercase" in str(file.get("normalizer"))
+        self.seen: dict[str, tuple[bytes, str]] = {}
+        self.kinds: dict[str, bool] = {}
 
     def batch(self, texts: list[str]):
         return self.tokenizer.encode_batch(texts, add_special_tokens=False)
 
-    def ids(self, texts: list[str]) -> Iterator[np.ndarray]:
-        for part in _parts(texts):
-            for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False):
-                yield np.array(e.ids, dtype="<u4")
-
     def decode(self, ids: list[np.ndarray]) -> list[str]:
         return self.tokenizer.decode_batch([i.tolist() for i in ids], skip_special_tokens=False)
 
+    def whole(self, texts: list[str]) -> tuple[list[bytes], list[str]]:
+        """Ids and decoded text of whole texts."""
+        ids, decoded, slow = [b""] * len(texts), [""] * len(texts), []
+        for i, text in enumerate(texts):
+            got = self._by_words(text)
+            if got is None:
+                slow.append(i)
+            else:
+                ids[i], decoded[i] = got
+        for part in _parts([texts[i] for i in slow]):
+            own = [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            for i, one, d in zip(slow, own, self.decode(own), strict=False):
+                ids[i], decoded[i] = one.tobytes(), d
+            slow = slow[len(part) :]
+        return ids, decoded
+
+    def _by_words(self, text: str) -> tuple[bytes, str] | None:
+        """The same from words met before; None where the library has to read the text itself.
+
+        The library normalises the text and encodes each new word. A character counts as a
+        letter, number or other only if the library cuts it that way.
+        """
+        if self.words is None or any(s in text for s in self.special):
+            return None
+        # nothing composes in ASCII, and white space is in no word
+        text = text.lower() if self.lowers and text.isascii() else self.tokenizer.normalizer.normalize_str(text)
+        if not all(map(self._same_kind, set(text))):
+            return None
+        parts, seen, model = self.words.findall(text), self.seen, self.tokenizer.model
+        for word in set(parts):
+            if word not in seen:
+                letters = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(_LETTERS)
+                tokens = model.tokenize(letters)
+                seen[word] = (struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens]), " ".join([t.value for t in tokens]))
+        found = [seen[w] for w in parts]
+        if len(seen) > WORDS:
+            seen.clear()
+        return b"".join([f[0] for f in found]), " ".join([f[1] for f in found])
+
+    def _same_kind(self, c: str) -> bool:
+        known = self.kinds.get(c)
+        if known is None:
+            cut = self.tokenizer.pre_tokenizer.pre_tokenize_str
+            texts = ("a" + c + "a", "1" + c, "." + c + ".")
+            known = self.kinds[c] = all([x[1] for x in cut(t)] == [m.span() for m in self.words.finditer(t)] for t in texts)
+        return known
+
+
+def _words(file: dict):
+    """The cut of a file that keeps the matches of one pattern and nothing else."""
+    cutter = file.get("pre_tokenizer") or {}
+    cuts = cutter.get("pretokenizers", [cutter])
+    if [c.get("type") for c in cuts] != ["Split", "ByteLevel"] or not file.get("normalizer"):
+        return None
+    split, last = cuts
+    plain = split["behavior"] == "Removed" and split["invert"] and "Regex" in split["pattern"] and not last.get("use_regex", True)
+    return regex.compile(split["pattern"]["Regex"]) if plain else None
+
 
 def _check(file: dict, path: str) -> None:
     """Only files whose words follow from the text at and after their beginning."""
@@ -307,24 +374,35 @@ def _encoded_chunks(chunks: DataFrame, path: str | None) -> DataFrame:
             for part in _parts(texts):
                 for e, t in zip(by.batch(part), part, strict=True):
                     head, tail = sides(e, t)
-                    ids.append(np.array(e.ids, dtype="<u4").tobytes())
-                    heads.append(np.array(head, dtype="<i4").tobytes())
-                    tails.append(np.array(tail, dtype="<i4").tobytes())
+                    ids.append(_packed(e.ids))
+                    heads.append(_packed(head))
+                    tails.append(_packed(tail))
             columns = [batch.column(0), *(pa.array(c, pa.binary()) for c in (ids, heads, tails))]
             yield pa.RecordBatch.from_arrays(columns, names=["name", "ids", "head", "tail"])
 
     return chunks.select("name", "chunk").mapInArrow(run, "name binary, ids binary, head binary, tail binary")
 
 
+def _packed(numbers) -> bytes:
+    """Numbers in two bytes each if all fit, and a byte that says so."""
+    numbers = np.array(numbers, dtype="<u4")
+    small = not len(numbers) or int(numbers.max()) < 1 << 16
+    return b"\0" + numbers.astype("<u2").tobytes() if small else b"\1" + numbers.tobytes()
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob[1:], dtype="<u4" if blob[0] else "<u2").astype("<u4")
+
+
 def _pairs(blob: bytes) -> list[tuple[int, int]]:
-    return [tuple(p) for p in np.frombuffer(blob, dtype="<i4").reshape(-1, 2).tolist()]
+    return [tuple(p) for p in _unpacked(blob).reshape(-1, 2).tolist()]
 
 
 def _assemble(path: str | None):
     def run(rows: pa.Table, known: pa.Table) -> pa.Table:
         by, texts = coder(path), rows["text"].to_pylist()
         columns = (known[c].to_pylist() for c in ("name", "ids", "head", "tail"))
-        known_ids = {n: (np.frombuffer(i, "<u4"), _pairs(h), _pairs(t)) for n, i, h, t in zip(*columns, strict=True)}
+        known_ids = {n: (_unpacked(i), _pairs(h), _pairs(t)) for n, i, h, t in zip(*columns, strict=True)}
         plans, alone = [], []
         for text in texts:
             plan, start = [], 0
@@ -394,10 +472,10 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                     continue
                 by, texts, at = coder(path), own.column(1).to_pylist(), 0
                 for texts_ in _parts(texts):
-                    ids = list(by.ids(texts_))
+                    ids, decoded = by.whole(texts_)
                     columns = [
-                        own.column(0).slice(at, len(ids)), pa.array([len(i) for i in ids], pa.int64()),
-                        pa.array([i.tobytes() for i in ids], pa.binary()), pa.array(by.decode(ids), pa.string()),
+                        own.column(0).slice(at, len(ids)), pa.array([len(i) // 4 for i in ids], pa.int64()),
+                        pa.array(ids, pa.binary()), pa.array(decoded, pa.string()),
                     ]
                     at += len(ids)
                     yield pa.RecordBatch.from_arrays(columns, names=["id", "n_tokens", "token_ids", "decoded"])
