@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import html
 import re
-from dataclasses import dataclass, field
+from collections import Counter
+from dataclasses import dataclass
 
 _PART = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -19,7 +20,7 @@ _TOKEN = re.compile(r"[a-z]+")
 
 # Tags of HTML by what they do to the text around them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template title textarea iframe svg math object canvas audio video head".split())
+RAW = frozenset("script style title textarea head".split())
 INLINE = frozenset(
     """a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small
     span strike strong sub sup time tt u var wbr""".split()
@@ -31,14 +32,60 @@ SCOPES = frozenset("ul ol dl table select body article section div".split())
 
 @dataclass
 class Block:
-    """Text between two block tags, and the elements open around it, outermost first."""
+    """Text between two block tags, and the elements open around it."""
 
     text: str
-    tags: tuple[str, ...]
+    leaf: str
+    tags: frozenset[str]
     names: frozenset[str]
     hidden: bool
     linked: int  # characters inside links
-    parts: list[str] = field(default_factory=list, repr=False)
+
+
+class _Open:
+    """The open elements, with counts of their tags and names, so that neither depends on the depth."""
+
+    def __init__(self, known: frozenset[str] | None):
+        self.known = known
+        self.stack: list[tuple[str, frozenset[str], bool]] = []
+        self.tags: Counter = Counter()
+        self.names: Counter = Counter()
+        self.hidden = 0
+        self._around: tuple | None = None
+
+    def push(self, tag: str, attrs: str) -> None:
+        names = names_of(attrs) if attrs else frozenset()
+        if self.known is not None:
+            names &= self.known
+        hidden = bool(attrs) and bool(_HIDDEN.search(attrs))
+        self.stack.append((tag, names, hidden))
+        self.tags[tag] += 1
+        self.names.update(names)
+        self.hidden += hidden
+        self._around = None
+
+    def pop_to(self, tags: set[str] | frozenset[str], stop: frozenset[str]) -> None:
+        """Close the innermost of ``tags`` and what is open inside it, unless one of ``stop`` is in between."""
+        if not any(self.tags[t] for t in tags):
+            return
+        at = len(self.stack) - 1
+        while self.stack[at][0] not in tags:
+            if self.stack[at][0] in stop:
+                return
+            at -= 1
+        for tag, names, hidden in self.stack[at:]:
+            self.tags[tag] -= 1
+            self.names.subtract(names)
+            self.hidden -= hidden
+        del self.stack[at:]
+        self._around = None
+
+    def around(self) -> tuple[str, frozenset[str], frozenset[str], bool]:
+        if self._around is None:
+            leaf = self.stack[-1][0] if self.stack else ""
+            self.tags, self.names = +self.tags, +self.names
+            self._around = (leaf, frozenset(self.tags), frozenset(self.names), self.hidden > 0)
+        return self._around
 
 
 def names_of(attrs: str) -> frozenset[str]:
@@ -49,39 +96,30 @@ def names_of(attrs: str) -> frozenset[str]:
     return frozenset(found)
 
 
-def blocks_of(page: str | None) -> list[Block]:
+def blocks_of(page: str | None, known: frozenset[str] | None = None) -> list[Block]:
     """Leaf blocks in page order; blocks without text are left out.
 
     Character references are decoded, white space inside a block is one space.
-    Scripts, styles, comments and the head are left out; an element that is never
-    closed stays open to the end of what holds it.
+    Scripts, styles, titles, text fields, comments and the head are left out; where one of
+    them is never closed, only its tag is. All other elements are read; one that is never
+    closed stays open to the end of what holds it. With ``known`` only those names are kept.
     """
     page = page or ""
     out: list[Block] = []
-    stack: list[tuple[str, frozenset[str], bool]] = []
+    around = _Open(known)
     parts: list[str] = []
-    linked, at, links = 0, 0, 0
+    unclosed: set[str] = set()
+    linked, at = 0, 0
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                names = frozenset().union(*(n for _, n, _ in stack)) if stack else frozenset()
-                out.append(Block(text, tuple(t for t, _, _ in stack), names, any(h for _, _, h in stack), linked))
+                out.append(Block(text, *around.around(), linked))
             parts.clear()
         linked = 0
 
-    def pop_to(tags: set[str] | frozenset[str], stop: frozenset[str]) -> None:
-        nonlocal links
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in tags:
-                links -= sum(t == "a" for t, _, _ in stack[i:])
-                del stack[i:]
-                return
-            if stack[i][0] in stop:
-                return
-
     while at < len(page):
         match = _PART.match(page, at)
         if match is None:  # cannot be read as a tag
@@ -91,7 +129,7 @@ def blocks_of(page: str | None) -> list[Block]:
         at = match.end()
         if match["text"] is not None:
             parts.append(match["text"])
-            if links:
+            if around.tags["a"]:
                 linked += len(match["text"])
             continue
         tag = match["tag"]
@@ -101,27 +139,23 @@ def blocks_of(page: str | None) -> list[Block]:
         if match["close"]:
             if tag not in INLINE:
                 flush()
-            pop_to({tag}, frozenset() if tag not in INLINE else SCOPES)
+            around.pop_to({tag}, frozenset() if tag not in INLINE else SCOPES)
             continue
         if tag in RAW and not match["attrs"].endswith("/"):
-            if tag not in ("object", "noscript"):
-                end = re.compile(rf"</{tag}\s*>" + (r"|<body\b" if tag == "head" else ""), re.I).search(page, at)
-                if end:
-                    at = end.start() if end[0].lower().startswith("<body") else end.end()
-                elif tag != "head":
-                    at = len(page)
+            end = None if tag in unclosed else re.compile(rf"</{tag}\s*>" + (r"|<body\b" if tag == "head" else ""), re.I).search(page, at)
+            if end:
+                at = end.start() if end[0].lower().startswith("<body") else end.end()
+            else:
+                unclosed.add(tag)  # nor is any later one
             continue
         if tag == "br":
             parts.append(" ")
         elif tag not in INLINE:
             flush()
-            if "p" in (t for t, _, _ in stack):
-                pop_to({"p"}, frozenset({"table", "article", "section", "div", "li", "blockquote", "body"}))
+            around.pop_to({"p"}, frozenset({"table", "article", "section", "div", "li", "blockquote", "body"}))
             if tag in CLOSED_BY_ITSELF:
-                pop_to(CLOSED_BY_ITSELF[tag], SCOPES)
+                around.pop_to(CLOSED_BY_ITSELF[tag], SCOPES)
         if tag not in VOID and not match["attrs"].endswith("/"):
-            attrs = match["attrs"]
-            stack.append((tag, names_of(attrs), bool(_HIDDEN.search(attrs))) if attrs else (tag, frozenset(), False))
-            links += tag == "a"
+            around.push(tag, match["attrs"])
     flush()
     return out

@@ -32,8 +32,8 @@ def features(blocks: list[Block]) -> list[list[str]]:
     """Names of what holds for each block."""
     out = []
     for i, b in enumerate(blocks):
-        tags = set(b.tags)
-        own = ["always", f"leaf:{b.tags[-1] if b.tags else ''}"]
+        tags = b.tags
+        own = ["always", f"leaf:{b.leaf}"]
         own += [f"in:{t}" for t in sorted(tags)]
         own += [f"named:{n}" for n in sorted(b.names)]
         marks = [t for t in LANDMARKS if t in tags]
@@ -292,8 +292,20 @@ def decode(blocks: list[Block], weights: dict[str, float], move: np.ndarray) ->
     return out[::-1]
 
 
+_names: dict[int, tuple[dict, frozenset[str]]] = {}
+
+
+def _known_names(weights: dict[str, float]) -> frozenset[str]:
+    """Names that have a weight; the others change no label."""
+    held = _names.get(id(weights))
+    if held is None or held[0] is not weights:
+        _names.clear()
+        held = _names[id(weights)] = (weights, frozenset(f[6:] for f in weights if f.startswith("named:")))
+    return held[1]
+
+
 def main_text(page: str | None, weights: dict[str, float], move: np.ndarray) -> str:
-    blocks = blocks_of(page)
+    blocks = blocks_of(page, _known_names(weights))
     return "\n\n".join(b.text for b, label in zip(blocks, decode(blocks, weights, move), strict=True) if label)
 
 

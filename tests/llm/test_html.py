@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import time
 
 import numpy as np
 import pytest
@@ -74,3 +75,26 @@ def test_odd_pages(spark, model):
     assert all(r["text"] == "" for r in rows if r["page_id"] in (None, 0, 1, 2))
     assert html_extract.extract(frame.limit(0)).count() == 0
     assert [b.text for b in blocks_of("a < b <3")] == ["a < b <3"]
+
+
+@pytest.mark.parametrize("tag", ["svg", "iframe", "math", "canvas", "audio", "video", "template", "object", "noscript"])
+def test_text_of_other_elements_stays(model, tag):
+    told = "Here the story goes on with some more words."
+    for inner in (f"<{tag}><path>", f"<{tag}><path></path></{tag}>"):
+        page = f"<body><article><p>{told}</p>{inner}<p>{told} Two.</p></article></body>"
+        assert html_extract.main_text(page, *model) == f"{told}\n\n{told} Two."
+    assert [b.text for b in blocks_of(f"<p>a</p><{tag}>b</{tag}><p>c</p>")] == ["a", "b", "c"]
+
+
+@pytest.mark.parametrize("tag", ["script", "style", "textarea", "title", "head"])
+def test_a_raw_element_that_is_never_closed_loses_its_tag_only(tag):
+    assert [b.text for b in blocks_of(f"<p>a</p><{tag}><p>b</p>" + f"<{tag}>" * 20_000)] == ["a", "b"]
+    assert [b.text for b in blocks_of(f"<p>a</p><{tag}>x</{tag}><p>b</p>")] == ["a", "b"]
+
+
+@pytest.mark.parametrize("nest", ["<div class='a{i}'>{i}", "<b>{i}<div>", "<li>{i}</x>", "<p>{i}</p><section id=s{i}>"])
+def test_depth_costs_no_more_than_length(nest, model):
+    page = "".join(nest.format(i=i) for i in range(20_000))
+    began = time.process_time()
+    html_extract.main_text(page, *model)
+    assert time.process_time() - began < 10
