@@ -93,8 +93,8 @@ def _index(counts: DataFrame, min_docs: int) -> DataFrame:
         often[slots] = np.minimum(group["n"].to_numpy(), min_docs)
         last = np.zeros(len(a), dtype=np.int64)
         known = np.zeros(len(a), dtype=np.uint8)
-        last[slots] = group["last"].fillna(0).to_numpy(dtype=np.int64)
-        known[slots] = group["last"].notna().to_numpy()
+        last[slots] = group["last"].to_numpy()
+        known[slots] = group["known"].to_numpy()
         reach = often == min_docs
         return pd.DataFrame({
             "shard": [group["shard"].iloc[0]], "bits": [packed], "sizes": [sizes.tobytes()], "prints": [prints.tobytes()],
@@ -109,7 +109,7 @@ def _index(counts: DataFrame, min_docs: int) -> DataFrame:
 def _probe(min_docs: int):
     def run(_key, asked: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
         if not len(asked):
-            return asked[["id", "text_hash", "a", "b"]]
+            return asked[["id", "named", "text_hash", "a", "b"]]
         one = shard.iloc[0]
         a, b = (asked[c].to_numpy().view(np.uint64) for c in ("a", "b"))
         slots = probe_index(one["bits"], np.frombuffer(one["sizes"], dtype=np.int64), a, b)
@@ -121,10 +121,9 @@ def _probe(min_docs: int):
         last, known = np.frombuffer(one["last"], dtype=np.int64), np.frombuffer(one["known"], dtype=np.uint8)
         hit = np.flatnonzero(reach[slots])
         own = place[slots[hit]]
-        ids = asked["id"].iloc[hit]
-        largest = ids.notna().to_numpy() & (ids.fillna(0).to_numpy(dtype=np.int64) == last[own])
+        largest = asked["named"].to_numpy()[hit] & (asked["id"].to_numpy()[hit] == last[own])
         drop = (known[own] == 1) & ~largest
-        return asked.iloc[hit[drop]][["id", "text_hash", "a", "b"]]
+        return asked.iloc[hit[drop]][["id", "named", "text_hash", "a", "b"]]
 
     return run
 
@@ -137,8 +136,12 @@ def repeated_lines(
     text = F.coalesce(F.col(text_col), F.lit(""))
     hashed = F.array_distinct(F.filter(F.transform(F.split(text, "\n", -1), lambda x: _line_hash(x, min_chars)), lambda h: h.isNotNull()))
     lines = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("text_hash"), F.explode(hashed).alias("h"))
-    lines = durable(lines.select("id", "text_hash", "h.a", "h.b"))
-    counts = durable(lines.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("id").alias("last")))
+    # no null ids from here on: pandas would turn the column into doubles
+    named = F.col("id").isNotNull().alias("named")
+    lines = durable(lines.select(F.coalesce("id", F.lit(0)).alias("id"), named, "text_hash", "h.a", "h.b"))
+    own = F.when(F.col("named"), F.col("id"))
+    counts = lines.groupBy("a", "b").agg(F.count("*").alias("n"), F.max(own).alias("last"))
+    counts = durable(counts.select("a", "b", "n", F.coalesce("last", F.lit(0)).alias("last"), F.col("last").isNotNull().alias("known")))
     shards = -(-counts.count() // SHARD) or 1
     shards = max(shards, int(spark.conf.get("spark.sql.shuffle.partitions")))
     shard = F.pmod("a", F.lit(shards)).alias("shard")
@@ -148,11 +151,12 @@ def repeated_lines(
     parts = counts.groupBy(shard).agg(F.ceil(F.sum("n") / PART).cast("int").alias("parts"))
     parts = durable(parts)
     asked = lines.select("*", shard).join(F.broadcast(parts), "shard")
-    asked = asked.withColumn("part", F.pmod(F.xxhash64("id", "text_hash"), "parts").cast("int")).drop("parts")
+    asked = asked.withColumn("part", F.pmod(F.xxhash64("id", "named", "text_hash"), "parts").cast("int")).drop("parts")
     index = index.join(F.broadcast(parts), "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     dropped = asked.groupBy("shard", "part").cogroup(index.groupBy("shard", "part")).applyInPandas(
-        _probe(min_docs), "id long, text_hash long, a long, b long"
+        _probe(min_docs), "id long, named boolean, text_hash long, a long, b long"
     )
+    dropped = dropped.select(F.when(F.col("named"), F.col("id")).alias("id"), "text_hash", "a", "b")
     return dropped.groupBy("id", "text_hash").agg(F.collect_set(F.struct("a", "b")).alias("drops"))  # lines of one text
 
 

@@ -452,3 +452,21 @@ def test_sha_of_kept_text_is_what_the_query_says(spark):
     kept = line_dedup.dedup_lines(spark.read.parquet(f"{sf}/documents.parquet"))
     want = {r["doc_id"]: hashlib.sha256(r["text"].encode()).hexdigest() for r in kept.collect()}
     assert {r["doc_id"]: r["kept_sha256"] for r in queries.queries()["op7_line_dedup"](spark, sf).collect()} == want
+
+
+@pytest.mark.parametrize("run", [" ", "\n", "\t", "a", "é", "1", ".", "中", "　", "́", "\0", "🙂", "'", " a", "'s", " \n"])
+def test_ids_of_very_long_runs(run):
+    text = run * (1_000_000 // len(run))
+    got = packing.encoder(None)([text, "and then"])
+    assert got[0] == packing.tokenizer(None).encode(text, add_special_tokens=False).ids
+    assert got[1] == packing.tokenizer(None).encode("and then", add_special_tokens=False).ids
+
+
+def test_lines_with_large_ids_beside_a_null_one(spark):
+    line = "a line of forty characters and some more of them"
+    names = "doc_id long, text string"
+    for rest in ([], [(None, line)], [(None, "other")]):
+        rows = [(2**60 + i, f"{line}\nown {i}") for i in range(1, 7)] + rest
+        got = {r["doc_id"]: r["n_dropped"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, names).repartition(3)).collect()}
+        assert {i: n for i, n in got.items() if i} == {2**60 + i: int(i < 6) for i in range(1, 7)}
+        assert not rest or got[None] == int(rest[0][1] == line)
