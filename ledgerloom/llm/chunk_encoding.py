@@ -29,6 +29,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,7 +39,7 @@ from . import words
 
 WINDOW, LEAST, MASK_BITS, MOST = 32, 128, 9, 8192  # bytes; a chunk ends about every LEAST + 2**MASK_BITS
 BITS_PER_KEY, MOST_BITS, PAGE_BITS = 32, 1 << 28, 1 << 16
-GROUP_BYTES = 4 << 20  # texts put together in one group
+GROUP_BYTES = 2 << 20  # of compressed texts put together in one group
 AT_ONCE = 250_000  # characters encoded in one call
 WORDS = 200_000  # words that a task remembers
 SIDE = 96  # characters at both ends of a chunk in which the beginnings of words are kept
@@ -77,6 +78,9 @@ class Coder:
         self.back = max([16, *(len(s) for s in special)]) + 8
         self.words = None if file.get("decoder") else _words(file)
         self.lowers = "Lowercase" in str(file.get("normalizer"))
+        # without a decoder the library sets a space between tokens
+        names = [self.tokenizer.id_to_token(i) for i in range(self.tokenizer.get_vocab_size())]
+        self.names = None if file.get("decoder") or None in names else names
         self.seen: dict[str, tuple[bytes, str]] = {}
         self.kinds: dict[str, bool] = {}
 
@@ -84,6 +88,8 @@ class Coder:
         return self.tokenizer.encode_batch(texts, add_special_tokens=False)
 
     def decode(self, ids: list[np.ndarray]) -> list[str]:
+        if self.names:
+            return [" ".join(map(self.names.__getitem__, i.tolist())) for i in ids]
         return self.tokenizer.decode_batch([i.tolist() for i in ids], skip_special_tokens=False)
 
     def whole(self, texts: list[str]) -> tuple[list[bytes], list[str]]:
@@ -110,8 +116,9 @@ class Coder:
         """
         if self.words is None or any(s in text for s in self.special):
             return None
-        # nothing composes in ASCII, and white space is in no word
-        text = text.lower() if self.lowers and text.isascii() else self.tokenizer.normalizer.normalize_str(text)
+        # nothing below U+0300 composes, lower case is by character there, and white space is in no word
+        plain = self.lowers and (text.isascii() or max(text) < "\u0300")
+        text = text.lower() if plain else self.tokenizer.normalizer.normalize_str(text)
         if not all(map(self._same_kind, set(text))):
             return None
         parts, seen, model = self.words.findall(text), self.seen, self.tokenizer.model
@@ -383,6 +390,11 @@ def _encoded_chunks(chunks: DataFrame, path: str | None) -> DataFrame:
     return chunks.select("name", "chunk").mapInArrow(run, "name binary, ids binary, head binary, tail binary")
 
 
+def _texts(column) -> list[str]:
+    unpack = zstandard.ZstdDecompressor()
+    return [unpack.decompress(t).decode() for t in column.to_pylist()]
+
+
 def _packed(numbers) -> bytes:
     """Numbers in two bytes each if all fit, and a byte that says so."""
     numbers = np.array(numbers, dtype="<u4")
@@ -400,7 +412,7 @@ def _pairs(blob: bytes) -> list[tuple[int, int]]:
 
 def _assemble(path: str | None):
     def run(rows: pa.Table, known: pa.Table) -> pa.Table:
-        by, texts = coder(path), rows["text"].to_pylist()
+        by, texts = coder(path), _texts(rows["text"])
         columns = (known[c].to_pylist() for c in ("name", "ids", "head", "tail"))
         known_ids = {n: (_unpacked(i), _pairs(h), _pairs(t)) for n, i, h, t in zip(*columns, strict=True)}
         plans, alone = [], []
@@ -454,7 +466,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         """Texts with a chunk that the bitmap has, or the others encoded."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            part, count = TaskContext.get().partitionId(), 0
+            part, count, pack = TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor()
             for batch in batches:
                 names = [[_name(c) for c in chunks] for _, chunks in _chunked(batch.column(1))]
                 flags = _maybe(bitmap, [n for row in names for n in row])
@@ -467,8 +479,9 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                     hit = [list({n: 1 for n, f in zip(names[r], flags[ends[r] :], strict=False) if f}) for r in rows.to_pylist()]
                     number = pa.array(np.arange(count, count + len(own)) + (part << 33), pa.int64())
                     count += len(own)
-                    columns = [number, own.column(0), own.column(1), pa.array(hit, pa.list_(pa.binary()))]
-                    yield pa.RecordBatch.from_arrays(columns, names=["row", "id", "text", "names"])
+                    packed = [pack.compress(t.encode()) for t in own.column(1).to_pylist()]
+                    columns = [number, own.column(0), pa.array(packed, pa.binary()), pa.array([len(t) for t in packed], pa.int64()), pa.array(hit, pa.list_(pa.binary()))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["row", "id", "text", "size", "names"])
                     continue
                 by, texts, at = coder(path), own.column(1).to_pylist(), 0
                 for texts_ in _parts(texts):
@@ -484,14 +497,14 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     out = f"id {kind}, n_tokens long, token_ids binary, decoded string"
     alone = rows.mapInArrow(sort_out(False), out)
-    shared = durable(rows.mapInArrow(sort_out(True), f"row long, id {kind}, text string, names array<binary>"))
+    shared = durable(rows.mapInArrow(sort_out(True), f"row long, id {kind}, text binary, size long, names array<binary>"))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
             names, chunks = [], []
             wanted = batch.column(1).to_pylist()
-            for r, row in _chunked(batch.column(0)):
+            for r, row in _chunked(pa.array(_texts(batch.column(0)), pa.large_string())):
                 own = set(wanted[r])
                 for chunk in row:
                     name = _name(chunk)
@@ -503,7 +516,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     chunks = shared.select("text", "names").mapInArrow(pick, "name binary, chunk binary").groupBy("name").agg(F.first("chunk").alias("chunk"))
     chunks = durable(_encoded_chunks(chunks, path))
-    size = shared.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size = shared.agg(F.sum("size")).first()[0] or 0
     group = F.pmod(F.xxhash64("row"), F.lit(-(-size // GROUP_BYTES) or 1)).cast("int").alias("group")
     asked = shared.select(group, F.explode("names").alias("name")).distinct()
     brought = asked.join(chunks, "name")
