@@ -18,6 +18,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import os
 import struct
@@ -116,21 +117,51 @@ class Coder:
         """
         if self.words is None or any(s in text for s in self.special):
             return None
-        # nothing below U+0300 composes, lower case is by character there, and white space is in no word
-        plain = self.lowers and (text.isascii() or max(text) < "\u0300")
-        text = text.lower() if plain else self.tokenizer.normalizer.normalize_str(text)
+        # white space is in no word
+        text = text.lower() if self._lowers(text) else self.tokenizer.normalizer.normalize_str(text)
         if not all(map(self._same_kind, set(text))):
             return None
-        parts, seen, model = self.words.findall(text), self.seen, self.tokenizer.model
+        found = self._known(self.words.findall(text))
+        return b"".join([f[0] for f in found]), " ".join([f[1] for f in found])
+
+    def _lowers(self, text: str) -> bool:
+        """Whether normalising is lower case character by character: nothing below U+0300 composes."""
+        return self.lowers and (text.isascii() or max(text) < "\u0300")
+
+    def _known(self, parts: list[str]) -> list[tuple[bytes, str]]:
+        seen, model = self.seen, self.tokenizer.model
+        if len(seen) > WORDS:
+            seen.clear()
         for word in set(parts):
             if word not in seen:
                 letters = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(_LETTERS)
                 tokens = model.tokenize(letters)
                 seen[word] = (struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens]), " ".join([t.value for t in tokens]))
-        found = [seen[w] for w in parts]
-        if len(seen) > WORDS:
-            seen.clear()
-        return b"".join([f[0] for f in found]), " ".join([f[1] for f in found])
+        return [seen[w] for w in parts]
+
+    def pieces(self, texts: list[str]) -> list[tuple[np.ndarray, list, list]]:
+        """Ids of each text, and where words begin near its ends."""
+        out: list = [self._piece(t) for t in texts]
+        slow = [i for i, p in enumerate(out) if p is None]
+        for part in _parts([texts[i] for i in slow]):
+            for i, e, t in zip(slow, self.batch(part), part, strict=False):
+                out[i] = (np.array(e.ids, dtype="<u4"), *sides(e, t))
+            slow = slow[len(part) :]
+        return out
+
+    def _piece(self, text: str) -> tuple[np.ndarray, list, list] | None:
+        # lower case keeps the places of all characters below U+0300 but one
+        if self.words is None or not self._lowers(text) or "\u0130" in text or any(s in text for s in self.special):
+            return None
+        text = text.lower()
+        if not all(map(self._same_kind, set(text))):
+            return None
+        matches = list(self.words.finditer(text))
+        found = [f[0] for f in self._known([m[0] for m in matches])]
+        begins = list(zip([m.start() for m in matches], itertools.accumulate([len(f) // 4 for f in found], initial=0), strict=False))
+        ids = np.frombuffer(b"".join(found), dtype="<u4")
+        low, high = SIDE, len(text) - SIDE
+        return ids, list(itertools.takewhile(lambda b: b[0] <= low, begins)), [b for b in begins if b[0] >= high]
 
     def _same_kind(self, c: str) -> bool:
         known = self.kinds.get(c)
@@ -378,12 +409,10 @@ def _encoded_chunks(chunks: DataFrame, path: str | None) -> DataFrame:
         for batch in batches:
             texts = [c.decode() for c in batch.column(1).to_pylist()]
             ids, heads, tails = [], [], []
-            for part in _parts(texts):
-                for e, t in zip(by.batch(part), part, strict=True):
-                    head, tail = sides(e, t)
-                    ids.append(_packed(e.ids))
-                    heads.append(_packed(head))
-                    tails.append(_packed(tail))
+            for own, head, tail in by.pieces(texts):
+                ids.append(_packed(own))
+                heads.append(_packed(head))
+                tails.append(_packed(tail))
             columns = [batch.column(0), *(pa.array(c, pa.binary()) for c in (ids, heads, tails))]
             yield pa.RecordBatch.from_arrays(columns, names=["name", "ids", "head", "tail"])
 
@@ -430,10 +459,7 @@ def _assemble(path: str | None):
                 start += size
             plans.append(plan)
             alone += [text[a : a + n] for a, n, name in plan if name is None]
-        own = []
-        for part in _parts(alone):
-            own += [(np.array(e.ids, dtype="<u4"), *sides(e, t)) for e, t in zip(by.batch(part), part, strict=True)]
-        own = iter(own)
+        own = iter(by.pieces(alone))
         found = [
             joined(text, [Piece(a, n, *(next(own) if name is None else known_ids[name])) for a, n, name in plan], by)
             for text, plan in zip(texts, plans, strict=True)

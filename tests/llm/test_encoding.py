@@ -23,8 +23,8 @@ def whole(texts, path=None):
 
 def pieces_of(parts, by):
     out, start = [], 0
-    for part, e in zip(parts, by.batch(parts), strict=True):
-        out.append(ce.Piece(start, len(part), np.array(e.ids, "<u4"), *ce.sides(e, part)))
+    for part, piece in zip(parts, by.pieces(parts), strict=True):
+        out.append(ce.Piece(start, len(part), *piece))
         start += len(part)
     return out
 
@@ -49,6 +49,14 @@ def test_joins_anywhere_agree_with_the_whole_text(path):
     check()
 
 
+def test_pieces_are_those_of_the_library():
+    by, rng = ce.coder(None), random.Random(5)
+    for _ in range(300):
+        text = "".join(rng.choices(HARD[:16] + ["the ", "running", "ñandú ", "'s", "don't ", "x1 ", "...", "a-b "], k=rng.randint(1, 200)))
+        (ids, head, tail), e = by.pieces([text])[0], by.batch([text])[0]
+        assert ids.tolist() == e.ids and (head, tail) == ce.sides(e, text)
+
+
 def test_long_texts_cut_at_random_places():
     rng, by = random.Random(3), ce.coder(None)
     for _ in range(60):
