@@ -1,9 +1,10 @@
-"""Global order without a single task: range partitions plus per-partition offsets.
+"""Global order without a single task: slices or ranges plus their offsets.
 
 A window without PARTITION BY, or one over a hot key, puts all its rows into
-one task. Here rows are range-partitioned by a unique order instead, numbered
-inside each partition, and shifted by the totals of the partitions before it.
-Only those totals (one row per partition) meet in one place.
+one task. Along blocks, rows are cut into slices by a plain expression, ordered inside a
+slice and lifted by the totals of the slices before it; a hot key is as many windows as
+it has slices. Other orders are range-partitioned, numbered inside each partition and
+shifted by the totals of the partitions before it.
 """
 
 from __future__ import annotations
@@ -49,45 +50,51 @@ def with_position(df: DataFrame, order: list[Column], name: str = "position", st
     )
 
 
-def running_total(
-    df: DataFrame, keys: list[str], order: list[Column], amount: str, name: str
-) -> DataFrame:
-    """Running exact sum of the signed limb column ``amount`` per key, in ``order``.
+SLICE = 1 << 16
+_LIMBS = ("hi", "mid", "lo")
 
-    ``keys + order`` must be unique per row. A key with a third of all rows is
-    spread over many ranges: sums run inside each (range, key) and are lifted by
-    what the key has collected in earlier ranges. Only the first key of a range
-    can continue from before, so the carries are at most one row per range.
+
+def slice_of(block: str, width: int = SLICE) -> Column:
+    """Blocks cut into slices of ``width``; a plain expression, the same in every evaluation."""
+    return F.floor(F.col(block) / width).cast("long")
+
+
+def running_sums(rows: DataFrame, keys: list[str], order: list[str], amount: str, name: str, at: str, width: int) -> DataFrame:
+    """``rows`` with ``name``: the exact sum of signed ``amount`` of the key's rows up to each one in ``order``.
+
+    ``order`` begins with ``at``; rows without an amount (null) add nothing. One exchange of
+    the rows; the sums of slices are aggregated before they are exchanged.
     """
-    full_order = [F.col(k) for k in keys] + order
-    ranged = range_ordered(df, full_order)
-    local = Window.partitionBy("_part", *keys).orderBy("_pos")
-    local = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inside = u256.with_running(ranged, amount, local, "_local")
-
-    parts = ("hi", "mid", "lo")
-    per_range = ranged.groupBy("_part", *keys).agg(
-        F.struct(*[F.sum(F.col(amount)[k]).alias(k) for k in parts]).alias("_sum"),
-        F.min("_pos").alias("_first"),
-    )
-    # a key reaches into a range from before only if it owns the range's first
-    # row; its total in every range it touches is needed to build the carry
-    heads = per_range.filter(F.col("_first") == 0).select("_part", *keys)
-    spanning = per_range.join(heads.select(*keys).distinct(), keys, "left_semi")
-    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    carry = (
-        u256.with_running(spanning, "_sum", earlier, "_carry")
-        .filter((F.col("_first") == 0) & F.col("_carry_lo").isNotNull())
-        .select("_part", *keys, *[f"_carry_{k}" for k in parts])
-    )
-    joined = inside.join(F.broadcast(carry), ["_part", *keys], "left")
-    lifted = joined.withColumns(
-        {
-            f"_local_{k}": F.col(f"_local_{k}").cast(u256.WIDE)
-            + F.coalesce(F.col(f"_carry_{k}"), F.lit(0)).cast(u256.WIDE)
-            for k in parts
-        }
-    )
-    return lifted.select(
-        *df.columns, u256.normalise_parts(*[F.col(f"_local_{k}") for k in parts]).alias(name)
-    )
+    sliced = rows.withColumn("_slice", slice_of(at, width))
+    along = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = u256.with_running(sliced, amount, along, "_local")
+    per_slice = sliced.groupBy(*keys, "_slice").agg(F.struct(*[F.sum(F.col(amount)[k]).alias(k) for k in _LIMBS]).alias("_sum"))
+    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    carry = u256.with_running(per_slice, "_sum", earlier, "_carry").filter(F.col("_carry_lo").isNotNull())
+    carry = carry.select(*keys, "_slice", *[f"_carry_{k}" for k in _LIMBS])
+    both = inside.join(carry, [*keys, "_slice"], "left")
+    total = [
+        (F.coalesce(f"_local_{k}", F.lit(0)).cast(u256.WIDE) + F.coalesce(f"_carry_{k}", F.lit(0)).cast(u256.WIDE)).cast(u256.WIDE)
+        for k in _LIMBS
+    ]
+    return both.select(*rows.columns, u256.normalise_parts(*total).alias(name))
+
+
+def number_by_block(df: DataFrame, order: list[str], name: str = "position", at: str = "block_number", width: int = 64) -> DataFrame:
+    """Dense number from 1 in ``order``, which is unique and begins with ``chain_id`` and ``at``.
+
+    Rows are numbered inside slices of ``width`` blocks and lifted by the rows of earlier
+    slices: one row per slice, summed chain by chain.
+    """
+    sliced = df.withColumn("_slice", slice_of(at, width))
+    inside = sliced.withColumn("_n", F.row_number().over(Window.partitionBy("chain_id", "_slice").orderBy(*order)))
+    counts = sliced.groupBy("chain_id", "_slice").agg(F.count("*").alias("_rows"))
+    before = Window.partitionBy("chain_id").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
+    chains = counts.groupBy("chain_id").agg(F.sum("_rows").alias("_all"))
+    # chains are few
+    earlier = Window.orderBy("chain_id").rowsBetween(Window.unboundedPreceding, -1)
+    chains = chains.select("chain_id", F.coalesce(F.sum("_all").over(earlier), F.lit(0)).alias("_chain"))
+    offsets = counts.join(chains, "chain_id").select("chain_id", "_slice", (F.col("_before") + F.col("_chain")).alias("_offset"))
+    placed = inside.join(offsets, ["chain_id", "_slice"])
+    return placed.select(*df.columns, (F.col("_offset") + F.col("_n")).alias(name))

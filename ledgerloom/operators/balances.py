@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import evm, u256
-from ..functions.ordered import running_total
+from ..functions.ordered import running_sums
 
 
 def live(df: DataFrame) -> DataFrame:
@@ -86,13 +86,16 @@ def balances_of(transfers: DataFrame, accounts: DataFrame, block=None) -> DataFr
     )
 
 
-def running_balances(transfers: DataFrame) -> DataFrame:
-    """Balance of each address after each of its movements."""
+def running_balances(transfers: DataFrame, width: int = 256) -> DataFrame:
+    """Balance of each address after each of its movements.
+
+    A window holds an address's movements of ``width`` blocks; what a chain puts into a block is bounded.
+    """
     moves = movements(transfers).select(
         "chain_id", "token", "address", "block_number", "tx_hash", "log_index", "debit", "delta"
     )
-    order = [F.col(c) for c in ("block_number", "log_index", "tx_hash", "debit")]
-    return running_total(moves, ["chain_id", "token", "address"], order, "delta", "balance")
+    order = ["block_number", "log_index", "tx_hash", "debit"]
+    return running_sums(moves, ["chain_id", "token", "address"], order, "delta", "balance", "block_number", width)
 
 
 def relevant_addresses(
@@ -122,3 +125,8 @@ def relevant_addresses(
         )
         every = every.unionByName(contract)
     return every.distinct()
+
+
+def in_address_order(addresses: DataFrame) -> DataFrame:
+    """Addresses as lists show them."""
+    return addresses.orderBy("chain_id", "address")

@@ -47,6 +47,66 @@ def classify_logs(logs: DataFrame, registry: DataFrame, on_unknown: str = "skip"
     raise ValueError(f"unknown policy {on_unknown!r}")
 
 
+def decode_by_registry(logs: DataFrame, registry: DataFrame, extra=("block_timestamp",)) -> DataFrame:
+    """Any declared event as (event_name, ``fields``): the registry's rows alone say how.
+
+    ``fields`` maps each declared field to its text: addresses and fixed bytes in lower-case
+    hex, numbers in decimal (``int`` types signed), ``bool`` as true or false, ``string`` and
+    ``bytes`` from the place their word points to (text, hex). A field whose word is missing
+    or malformed is null. Indexed ``string`` and ``bytes`` are their hash. Logs of other topics are left
+    out. A registry of at most ``SMALL_REGISTRY`` rows is sent to the tasks, a larger one joined.
+    """
+    rules = registry.select("topic0", "family", "event_name", "indexed", F.col("data").alias("_slots"))
+    if rules.limit(SMALL_REGISTRY + 1).count() <= SMALL_REGISTRY:
+        rules = F.broadcast(rules)
+    plain = F.lower(F.regexp_replace("data", "^0[xX]", ""))
+    rows = with_topic0(logs).join(rules, "topic0").withColumn("_plain", plain)
+    topic = lambda i: F.lower(F.substr(F.get(F.col("topics"), i + 1), F.lit(3)))
+    word = lambda i: F.substr(F.col("_plain"), i * 64 + 1, F.lit(64))
+    named = lambda slots, value: F.transform(
+        slots, lambda s, i: F.struct(s["field"].alias("key"), value(s["type"], i).alias("value"))
+    )
+    every = F.concat(
+        named(F.col("indexed"), lambda t, i: _slot_text(t, topic(i), None)),
+        named(F.col("_slots"), lambda t, i: _slot_text(t, word(i), F.col("_plain"))),
+    )
+    return rows.select(
+        "chain_id", F.col("address").alias("contract_address"), "family", "event_name", F.map_from_entries(every).alias("fields"),
+        *[c for c in LOG_FIELDS if c != "chain_id"], *_extra(logs, extra),
+    )
+
+
+SMALL_REGISTRY = 10_000
+
+
+def _slot_text(kind: Column, word: Column, data: Column | None) -> Column:
+    """Text of one declared slot; ``data`` holds what dynamic types point into."""
+    whole = word.rlike("^[0-9a-f]{64}$")
+    negative = F.substring(word, 1, 1) >= "8"
+    flipped = u256.from_hex(F.translate(word, "0123456789abcdef", "fedcba9876543210"))
+    below = u256.normalise_parts(flipped["hi"], flipped["mid"].cast(u256.WIDE), (flipped["lo"].cast(u256.WIDE) + 1).cast(u256.WIDE))
+    number = u256.to_string(u256.from_hex(word))
+    signed = F.when(negative, F.concat(F.lit("-"), u256.to_string(below))).otherwise(number)
+    size = F.when(kind.rlike("^bytes[0-9]+$"), F.regexp_extract(kind, "[0-9]+", 0).cast("int"))
+    out = (
+        F.when(kind == "address", F.concat(F.lit("0x"), F.right(word, F.lit(40))))
+        .when(kind == "bool", F.when(word.rlike("[1-9a-f]"), "true").otherwise("false"))
+        .when(kind.startswith("uint"), number)
+        .when(kind.startswith("int"), signed)
+        .when(size.isNotNull(), F.concat(F.lit("0x"), F.left(word, size * 2)))
+    )
+    dynamic = kind.isin("string", "bytes")
+    if data is None:
+        return F.when(whole, F.when(dynamic, F.concat(F.lit("0x"), word)).otherwise(out))
+    place = lambda w: F.when(w.rlike("^0{49}[0-9a-f]{15}$"), F.conv(F.right(w, F.lit(15)), 16, 10).cast("long"))
+    at = place(word)
+    length = place(F.substr(data, (at * 2 + 1).cast("int"), F.lit(64)))
+    fits = (at <= 1 << 29) & ((at + 32 + length) * 2 <= F.length(data))
+    body = F.when(fits, F.substr(data, ((at + 32) * 2 + 1).cast("int"), (length * 2).cast("int")))
+    text = F.when(kind == "string", F.decode(F.unhex(body), "UTF-8")).otherwise(F.concat(F.lit("0x"), body))
+    return F.when(whole, F.when(dynamic, text).otherwise(out))
+
+
 def _needed(family: str, column, default: int) -> Column:
     count = F.lit(default)
     for event in reg.EVENTS:

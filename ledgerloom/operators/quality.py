@@ -88,25 +88,36 @@ FOREIGN_KEYS = (
 def fk_violations(tables: dict[str, DataFrame], rules=FOREIGN_KEYS) -> DataFrame:
     """Child values without a parent, with the number of child rows.
 
-    Child values are reduced to distinct (chain, value, count) before the join,
-    so a value shared by a third of all rows crosses the shuffle once per task.
+    Each table is read once: a child gives all its references in one explode, a parent its
+    keys, and one aggregate over both counts them by value. Copies of a value are counted
+    before the exchange, so one that a third of all rows share crosses it once per task.
     """
-    out = None
-    for child, column, parent, key in rules:
-        if child not in tables or parent not in tables:
-            continue
-        values = (
-            tables[child]
-            .filter(F.col(column).isNotNull())
-            .groupBy("chain_id", F.col(column).alias("value"))
-            .agg(F.count("*").alias("n"))
-        )
-        parents = tables[parent].select("chain_id", F.col(key).alias("value"))
-        part = values.join(parents, ["chain_id", "value"], "left_anti").select(
-            F.lit(f"{child}.{column}->{parent}.{key}").alias("rule"), "chain_id", "value", "n"
-        )
-        out = part if out is None else out.unionByName(part)
-    return out
+    used = [r for r in rules if r[0] in tables and r[2] in tables]
+    targets = list(dict.fromkeys((parent, key) for _, _, parent, key in used))
+    sides = []
+    for name in dict.fromkeys([r[0] for r in used] + [r[2] for r in used]):
+        pairs = [
+            F.struct(F.lit(targets.index((parent, key))).alias("target"), F.lit(i).alias("rule"), F.col(column).alias("value"))
+            for i, (child, column, parent, key) in enumerate(used) if child == name
+        ]
+        pairs += [
+            F.struct(F.lit(t).alias("target"), F.lit(-1).alias("rule"), F.col(key).alias("value"))
+            for t, (parent, key) in enumerate(targets) if parent == name
+        ]
+        sides.append(tables[name].select("chain_id", F.explode(F.array(*pairs)).alias("p")).select("chain_id", "p.*"))
+    both = sides[0]
+    for side in sides[1:]:
+        both = both.unionByName(side)
+    rule = F.col("rule")
+    counts = both.filter(F.col("value").isNotNull()).groupBy("chain_id", "target", "value").agg(
+        F.count_if(rule == -1).alias("held"), *[F.count_if(rule == i).alias(f"n{i}") for i in range(len(used))]
+    )
+    named = [
+        F.struct(F.lit(f"{c}.{column}->{parent}.{key}").alias("rule"), F.col(f"n{i}").alias("n"))
+        for i, (c, column, parent, key) in enumerate(used)
+    ]
+    lost = counts.filter("held = 0").select("chain_id", "value", F.explode(F.array(*named)).alias("r"))
+    return lost.filter("r.n > 0").select("r.rule", "chain_id", "value", "r.n")
 
 
 UNIQUE_KEYS = {

@@ -8,8 +8,9 @@ from ..functions import evm, u256
 from ..operators import balances as bal
 from ..operators import decode, fold
 from ..operators import reconcile as rec
-from ..session import durable
-from ..sources.tables import as_flag
+from ..operators import asof
+from ..session import durable, scratch_path
+from ..sources.tables import as_flag, contract_state_at
 from . import faults, sql, views
 from .book import Book
 
@@ -465,6 +466,76 @@ def _state_audit(spark, sf_dir, prop, fold_fn):
     return rec.audit_states(projection, reads, prop, views.PAYROLL_CONTRACT, 900_000).drop("block_number")
 
 
+STATES_SQL = f"""
+reads AS (SELECT {sql.addr('o_orderkey % 4 + 1')} AS contract, {sql.addr('o_custkey % 97')} AS wallet,
+                 CAST(11000000 + {sql.days('o_orderdate')} AS BIGINT) AS b, CAST(round(o_totalprice * 100) AS BIGINT) AS v
+          FROM orders WHERE o_orderkey % 3 = 0),
+targets AS (SELECT c_custkey AS ask, {sql.addr('c_custkey % 4 + 1')} AS contract, {sql.addr('c_custkey % 97')} AS wallet,
+                   CAST(11000000 + (c_custkey * 7 + k * 611) % 2500 AS BIGINT) AS b
+            FROM customer, (SELECT unnest(range(4)) AS k)),
+near AS (SELECT ask, t.contract, t.wallet, t.b, max(r.b) FILTER (r.b <= t.b) AS back, min(r.b) FILTER (r.b >= t.b) AS ahead
+         FROM targets t LEFT JOIN reads r ON r.contract = t.contract AND r.wallet = t.wallet GROUP BY ALL),
+best AS (SELECT contract, wallet, b, CAST(max(v) AS VARCHAR) AS v FROM reads GROUP BY ALL)"""
+
+
+@BOOK.add("states_asof", sql.cte(STATES_SQL) + """
+SELECT DISTINCT ask, n.b AS block_number, CASE WHEN n.b - back <= 20 THEN p.v END AS before,
+       CASE WHEN n.b - back <= 20 THEN back END AS before_at, f.v AS after, ahead AS after_at
+FROM near n LEFT JOIN best p ON p.contract = n.contract AND p.wallet = n.wallet AND p.b = back
+LEFT JOIN best f ON f.contract = n.contract AND f.wallet = n.wallet AND f.b = ahead""")
+def states_asof(spark, sf_dir):
+    """Stored contract reads before (20 blocks at most) and after four target blocks of every customer's wallet."""
+    path = scratch_path(spark, "contract_state")
+    chain, cents = F.lit(views.CHAIN).cast("long").alias("chain_id"), F.round(F.col("o_totalprice") * 100).cast("long")
+    key = F.col("o_orderkey")
+    views.table(spark, sf_dir, "orders").filter(key % 3 == 0).select(
+        chain, evm.address_of(key % 4 + 1).alias("contract"), evm.address_of(F.col("o_custkey") % 97).alias("wallet"),
+        F.lit("balance_of").alias("property"), (views._days("o_orderdate") + 11_000_000).alias("block_number"),
+        u256.pack(F.lit(0), F.lit(0), cents).alias("value"),
+    ).write.parquet(path)
+    ask = F.col("c_custkey")
+    targets = views.table(spark, sf_dir, "customer").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(3)))).select(
+        ask.alias("ask"), chain, evm.address_of(ask % 4 + 1).alias("contract"), evm.address_of(ask % 97).alias("wallet"),
+        ((ask * 7 + F.col("k") * 611) % 2500 + 11_000_000).cast("long").alias("block_number"),
+    ).distinct()
+    before = contract_state_at(spark, path, "balance_of", targets, tolerance=20)
+    before = before.withColumnsRenamed({"value": "before", "block_number_found": "before_at"})
+    both = contract_state_at(spark, path, "balance_of", before, direction="forward")
+    return both.select(
+        "ask", "block_number", u256.to_string(F.col("before")).alias("before"), "before_at",
+        u256.to_string(F.col("value")).alias("after"), F.col("block_number_found").alias("after_at"),
+    )
+
+
+@BOOK.add("balance_audit_targets", sql.cte(sql.MOVEMENTS) + f""",
+spans AS (SELECT address, min(block_number) AS low, max(block_number) AS high FROM movements WHERE token = '{TOKEN}' GROUP BY address),
+targets AS (SELECT address, low + k * (high - low) // 3 AS b FROM spans, (SELECT unnest(range(4)) AS k)),
+db AS (SELECT t.address, t.b, sum(delta) AS d FROM targets t JOIN movements m
+       ON m.token = '{TOKEN}' AND m.address = t.address AND m.block_number <= t.b GROUP BY ALL),
+chain AS (SELECT address, b, d + CASE WHEN right(address, 1) = '3' AND b % 2 = 0 THEN 1 ELSE 0 END AS c, d FROM db)
+SELECT address, b AS block_number, CAST(c AS VARCHAR) AS on_chain, CAST(d AS VARCHAR) AS db FROM chain WHERE c <> d""")
+def balance_audit_targets(spark, sf_dir):
+    """Wallets audited at four blocks each in one run: stored balances as of, against reads as of."""
+    transfers = views.transfers(spark, sf_dir)
+    moves = bal.movements(transfers, keep_zero=True).filter(F.col("token") == TOKEN)
+    spans = moves.groupBy("chain_id", "token", "address").agg(F.min("block_number").alias("low"), F.max("block_number").alias("high"))
+    step = F.floor(F.col("k") * (F.col("high") - F.col("low")) / 3).cast("long")
+    targets = spans.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long")))).select(
+        "chain_id", "token", "address", (F.col("low") + step).alias("block_number")
+    ).distinct()
+    stored = asof.balances_asof(transfers, targets)
+    off = ((F.right("address", F.lit(1)) == "3") & (F.col("block_number") % 2 == 0)).cast("int")
+    lo = F.col("balance")["lo"].cast(u256.WIDE) + off
+    reads = stored.select(
+        "chain_id", "token", "address", "block_number", u256.normalise_parts(F.col("balance")["hi"], F.col("balance")["mid"].cast(u256.WIDE), lo).alias("on_chain")
+    )
+    both = asof.asof_join(stored, reads, ["chain_id", "token", "address"], "block_number", ["on_chain"], tolerance=0)
+    wrong = both.filter(F.col("on_chain") != F.col("balance"))
+    return wrong.select(
+        "address", "block_number", u256.to_signed_string(F.col("on_chain")).alias("on_chain"), u256.to_signed_string(F.col("balance")).alias("db")
+    )
+
+
 @BOOK.add("state_audit_employees", _state_sql("is_employee_active", "employees"))
 def state_audit_employees(spark, sf_dir):
     return _state_audit(spark, sf_dir, "is_employee_active", fold.fold_employees)

@@ -343,3 +343,57 @@ def unique_violations_ledger(spark, sf_dir):
 
     rows = views.deliveries(spark, sf_dir).select("chain_id", F.col("token").alias("contract_address"), "tx_hash", "log_index")
     return quality.unique_violations({"chain_events": rows, "escrow_events": rows})
+
+
+# Fixed value: topic of an event that the built-in registry does not have (any 32 bytes will do here).
+PLACED = "0x" + "ab12" * 16
+
+
+@BOOK.add("decode_by_registry", f"""
+SELECT 'OrderPlaced' AS event_name, CAST(o_orderkey AS VARCHAR) AS order_id, {sql.addr('o_custkey')} AS customer,
+       CAST(CAST(round(o_totalprice * 100) AS BIGINT) - 20000000 AS VARCHAR) AS delta,
+       CASE WHEN o_orderstatus = 'F' THEN 'true' ELSE 'false' END AS done, o_orderpriority || ' é' AS note,
+       '0x' || lower(hex(o_orderpriority)) AS raw, '0x' || lower(hex(o_orderstatus)) || '000000' AS tag
+FROM orders
+UNION ALL SELECT 'Approval', NULL, {sql.addr('o_custkey % 97')}, CAST(CAST(round(o_totalprice * 100) AS BIGINT) AS VARCHAR),
+       NULL, NULL, NULL, NULL FROM orders""")
+def decode_by_registry(spark, sf_dir):
+    """Logs of a contract that only the passed registry rows know, dynamic and signed words among them, beside known ones."""
+    own = reg.EventDef(
+        "shop", "OrderPlaced", PLACED, (("orderId", "uint256"), ("customer", "address")),
+        (("delta", "int256"), ("done", "bool"), ("note", "string"), ("raw", "bytes"), ("tag", "bytes4")),
+    )
+    registry = reg.event_registry(spark, [own, *[e for e in reg.EVENTS if e.name == "Approval"]])
+    cents = F.round(F.col("o_totalprice") * 100).cast("long") - 20_000_000
+    low = F.lpad(F.lower(F.hex(cents)), 16, "0")
+    number = F.concat(F.when(cents < 0, F.lit("f" * 48)).otherwise(F.lit("0" * 48)), low)
+
+    def dynamic(value):
+        body = F.lower(F.hex(value))
+        chars = F.ceil(F.length(body) / 64).cast("int") * 64
+        size = F.lpad(F.lower(F.hex((F.length(body) / 2).cast("long"))), 64, "0")
+        return F.concat(size, F.rpad(body, chars, "0"))
+
+    word = lambda n: F.lpad(F.lower(F.hex(n)), 64, "0")
+    note, raw = F.concat(F.col("o_orderpriority"), F.lit(" é")).cast("binary"), F.col("o_orderpriority").cast("binary")
+    head = 5 * 32
+    second = F.lit(head) + 32 + F.ceil(F.octet_length(note) / 32) * 32
+    tag = F.rpad(F.lower(F.hex(F.col("o_orderstatus").cast("binary"))), 64, "0")
+    data = F.concat(
+        F.lit("0X"), number, F.when(F.col("o_orderstatus") == "F", F.lit("0" * 63 + "1")).otherwise(F.lit("0" * 64)),
+        word(F.lit(head).cast("long")), word(second.cast("long")), tag, dynamic(note), dynamic(raw),
+    )
+    placed = views.table(spark, sf_dir, "orders").select(
+        F.lit(views.CHAIN).cast("long").alias("chain_id"), F.lit("0x" + "5" * 40).alias("address"), F.lit(PLACED).alias("topic0"),
+        F.array(F.lit(PLACED), F.concat(F.lit("0x"), word(F.col("o_orderkey"))), F.concat(F.lit("0x"), word(F.col("o_custkey")))).alias("topics"),
+        data.alias("data"), F.col("o_orderkey").alias("block_number"), evm.hash_of("o_orderkey").alias("tx_hash"),
+        F.lit(0).alias("log_index"), F.lit(False).alias("removed"),
+    )
+    logs = placed.unionByName(views.approval_logs(spark, sf_dir)).unionByName(views.transfer_logs(spark, sf_dir).drop("arrival"))
+    out = decode.decode_by_registry(logs, registry)
+    field = lambda name: F.col("fields")[name]
+    return out.select(
+        "event_name", field("orderId").alias("order_id"), F.coalesce(field("customer"), field("owner")).alias("customer"),
+        F.coalesce(field("delta"), field("value")).alias("delta"), field("done").alias("done"), field("note").alias("note"),
+        field("raw").alias("raw"), field("tag").alias("tag"),
+    )

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import blocks as blk
 from ..functions import evm, u256
+from ..operators import balances as bal
 from ..operators import checkpoints as cp
 from ..operators import decode, filters, fold, notify, paging, reads
 from ..operators.dedup import dedup_deliveries as dedup_exact
+from ..session import scratch_path
+from ..sources import tables
 from . import sql, views
 from .book import Book
+from .queries_payroll import STAFF
 from .queries_writes import CURSORS, cursors
 
 BOOK = Book()
@@ -378,3 +383,113 @@ def dedup_deliveries(spark, sf_dir):
     return dedup_exact(rows, ["k", "n"], "t", "30 days").select(
         "k", "n", F.date_format("t", "yyyy-MM-dd").alias("t")
     )
+
+
+def _placed(rows):
+    """A sorted, bounded list with each row's place in it."""
+    at = rows.withColumn("_at", F.monotonically_increasing_id())
+    return at.withColumn("place", F.row_number().over(Window.orderBy("_at"))).drop("_at")
+
+
+RANGE = (11_001_500, 11_001_520)
+
+
+@BOOK.add("transfers_of_range", sql.cte(sql.TRANSFERS) + f"""
+SELECT tx_hash, log_index, token, removed, CAST(block_number AS BIGINT) AS block_number,
+       CAST(row_number() OVER (ORDER BY block_number, log_index, tx_hash, token) AS INTEGER) AS place
+FROM transfers WHERE block_number BETWEEN {RANGE[0]} AND {RANGE[1]}""")
+def transfers_of_range(spark, sf_dir):
+    """Audit read of a block range in chain order; removed rows are in it."""
+    rows = views.transfers(spark, sf_dir).withColumn("id", F.concat("tx_hash", "token"))
+    read = filters.in_range(rows, views.CHAIN, *RANGE)
+    return _placed(read).select("tx_hash", "log_index", "token", "removed", "block_number", "place")
+
+
+@BOOK.add("claims_of_range", sql.cte(sql.PAYROLL) + """
+SELECT employee, CAST(cents AS VARCHAR) AS amount, tx_hash, block_number,
+       CAST(row_number() OVER (ORDER BY block_number, log_index, tx_hash) AS INTEGER) AS place
+FROM payroll WHERE event_name = 'SalaryClaimed' AND block_number BETWEEN 100 AND 900""")
+def claims_of_range(spark, sf_dir):
+    claims = fold.claim_rows(views.payroll_events(spark, sf_dir)).withColumn("id", F.col("tx_hash"))
+    read = _placed(filters.in_range(claims, views.CHAIN, 100, 900))
+    return read.select("employee", u256.to_string(F.col("amount")).alias("amount"), "tx_hash", "block_number", "place")
+
+
+@BOOK.add("employer_profile_sorted", sql.cte(STAFF) + f"""
+SELECT wallet AS employee, strftime(added_at, '%Y-%m-%d %H:%M:%S') AS employee_added_at,
+       CAST(row_number() OVER (ORDER BY added_at DESC NULLS LAST, wallet) AS INTEGER) AS place
+FROM employees WHERE employer = '{EMPLOYER}'""")
+def employer_profile_sorted(spark, sf_dir):
+    """The staff of one employer, newest first, those without a date last."""
+    events = views.payroll_events(spark, sf_dir)
+    profile = reads.employer_profile(fold.fold_employers(events), fold.fold_employees(events), EMPLOYER)
+    return _placed(profile.orderBy(*reads.profile_order())).select("employee", _time("employee_added_at"), "place")
+
+
+@BOOK.add("relevant_addresses_sorted", sql.cte(sql.TRANSFERS) + f""",
+a AS (SELECT from_address AS address FROM transfers UNION SELECT to_address FROM transfers)
+SELECT address, CAST(row_number() OVER (ORDER BY address) AS INTEGER) AS place FROM a WHERE address <> {sql.ZERO}""")
+def relevant_addresses_sorted(spark, sf_dir):
+    none = views.payroll_events(spark, sf_dir).limit(0)
+    every = bal.relevant_addresses(views.transfers(spark, sf_dir), none, none)
+    return _placed(bal.in_address_order(every)).select("address", "place")
+
+
+@BOOK.add("ownership_events", f"""
+SELECT {sql.addr('s_suppkey')} AS previous_owner, {sql.addr('s_nationkey + 500')} AS new_owner, {sql.hash_('s_suppkey')} AS tx_hash,
+       s_suppkey AS block_number, true AS kept, (SELECT count(*) FROM (SELECT DISTINCT user_id FROM events WHERE
+         event_type IN ('signup', 'error', 'purchase') OR event_type NOT IN ('view', 'signup', 'error', 'purchase'))) AS staff
+FROM supplier""")
+def ownership_events(spark, sf_dir):
+    """Ownership changes stay in the ledger and change no projection."""
+    payroll = views.payroll_logs(spark, sf_dir)
+    owned = views.ownership_logs(spark, sf_dir)
+    ledger = decode.decode_payroll(payroll.unionByName(owned, allowMissingColumns=True))
+    staff = fold.rebuild(ledger)["employees"].agg(F.count("*").alias("n"))
+    kept = ledger.filter(F.col("event_name") == "OwnershipTransferred")
+    return kept.select("previous_owner", "new_owner", "tx_hash", "block_number", (~F.col("removed")).alias("kept"), staff.scalar().alias("staff"))
+
+
+@BOOK.add("tx_events_stored", sql.cte(CURSORS, sql.TX) + LATEST + """
+SELECT t.tx_hash, t.sender, nullif(t.recipient, '') AS recipient, t.status,
+       greatest(t.confirmations, latest_block - t.block_number + 1) AS confirmations,
+       e.token AS contract_address, e.log_index
+FROM head, tx t LEFT JOIN transfers e ON e.tx_hash = t.tx_hash""")
+def tx_events_stored(spark, sf_dir):
+    """The transaction view over stored tables in the layout of the join: no exchange below it."""
+    root = scratch_path(spark, "stored")
+    stored = stored_ledger(spark, sf_dir, root)
+    return reads.transaction_events(stored["transactions"], stored["chain_events"], cursors(spark, sf_dir)).select(
+        "tx_hash", "sender", "recipient", "status", "confirmations", "contract_address", "log_index"
+    )
+
+
+def stored_ledger(spark, sf_dir, root: str) -> dict:
+    """Transactions and their ledger rows as bucketed tables, under names of their own."""
+    ledger = decode.ledger_rows(
+        views.transfers(spark, sf_dir).withColumn("event_name", F.lit("Transfer")), decode.transfer_json()
+    )
+    suffix = root.rsplit("-", 1)[1]
+    return {
+        name: tables.store(spark, df, name, f"{name}_{suffix}", f"{root}/{name}", buckets=8)
+        for name, df in (("transactions", views.transactions(spark, sf_dir)), ("chain_events", ledger))
+    }
+
+
+@BOOK.add("stored_tables_read", sql.cte(sql.TX) + """,
+d AS (SELECT CAST(11000000 + date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) AS BIGINT) AS b FROM lineitem)
+SELECT b AS block_number, count(DISTINCT tx_hash) AS transactions,
+       CAST(count(DISTINCT tx_hash) FILTER (status = 'failed') AS BIGINT) AS failed
+FROM (SELECT DISTINCT b FROM d) LEFT JOIN tx ON tx.block_number = b GROUP BY b""")
+def stored_tables_read(spark, sf_dir):
+    """Typed scans of stored headers and transactions: what each known block holds."""
+    root = scratch_path(spark, "tables")
+    views.blocks(spark, sf_dir).write.parquet(f"{root}/blocks")
+    views.transactions(spark, sf_dir).write.parquet(f"{root}/transactions")
+    headers = tables.scan_blocks(spark, f"{root}/blocks")
+    sent = tables.tables(spark, root).transactions
+    known = tables.scan_transactions(spark, f"{root}/transactions").filter(F.col("status") == "failed")
+    failed = known.groupBy("block_number").agg(F.count("*").alias("failed"))
+    sent = sent.groupBy("block_number").agg(F.count("*").alias("transactions")).join(failed, "block_number", "left")
+    rows = headers.select("block_number").join(sent, "block_number", "left")
+    return rows.select("block_number", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("transactions", "failed")])

@@ -10,10 +10,9 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import u256
-from ..operators import decode
-from ..operators.upsert import latest
+from ..operators import decode, fold
 from ..session import scratch_path
-from ..sources import batches
+from ..sources import keyed
 from ..sources.deliveries import parse_deliveries, read_deliveries
 from ..streaming import jobs
 from . import sql, views
@@ -42,19 +41,20 @@ def _stream(spark, schema, path: str, per_trigger: int):
 SELECT token, tx_hash, log_index, from_address, to_address, CAST(amount AS VARCHAR) AS amount,
        block_number, removed FROM transfers""")
 def stream_transfers(spark, sf_dir):
-    """Raw token logs in 24 files, three micro-batches, folded by key."""
+    """Raw token logs in 24 files, three micro-batches in the order of arrival, merged by key."""
     root = scratch_path(spark, "stream")
-    logs = views.transfer_logs(spark, sf_dir).withColumn(
-        "block_timestamp", F.col("arrival")["l_shipdate"].cast("timestamp")
-    )
+    logs = _dated_logs(spark, sf_dir)
     _files(logs, f"{root}/in", 24, "block_number")
     source = _stream(spark, logs.schema, f"{root}/in", 8)
-    spec = jobs.StreamSpec("erc20_transfers", source, jobs.transfer_tables)
+    # files are taken in any order of their blocks; the arrival column has the last word
+    order = ("arrival",)
+    spec = jobs.StreamSpec("erc20_transfers", source, jobs.transfer_tables, order={"token_transfers": order}, shared=(decode.decode_transfers,))
     jobs.start(spec, f"{root}/out", f"{root}/cp").awaitTermination()
-    schema = decode.decode_transfers(logs).schema
-    versions = batches.read_versions(spark, f"{root}/out", "token_transfers", schema)
-    # files may be picked up in any order; the arrival column has the last word
-    return latest(versions, schemas.RULES["token_transfers"], ["arrival"]).select(
+    return _transfers_out(jobs.current(spark, f"{root}/out", "token_transfers", decode.decode_transfers(logs).schema))
+
+
+def _transfers_out(rows):
+    return rows.select(
         "token", "tx_hash", "log_index", "from_address", "to_address",
         u256.to_string(F.col("amount")).alias("amount"), "block_number", "removed",
     )
@@ -71,7 +71,7 @@ def stream_cursors(spark, sf_dir):
     jobs.start(spec, f"{root}/out", f"{root}/cp").awaitTermination()
     _files(logs.filter(F.col("block_number") < 11_000_500), f"{root}/in", 1, "block_number")
     jobs.start(spec, f"{root}/out", f"{root}/cp").awaitTermination()
-    return batches.cursors(spark, f"{root}/out").select("stream_id", "last_indexed_block")
+    return keyed.cursors(spark, f"{root}/out").select("stream_id", "last_indexed_block")
 
 
 @BOOK.add("stream_escrow", sql.cte(sql.ESCROW_DECODED) + """
@@ -101,8 +101,7 @@ def stream_escrow(spark, sf_dir):
     shape = decode.decode_escrow(logs).withColumns(
         {"raw_data": decode.escrow_json(), "block_timestamp": F.col("created_at")}
     ).drop("raw")
-    versions = batches.read_versions(spark, f"{root}/out", "escrow_events", shape.schema)
-    return latest(versions, schemas.RULES["escrow_events"], ["commit_seq", "stream"]).select(
+    return jobs.current(spark, f"{root}/out", "escrow_events", shape.schema).select(
         "event_type", u256.to_string(F.col("escrow_id")).alias("escrow_id"),
         u256.to_string(F.col("amount")).alias("amount"), "raw_data", "tx_hash", "log_index",
         "block_number", "removed",
@@ -136,28 +135,82 @@ def stream_employees(spark, sf_dir):
 
 @BOOK.add("stream_employees_incremental", sql.cte(STREAMED) + f"SELECT {EMPLOYEE_COLUMNS} FROM employees")
 def stream_employees_incremental(spark, sf_dir):
-    """Five micro-batches, each of which folds only the wallets it names."""
+    """Five micro-batches on keyed state, each of which costs the wallets it names."""
     root = scratch_path(spark, "stream")
     schema = _payroll_input(spark, sf_dir, root)
     spec = jobs.StreamSpec("monthly_payroll", _stream(spark, schema, f"{root}/in", 2), jobs.payroll_tables)
-    ledger = decode.decode_payroll(views.payroll_logs(spark, sf_dir)).schema
-    jobs.start_projected(spec, f"{root}/out", f"{root}/cp", ledger).awaitTermination()
-    return _employees_out(jobs.projected_employees(spark, f"{root}/out", ledger))
+    jobs.start_employees(spec, f"{root}/out", f"{root}/cp").awaitTermination()
+    return _employees_out(jobs.projected_employees(spark, f"{root}/out"))
+
+
+STATEFUL = STAFF.replace("FROM events)", "FROM events WHERE event_id % 7 <> 3 OR event_id % 21 = 3)")
+
+
+@BOOK.add("stream_employees_stateful", sql.cte(STATEFUL) + f"SELECT {EMPLOYEE_COLUMNS} FROM employees")
+def stream_employees_stateful(spark, sf_dir):
+    """Late logs first, a restart, removals of a seventh of all logs, and a third of those sent again as valid."""
+    root = scratch_path(spark, "stream")
+    logs = views.payroll_logs(spark, sf_dir)
+    block = F.col("block_number")
+    parts = [
+        logs.filter(block % 3 == 1), logs.filter(block % 3 != 1), logs.filter(block % 7 == 3).withColumn("removed", F.lit(True)),
+        logs.filter(block % 2 == 0).filter(block % 7 != 3), logs.filter(block % 21 == 3),
+    ]
+    for part in parts:
+        part.repartition(2).write.mode("append").parquet(f"{root}/in")
+        spec = jobs.StreamSpec("monthly_payroll", _stream(spark, logs.schema, f"{root}/in", 2), jobs.payroll_tables)
+        jobs.start_employees(spec, f"{root}/out", f"{root}/cp").awaitTermination()
+    return _employees_out(jobs.projected_employees(spark, f"{root}/out"))
+
+
+DEPTH = 40
+
+
+@BOOK.add("live_finalized", sql.cte(sql.PAYROLL) + f""",
+n AS (SELECT max(block_number) AS top FROM payroll),
+d AS (SELECT block_number AS b, least(5, 6 * block_number // (top + 1) + CASE WHEN block_number % 7 = 3 THEN 1 ELSE 0 END) AS step
+      FROM payroll, n),
+r AS (SELECT unnest(range(6)) AS step),
+h AS (SELECT r.step, max(b) AS head FROM r JOIN d ON d.step <= r.step GROUP BY r.step)
+SELECT CAST(h.step AS INTEGER) AS step, CAST(h.head - {DEPTH} AS BIGINT) AS cursor, count(*) AS rows, max(b) AS newest
+FROM h JOIN d ON d.step <= h.step AND b <= head - {DEPTH} GROUP BY h.step, h.head""")
+def live_finalized(spark, sf_dir):
+    """What a running, finality-gated stream shows after each of six arrivals; a seventh of the logs comes one late."""
+    root = scratch_path(spark, "live")
+    logs = views.payroll_logs(spark, sf_dir)
+    top = logs.agg(F.max("block_number")).first()[0]
+    late = (F.col("block_number") % 7 == 3).cast("int")
+    step = F.least(F.lit(5), F.floor(6 * F.col("block_number") / (top + 1)).cast("int") + late)
+    logs.withColumn("step", step).write.partitionBy("step").parquet(f"{root}/by_step")
+    logs.limit(0).write.parquet(f"{root}/in")
+    spec = jobs.StreamSpec("monthly_payroll", _stream(spark, logs.schema, f"{root}/in", 1000), jobs.payroll_tables)
+    (query,) = jobs.start_live([spec], f"{root}/out", f"{root}/cp", "0 seconds", DEPTH)
+    schema, seen = decode.decode_payroll(logs).schema, None
+    try:
+        for n in range(6):
+            spark.read.schema(logs.schema).parquet(f"{root}/by_step/step={n}").write.mode("append").parquet(f"{root}/in")
+            query.processAllAvailable()
+            ledger = jobs.current(spark, f"{root}/out", "payroll_ledger", schema)
+            shown = ledger.agg(F.count("*").alias("rows"), F.max("block_number").alias("newest"))
+            at = keyed.cursors(spark, f"{root}/out").select(F.col("last_indexed_block").alias("cursor"))
+            shown.crossJoin(at).withColumn("step", F.lit(n)).write.mode("append").parquet(f"{root}/seen")  # one row each
+    finally:
+        query.stop()
+    return spark.read.parquet(f"{root}/seen").select("step", "cursor", "rows", "newest")
 
 
 @BOOK.add("stream_employees_touched", sql.cte(STREAMED) + f"""
 SELECT {EMPLOYEE_COLUMNS} FROM employees WHERE wallet IN
   (SELECT employee FROM payroll WHERE event_name = 'EmployeeRemoved')""")
 def stream_employees_touched(spark, sf_dir):
-    """Refold of the wallets a batch touched, here every removed employee."""
+    """Refold of some wallets from the stored ledger, here of every removed employee."""
     root = scratch_path(spark, "stream")
     schema = _payroll_input(spark, sf_dir, root)
     spec = jobs.StreamSpec("monthly_payroll", _stream(spark, schema, f"{root}/in", 100), jobs.payroll_tables)
     jobs.start(spec, f"{root}/out", f"{root}/cp").awaitTermination()
-    decoded = decode.decode_payroll(views.payroll_logs(spark, sf_dir))
-    live = jobs.live_ledger(spark, f"{root}/out", decoded.schema)
-    touched = live.filter(F.col("event_name") == "EmployeeRemoved")
-    return _employees_out(jobs.current_employees(spark, f"{root}/out", decoded.schema, touched))
+    live = jobs.live_ledger(spark, f"{root}/out", decode.decode_payroll(views.payroll_logs(spark, sf_dir)).schema)
+    touched = live.filter(F.col("event_name") == "EmployeeRemoved").select("chain_id", "employee").distinct()
+    return _employees_out(fold.fold_employees(live.join(touched, ["chain_id", "employee"], "left_semi")))
 
 
 @BOOK.add("stream_dedup", sql.cte(sql.ESCROW) + """
@@ -208,13 +261,12 @@ def backfill_transfers(spark, sf_dir):
     """Two historical runs; the second resumes after the first one's cursor."""
     root = scratch_path(spark, "backfill")
     logs = _dated_logs(spark, sf_dir)
-    spec = jobs.StreamSpec("erc20_transfers", logs, jobs.transfer_tables)
+    spec = jobs.StreamSpec("erc20_transfers", logs, jobs.transfer_tables, order={"token_transfers": ("arrival",)})
     jobs.backfill(spec, logs, root, target=11_001_500, start_block=11_000_100)
     jobs.backfill(spec, logs, root, target=11_003_000, start_block=11_000_100, commit_blocks=1000)
     schema = decode.decode_transfers(logs).schema
     # a key that is delivered in both runs keeps the amount of the first one
-    current = batches.read_current(spark, root, "token_transfers", schema, schemas.RULES["token_transfers"], ["arrival"])
-    return current.select(
+    return jobs.current(spark, root, "token_transfers", schema).select(
         "token", "tx_hash", "log_index", u256.to_string(F.col("amount")).alias("amount")
     )
 
@@ -240,10 +292,8 @@ def backfill_then_live(spark, sf_dir):
     source = _stream(spark, live.schema, f"{root}/in", 100)
     jobs.start(jobs.StreamSpec("erc20_transfers", source, jobs.transfer_tables), f"{root}/out", f"{root}/cp").awaitTermination()
     schema = decode.decode_transfers(logs).schema
-    current = batches.read_current(
-        spark, f"{root}/out", "token_transfers", schema, schemas.RULES["token_transfers"], [F.col("removed").cast("int")]
-    )
-    seen = batches.cursors(spark, f"{root}/out").select("last_indexed_block")
+    current = jobs.current(spark, f"{root}/out", "token_transfers", schema)
+    seen = keyed.cursors(spark, f"{root}/out").select("last_indexed_block")
     return current.select("token", "tx_hash", "log_index", F.col("removed").alias("taken_back"), seen.scalar().alias("cursor"))
 
 
@@ -255,47 +305,59 @@ def stream_ledger(spark, sf_dir):
     root = scratch_path(spark, "stream")
     logs = _dated_logs(spark, sf_dir).unionByName(views.approval_logs(spark, sf_dir), allowMissingColumns=True)
     _files(logs, f"{root}/in", 6, "block_number")
-    spec = jobs.StreamSpec("erc20_transfers", _stream(spark, logs.schema, f"{root}/in", 3), jobs.transfer_tables)
+    spec = jobs.StreamSpec(
+        "erc20_transfers", _stream(spark, logs.schema, f"{root}/in", 3), jobs.transfer_tables, shared=(decode.decode_transfers,)
+    )
     jobs.start(spec, f"{root}/out", f"{root}/cp").awaitTermination()
     schema = jobs.transfer_tables(logs)["chain_events"].schema
-    versions = batches.read_versions(spark, f"{root}/out", "chain_events", schema)
-    if "block_timestamp" not in versions.columns:
-        versions = versions.withColumn("block_timestamp", F.lit(None).cast("timestamp"))
-    return latest(versions, schemas.RULES["chain_events"], ["commit_seq"]).select(
+    return jobs.current(spark, f"{root}/out", "chain_events", schema).select(
         "contract_address", "event_name", "tx_hash", "log_index"
     )
 
 
-@BOOK.add("reset_cursor", "SELECT 'erc20_transfers' AS stream_id, CAST(11000700 AS BIGINT) AS last_indexed_block, "
-          "CAST(11000701 AS BIGINT) AS resumed_at")
+@BOOK.add("reset_cursor", sql.cte(sql.DELIVERIES) + """,
+t AS (SELECT token, min(block_number) FILTER (removed) AS back, max(block_number) AS top FROM deliveries GROUP BY token)
+SELECT 'erc20_transfers_' || token AS stream_id, back AS last_indexed_block, back + 1 AS resumed_at,
+       (SELECT count(*) FROM (SELECT DISTINCT tx_hash, log_index FROM deliveries d WHERE d.token = t.token)) AS rows FROM t""")
 def reset_cursor(spark, sf_dir):
-    """A cursor set back by hand, and the range the next backfill reads."""
+    """Every token's stream is set back to its first removed log and resumed; reading again adds no row."""
     root = scratch_path(spark, "reset")
     logs = _dated_logs(spark, sf_dir)
-    spec = jobs.StreamSpec("erc20_transfers", logs, jobs.transfer_tables)
-    jobs.backfill(spec, logs, root, target=11_000_900, start_block=11_000_000)
-    batches.reset_cursor(spark, root, "erc20_transfers", views.CHAIN, 11_000_700)
-    kept = batches.cursors(spark, root).select("stream_id", "last_indexed_block").collect()
-    first, _ = jobs.backfill(spec, logs, root, target=11_000_950, start_block=11_000_000)
-    rows = [(r["stream_id"], r["last_indexed_block"], first) for r in kept]
-    return spark.createDataFrame(rows, "stream_id string, last_indexed_block long, resumed_at long")
+    spans = logs.groupBy("address").agg(
+        F.min("block_number").alias("first"), F.max("block_number").alias("top"), F.min(F.when(F.col("removed"), F.col("block_number"))).alias("back")
+    ).orderBy("address").collect()  # tokens
+    schema, out = decode.decode_transfers(logs).schema, None
+    for t in spans:
+        own = logs.filter(F.col("address") == t["address"])
+        spec = jobs.StreamSpec(f"erc20_transfers_{t['address']}", own, _transfers_only)
+        jobs.backfill(spec, own, root, target=t["top"], start_block=t["first"])
+        keyed.reset_cursor(spark, root, spec.stream_id, views.CHAIN, t["back"])
+        kept = keyed.cursors(spark, root).filter(F.col("stream_id") == spec.stream_id).first()["last_indexed_block"]
+        resumed, _ = jobs.backfill(spec, own, root, target=t["top"], start_block=t["first"])
+        rows = jobs.current(spark, root, "token_transfers", schema).filter(F.col("token") == t["address"]).agg(F.count("*").alias("rows"))
+        row = rows.select(F.lit(spec.stream_id).alias("stream_id"), F.lit(kept).cast("long").alias("last_indexed_block"),
+                          F.lit(resumed).cast("long").alias("resumed_at"), "rows")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def _transfers_only(batch):
+    return {"token_transfers": decode.decode_transfers(batch)}
 
 
 @BOOK.add("compacted_transfers", sql.cte(sql.TRANSFERS) + """
 SELECT token, tx_hash, log_index, CAST(amount AS VARCHAR) AS amount, removed FROM transfers""")
 def compacted_transfers(spark, sf_dir):
-    """Four commits, folded into a base after the second one; readers take the base and what follows."""
+    """Four batches by ranges of arrival, merged into buckets: the store holds one row a key."""
     root = scratch_path(spark, "compact")
-    logs = _dated_logs(spark, sf_dir)
-    rows = decode.decode_transfers(logs)
-    rule, schema = schemas.RULES["token_transfers"], rows.schema
-    keyed = F.pmod(F.xxhash64("token", "tx_hash", "log_index"), F.lit(4))
-    for part in range(4):
-        batches.commit_batch(root, "erc20_transfers", part, {"token_transfers": rows.filter(keyed == part)})
-        if part == 1:
-            batches.compact(spark, root, "token_transfers", schema, rule, ["arrival"])
-    current = batches.read_current(spark, root, "token_transfers", schema, rule, ["arrival"])
-    return current.select("token", "tx_hash", "log_index", u256.to_string(F.col("amount")).alias("amount"), "removed")
+    rows = decode.decode_transfers(_dated_logs(spark, sf_dir))
+    table = keyed.table_of(rows, schemas.RULES["token_transfers"], ["arrival"])
+    cuts = [11_000_000, 11_000_600, 11_001_200, 11_001_800, 99_000_000]
+    for part, (low, high) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        batch = rows.filter((F.col("block_number") >= low) & (F.col("block_number") < high))
+        keyed.commit_batch(root, "erc20_transfers", part, {"token_transfers": batch}, {"token_transfers": table})
+    stored = keyed.read_rows(spark, root, "token_transfers", table)
+    return stored.select("token", "tx_hash", "log_index", u256.to_string(F.col("amount")).alias("amount"), "removed")
 
 
 @BOOK.add("finalized_rows", sql.cte(sql.PAYROLL) + """

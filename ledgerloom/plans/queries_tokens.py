@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import evm, u256
+from ..operators import asof
 from ..operators import balances as bal
 from . import sql, views
 from .book import Book
@@ -78,6 +79,30 @@ def running_balance(spark, sf_dir):
     )
 
 
+ASKED = f"""
+asked AS (SELECT o_orderkey AS ask, {sql.addr('o_orderkey % 4 + 1')} AS token, {sql.addr('o_custkey % 97')} AS address,
+                 CAST(11000000 + {sql.days('o_orderdate')} AS BIGINT) AS block_number FROM orders)"""
+
+
+def _asked(spark, sf_dir):
+    """One request an order: a token's balance of a wallet at the order's day, the zero address among them."""
+    return views.table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("ask"), F.lit(views.CHAIN).cast("long").alias("chain_id"),
+        evm.address_of(F.col("o_orderkey") % 4 + 1).alias("token"), evm.address_of(F.col("o_custkey") % 97).alias("address"),
+        (views._days("o_orderdate") + 11_000_000).alias("block_number"),
+    )
+
+
+@BOOK.add("balances_asof", sql.cte(sql.MOVEMENTS, ASKED) + """
+SELECT ask, a.token, a.address, a.block_number, CAST(coalesce(sum(delta), 0) AS VARCHAR) AS balance
+FROM asked a LEFT JOIN movements m ON m.token = a.token AND m.address = a.address AND m.block_number <= a.block_number
+GROUP BY ALL""")
+def balances_asof(spark, sf_dir):
+    """Balances of a hundred thousand (wallet, block) pairs from one scan of the transfers."""
+    asked = asof.balances_asof(views.transfers(spark, sf_dir), _asked(spark, sf_dir))
+    return _balance_text(asked).select("ask", "token", "address", "block_number", "balance")
+
+
 @BOOK.add("movements_union", sql.cte(sql.MOVEMENTS) + f"""
 SELECT token, address, debit = 1 AS debit, count(*) AS n, CAST(sum(delta) AS VARCHAR) AS delta
 FROM movements WHERE address <> {sql.ZERO} GROUP BY token, address, debit""")

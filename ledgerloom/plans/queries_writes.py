@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions import blocks as blk
 from ..functions import evm, u256
-from ..functions.ordered import with_position
+from ..functions.ordered import number_by_block
 from ..operators import checkpoints as cp
 from ..operators import decode, fold, quality
 from ..operators import upsert as up
 from ..session import scratch_path
-from ..sources import batches
+from ..sources import keyed
 from . import sql, views
 from .book import Book
 
@@ -206,21 +206,18 @@ def new_transactions(spark, sf_dir):
 SELECT token, tx_hash, log_index, from_address, to_address, CAST(amount AS VARCHAR) AS amount,
        block_number, removed FROM transfers""")
 def atomic_batches(spark, sf_dir):
-    """Two committed batches, one repeated and one never committed, read back folded."""
+    """Two committed batches, the second one run again, and a third that dies before its commit."""
     root = scratch_path(spark, "store")
     d = views.deliveries(spark, sf_dir).drop("order_key", "cents")
     early = F.col("block_number") < 11_001_500
     cursor = d.agg(F.max("chain_id").alias("chain_id"), F.max("block_number").alias("last_indexed_block"))
     cursor = cursor.withColumn("last_block_hash", F.lit(None).cast("string"))
-    schema = d.schema
+    tables = {"token_transfers": keyed.table_of(d, schemas.RULES["token_transfers"], ["arrival"])}
     for batch_id, rows in ((0, d.filter(early)), (1, d.filter(~early)), (1, d.filter(~early))):
-        batches.commit_batch(root, "erc20", batch_id, {"token_transfers": rows}, cursor)
-    # a batch that died before its marker
-    d.withColumn("removed", ~F.col("removed")).write.parquet(
-        batches._folder(root, "token_transfers", "erc20", 2)
-    )
-    rule = schemas.RULES["token_transfers"]
-    return batches.read_current(spark, root, "token_transfers", schema, rule, ["arrival"]).select(
+        keyed.commit_batch(root, "erc20", batch_id, {"token_transfers": rows}, tables, cursor)
+    taken_back = d.withColumn("removed", ~F.col("removed"))
+    keyed.write_table(root, "token_transfers", tables["token_transfers"], taken_back, "erc20", 2)
+    return keyed.read_current(spark, root, "token_transfers", tables["token_transfers"]).select(
         "token", "tx_hash", "log_index", "from_address", "to_address",
         u256.to_string(F.col("amount")).alias("amount"), "block_number", "removed",
     )
@@ -231,8 +228,8 @@ SELECT token, tx_hash, log_index,
        row_number() OVER (ORDER BY chain_id, block_number, log_index, tx_hash, token) AS id
 FROM transfers""")
 def deterministic_ids(spark, sf_dir):
-    order = [F.col(c) for c in ("chain_id", "block_number", "log_index", "tx_hash", "token")]
-    return with_position(views.transfers(spark, sf_dir), order, "id").select(
+    order = ["chain_id", "block_number", "log_index", "tx_hash", "token"]
+    return number_by_block(views.transfers(spark, sf_dir), order, "id").select(
         "token", "tx_hash", "log_index", "id"
     )
 

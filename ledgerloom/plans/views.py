@@ -204,6 +204,17 @@ def payroll_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def ownership_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One change of ownership per supplier, as raw logs of the payroll contract."""
+    s = table(spark, sf_dir, "supplier").select(
+        _chain().alias("chain_id"), evm.address_of("s_suppkey").alias("old"), evm.address_of(F.col("s_nationkey") + 500).alias("new"),
+        F.col("s_suppkey").cast("long").alias("block_number"), evm.hash_of("s_suppkey").alias("tx_hash"),
+        F.lit(3).alias("log_index"), F.lit(False).alias("removed"),
+    )
+    topics = [F.lit(registry.TOPIC["OwnershipTransferred"]), _pad("old"), _pad("new")]
+    return _as_log(s, address=F.lit(PAYROLL_CONTRACT), topics=topics, words=[F.lit("")])
+
+
 def escrow_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two escrow events per order in plain form: creation and one follow-up."""
     o = table(spark, sf_dir, "orders")

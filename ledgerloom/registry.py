@@ -1,7 +1,8 @@
 """Event registry: which topic means which event, and where its fields sit.
 
 Rows of the same shape passed to :func:`event_registry` extend what dispatch knows
-and what the checks look at; the decoders are those of the built-in events.
+and what the checks look at; ``decode.decode_by_registry`` decodes by such rows alone, the
+typed decoders are those of the built-in events.
 """
 
 from __future__ import annotations

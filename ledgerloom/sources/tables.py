@@ -1,7 +1,7 @@
 """Typed reads of the stored tables.
 
-Tables are append-only sets of committed batches (see :mod:`.batches`); the
-current rows are the fold of the batches by key.
+One folder of parquet per table with its declared schema. Tables that streams keep up to
+date are read through :mod:`.keyed`.
 """
 
 from __future__ import annotations
@@ -18,6 +18,20 @@ def scan(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(path)
 
 
+def store(spark: SparkSession, df: DataFrame, name: str, table: str, path: str, buckets: int = 32) -> DataFrame:
+    """Write ``df`` as catalog table ``table`` in the layout of its joins.
+
+    Rows are in ``buckets`` by (chain_id, tx_hash) and sorted inside, so tables of as many
+    buckets are joined on the transaction without an exchange. Columns are those declared for
+    ``name``; those that ``df`` lacks are null.
+    """
+    columns = [F.col(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in SCHEMAS[name]]
+    keys = ["chain_id", "tx_hash"]
+    rows = df.select(*columns).repartition(buckets, *keys)
+    rows.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).mode("overwrite").saveAsTable(table)
+    return spark.table(table)
+
+
 class Tables:
     """``tables(spark, root).token_transfers`` and so on, one folder per table."""
 
@@ -53,6 +67,20 @@ def scan_contract_state(spark: SparkSession, path: str, prop: str, at_block: int
     return state_at(scan(spark, path, "contract_state"), prop, at_block)
 
 
+def contract_state_at(
+    spark: SparkSession, path: str, prop: str, targets: DataFrame, direction: str = "backward", tolerance: int | None = None
+) -> DataFrame:
+    """``targets`` (chain_id, contract, wallet, block_number, ...) with the read of ``prop`` nearest to each.
+
+    One scan of the stored reads answers all targets; the property reaches the scan.
+    """
+    from ..operators.asof import asof_join
+
+    reads = scan(spark, path, "contract_state").filter(F.col("property") == prop)
+    keys = ["chain_id", "contract", "wallet"]
+    return asof_join(targets, reads, keys, "block_number", ["value"], direction=direction, tolerance=tolerance)
+
+
 def as_flag(reads: DataFrame) -> DataFrame:
     """Contract reads of a boolean property."""
     return reads.withColumn("active", ~u256.is_zero(F.col("value"))).drop("value")

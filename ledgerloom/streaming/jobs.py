@@ -2,34 +2,66 @@
 
 Each stream is one StreamingQuery with its own checkpoint, so a failing stream
 does not stop the others. Every micro-batch is written through
-:func:`~ledgerloom.sources.batches.commit_batch`: running a batch again after a
-failure replaces it, and readers never see half of one.
+:func:`~ledgerloom.sources.keyed.commit_batch`: running a batch again after a
+failure gives the same rows, and readers never see half of one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
-from dataclasses import dataclass
+from collections.abc import Callable, Iterable, Mapping
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.blocks import safe_head
 from ..operators import decode, fold
-from ..operators.upsert import latest
-from ..schemas import RULES
-from ..sources import batches
+from ..schemas import RULES, WriteRule
+from ..sources import keyed
+
+HELD = "held"
 
 
 @dataclass(frozen=True)
 class StreamSpec:
-    """What to read and which tables a micro-batch becomes."""
+    """What to read and which tables a micro-batch becomes.
+
+    ``order`` has, by table, the columns that order repeated keys inside a batch; where it
+    says nothing, a notice of removal is the later one. ``shared`` are steps that several
+    tables of a batch go through; their results are kept while the batch is written.
+    """
 
     stream_id: str
     source: DataFrame
     to_tables: Callable[[DataFrame], dict[str, DataFrame]]
     chain_id: int = 1
+    order: Mapping[str, tuple] = field(default_factory=dict)
+    shared: tuple[Callable[[DataFrame], DataFrame], ...] = ()
+
+    def tables(self, frames: dict[str, DataFrame]) -> dict[str, keyed.Table]:
+        return {name: stored_table(name, f.schema, self.order.get(name)) for name, f in frames.items()}
+
+
+def payroll_rule(schema) -> WriteRule:
+    """The wide ledger: a log keeps what it first said; the last word on ``removed`` holds."""
+    keys, last = ("chain_id", "contract_address", "tx_hash", "log_index"), ("removed", "block_timestamp")
+    return WriteRule(keys, tuple(f.name for f in schema.fields if f.name not in (*keys, *last)), last)
+
+
+def stored_table(name: str, schema, order: tuple | None = None) -> keyed.Table:
+    """A streamed table as it is stored."""
+    rule = payroll_rule(schema) if name == "payroll_ledger" else RULES[name]
+    missing = [c for c in (*rule.first_wins, *rule.last_wins) if c not in schema.fieldNames()]
+    if missing:
+        drop = lambda names: tuple(c for c in names if c not in missing)
+        rule = WriteRule(rule.keys, drop(rule.first_wins), drop(rule.last_wins))
+    return keyed.Table(schema, rule, tuple(order) if order else ("removed",))
+
+
+def current(spark: SparkSession, root: str, name: str, schema) -> DataFrame:
+    """Current rows of a streamed table."""
+    return keyed.read_current(spark, root, name, stored_table(name, schema))
 
 
 def _cursor(batch: DataFrame, chain_id: int) -> DataFrame:
@@ -42,20 +74,56 @@ def _cursor(batch: DataFrame, chain_id: int) -> DataFrame:
     )
 
 
-def start(spec: StreamSpec, root: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
-    """Run a stream: continuously every ``interval``, or once over all there is."""
+def _gated(batch: DataFrame, spec: StreamSpec, root: str, batch_id: int, depth: int, variant: str):
+    """(final rows, rows that have to wait, safe head) of what was held before and a batch."""
+    held = keyed.Table(batch.schema, None)
+    before = keyed.read_before(batch.sparkSession, root, f"{HELD}_{spec.stream_id}", held, spec.stream_id, batch_id)
+    pool = before.unionByName(batch).persist()
+    head = pool.agg(F.max("block_number")).first()[0]
+    safe = None if head is None else safe_head(head, depth, variant)
+    final = F.col("block_number") <= F.lit(safe).cast("long")
+    return pool, pool.filter(final), pool.filter(~F.coalesce(final, F.lit(False))), safe
+
+
+def start(
+    spec: StreamSpec, root: str, checkpoint: str, interval: str | None = None, depth: int | None = None, variant: str = "zero"
+) -> StreamingQuery:
+    """Run a stream: continuously every ``interval``, or once over all there is.
+
+    With ``depth`` only final blocks are written. Rows above the safe head (``depth``
+    blocks below the highest one seen) are held, as a table that is committed with the
+    batch, and are let out by the batch that moves the head past them. A late row of a
+    final block passes at once. Only rows of the last ``depth`` blocks are ever held, and the
+    cursor is the safe head.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        # several tables and the cursor come from one read of the batch
-        batch.persist()
+        # several tables and the cursor come from one read of the batch, or from what they share of it
+        pool, kept = None, []
+        if not spec.shared:
+            batch.persist()
         try:
-            frames = spec.to_tables(batch)
-            batches.commit_batch(root, spec.stream_id, batch_id, frames, _cursor(batch, spec.chain_id))
+            received = batch.agg(F.max("_received")).first()[0]
+            rows = batch.drop("_received")
+            waiting = {}
+            if depth is None:
+                cursor = _cursor(rows, spec.chain_id)
+            else:
+                pool, rows, waits, safe = _gated(rows, spec, root, batch_id, depth, variant)
+                waiting = {f"{HELD}_{spec.stream_id}": waits}
+                cursor = _at_block(_cursor(rows, spec.chain_id), safe or 0)
+            kept = [step(rows).persist() for step in spec.shared]
+            frames = spec.to_tables(rows)
+            tables = spec.tables(frames) | {n: keyed.Table(f.schema, None) for n, f in waiting.items()}
+            keyed.commit_batch(root, spec.stream_id, batch_id, frames | waiting, tables, cursor, received=received)
         finally:
-            batch.unpersist()
+            for held in [batch, *kept, *([pool] if pool is not None else [])]:
+                held.unpersist()
 
+    # the clock of a micro-batch is kept with its offsets, so it is the same when the batch runs again
+    received = spec.source.withColumn("_received", F.unix_micros(F.current_timestamp()))
     writer = (
-        spec.source.writeStream.foreachBatch(write)
+        received.writeStream.foreachBatch(write)
         .queryName(spec.stream_id)
         .option("checkpointLocation", f"{checkpoint}/{spec.stream_id}")
     )
@@ -63,9 +131,17 @@ def start(spec: StreamSpec, root: str, checkpoint: str, interval: str | None = N
     return writer.trigger(**trigger).start()
 
 
-def start_live(specs: Iterable[StreamSpec], root: str, checkpoint: str, interval: str) -> list[StreamingQuery]:
-    """One independent query per stream."""
-    return [start(spec, root, checkpoint, interval) for spec in specs]
+def _at_block(cursor: DataFrame, block: int) -> DataFrame:
+    """``cursor`` moved to ``block``, with the hash only if that block had a log."""
+    own = F.when(F.col("last_indexed_block") == block, F.col("last_block_hash"))
+    return cursor.withColumn("last_block_hash", own).withColumn("last_indexed_block", F.lit(block).cast("long"))
+
+
+def start_live(
+    specs: Iterable[StreamSpec], root: str, checkpoint: str, interval: str, depth: int, variant: str = "zero"
+) -> list[StreamingQuery]:
+    """One independent query per stream, each of which writes final blocks only."""
+    return [start(spec, root, checkpoint, interval, depth, variant) for spec in specs]
 
 
 def run_available(specs: Iterable[StreamSpec], root: str, checkpoint: str) -> dict[str, str | None]:
@@ -81,19 +157,23 @@ def run_available(specs: Iterable[StreamSpec], root: str, checkpoint: str) -> di
     return outcome
 
 
-def dedup_stream(deliveries: DataFrame, ttl: str = "30 days", strict_compat: bool = False) -> DataFrame:
+def dedup_stream(
+    deliveries: DataFrame, ttl: str = "30 days", strict_compat: bool = False, received: str | None = None
+) -> DataFrame:
     """Drop repeated webhook logs that arrive within ``ttl`` of the first one.
 
     Time is that of receipt, the clock of the micro-batch, which is kept with the
     batch's offsets and so is the same when the batch runs again. A first delivery
     of an old block is never late. The key is the log identity with its ``removed`` flag, so that a reorg
-    notice passes. ``strict_compat`` uses (tx_hash, log_index) alone.
+    notice passes. ``strict_compat`` uses (tx_hash, log_index) alone. Deliveries that carry
+    their time of receipt name the column (``received``).
     """
     keys = ["tx_hash", "log_index"] if strict_compat else [
         "chain_id", "contract_address", "tx_hash", "log_index", "removed"
     ]
-    received = deliveries.withColumn("received_at", F.current_timestamp())
-    return received.withWatermark("received_at", ttl).dropDuplicatesWithinWatermark(keys).drop("received_at")
+    at = F.col(received) if received else F.current_timestamp()
+    timed = deliveries.withColumn("_received_at", at)
+    return timed.withWatermark("_received_at", ttl).dropDuplicatesWithinWatermark(keys).drop("_received_at")
 
 
 def transfer_tables(batch: DataFrame) -> dict[str, DataFrame]:
@@ -127,73 +207,14 @@ def unified_escrow(pulled: DataFrame, pushed: DataFrame) -> DataFrame:
     return pulled.select(*columns).unionByName(pushed.select(*columns))
 
 
-def current_employees(spark: SparkSession, root: str, schema, touched: DataFrame | None = None) -> DataFrame:
-    """Employees from the streamed ledger; with ``touched`` only those wallets.
+def live_ledger(spark: SparkSession, root: str, schema) -> DataFrame:
+    """Committed payroll ledger with the last word on ``removed``, reorged logs left out."""
+    return current(spark, root, "payroll_ledger", schema).filter(~F.col("removed"))
 
-    A wallet is refolded from its whole committed history, so late and removed
-    logs give the same result as if they had come in order.
-    """
-    return fold.fold_employees(live_ledger(spark, root, schema, touched))
 
-
-def start_projected(spec: StreamSpec, root: str, checkpoint: str, schema, interval: str | None = None) -> StreamingQuery:
-    """A payroll stream that also keeps the table of current employees.
-
-    After a batch's ledger rows are committed, only the wallets it names are folded
-    again, from their committed history, and written as new versions of their rows; a
-    wallet that no live log names any more gets a version that says so.
-    """
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
-        try:
-            frames = spec.to_tables(batch)
-            batches.commit_batch(root, spec.stream_id, batch_id, frames, _cursor(batch, spec.chain_id))
-            named = frames["payroll_ledger"].filter(F.col("employee").isNotNull())
-            touched = named.select("chain_id", "employee").distinct()
-            fresh = current_employees(batch.sparkSession, root, schema, touched).withColumn("present", F.lit(True))
-            rows = touched.withColumnRenamed("employee", "wallet").join(fresh, ["chain_id", "wallet"], "left")
-            rows = rows.withColumn("present", F.coalesce("present", F.lit(False)))
-            batches.commit_batch(root, spec.stream_id, batch_id, {"employees": rows}, writer="projection")
-        finally:
-            batch.unpersist()
-
-    writer = (
-        spec.source.writeStream.foreachBatch(write)
-        .queryName(spec.stream_id)
-        .option("checkpointLocation", f"{checkpoint}/{spec.stream_id}")
-    )
-    return writer.trigger(**({"processingTime": interval} if interval else {"availableNow": True})).start()
-
-
-def projected_employees(spark: SparkSession, root: str, schema) -> DataFrame:
-    """The newest version of every wallet that ``start_projected`` has kept."""
-    shape = fold.fold_employees(spark.createDataFrame([], schema)).schema
-    versions = batches.read_versions(spark, root, "employees", T.StructType([*shape.fields]).add("present", T.BooleanType()))
-    newest = F.max_by(F.struct(*[c for c in shape.fieldNames() if c not in ("chain_id", "wallet")], "present"), "commit_seq")
-    rows = versions.groupBy("chain_id", "wallet").agg(newest.alias("v")).filter("v.present")
-    return rows.select(*[F.col(c) if c in ("chain_id", "wallet") else F.col("v")[c].alias(c) for c in shape.fieldNames()])
-
-
-def live_ledger(spark: SparkSession, root: str, schema, touched: DataFrame | None = None) -> DataFrame:
-    """Committed payroll ledger with the last word on ``removed``, reorged logs left out.
-
-    With ``touched`` only versions of those wallets are folded; all versions of a
-    log name the same wallet.
-    """
-    from ..schemas import WriteRule
-
-    keys = ("chain_id", "contract_address", "tx_hash", "log_index")
-    payload = tuple(
-        f.name for f in schema.fields if f.name not in (*keys, "removed", "block_timestamp")
-    )
-    rule = WriteRule(keys, payload, ("removed", "block_timestamp"))
-    versions = batches.read_versions(spark, root, "payroll_ledger", schema)
-    if touched is not None:
-        wallets = touched.select("chain_id", "employee").distinct()
-        versions = versions.join(wallets, ["chain_id", "employee"], "left_semi")
-    current = latest(versions, rule, ["commit_seq", F.col("removed").cast("int")])
-    return current.filter(~F.col("removed"))
+def current_employees(spark: SparkSession, root: str, schema) -> DataFrame:
+    """Employees from the whole streamed ledger."""
+    return fold.fold_employees(live_ledger(spark, root, schema))
 
 
 def apply_reorg(existing: DataFrame | None, incoming: DataFrame, table: str, order) -> DataFrame:
@@ -242,8 +263,6 @@ def finalized(rows: DataFrame, depth: int, variant: str = "zero") -> DataFrame:
     this filter. What is above the head now is simply seen by a later read, so
     no state is carried between micro-batches.
     """
-    from ..functions.blocks import safe_head
-
     head = rows.agg(F.max("block_number").alias("b")).select(safe_head(F.col("b"), depth, variant).alias("s"))
     return rows.filter(F.col("block_number") <= head.scalar())
 
@@ -261,9 +280,9 @@ def backfill(
     """
     from ..functions.blocks import resume_block
 
-    spark = logs.sparkSession
+    spark, writer = logs.sparkSession, f"{spec.stream_id}-backfill"
     row = (
-        batches.cursors(spark, root)
+        keyed.cursors(spark, root)
         .filter((F.col("stream_id") == spec.stream_id) & (F.col("chain_id") == spec.chain_id))
         .first()
     )
@@ -274,10 +293,48 @@ def backfill(
     while low <= target:
         high = min(low + width - 1, target)
         part = logs.filter(F.col("block_number").between(low, high))
-        cursor = _cursor(part, spec.chain_id).withColumn(
-            # the hash is that of the range's last block, if it has a log
-            "last_block_hash", F.when(F.col("last_indexed_block") == high, F.col("last_block_hash"))
-        ).withColumn("last_indexed_block", F.lit(high).cast("long"))
-        batches.commit_batch(root, spec.stream_id, high, spec.to_tables(part), cursor, writer="backfill")
+        frames = spec.to_tables(part)
+        keyed.commit_batch(
+            root, spec.stream_id, keyed.next_batch(spark, root, writer), frames, spec.tables(frames),
+            _at_block(_cursor(part, spec.chain_id), high), writer, keyed.now(),
+        )
         low = high + 1
     return first, target
+
+
+EMPLOYEES = WriteRule(
+    ("chain_id", "wallet"), (),
+    ("employer", "salary_per_second", "last_withdraw", "active", "total_leaves", "deactivation_time", "allocation",
+     "added_at", "removed_at", "latest_tx_hash", "present"),
+)
+
+
+def start_employees(spec: StreamSpec, root: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
+    """Keep the table of current employees from a stream of raw payroll logs by keyed state.
+
+    A micro-batch updates the state of the wallets it names and writes those rows only;
+    neither the ledger nor older rows of other wallets are read.
+    """
+    from . import stateful
+
+    stream_id = f"{spec.stream_id}-employees"
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        tables = {"employees": keyed.Table(batch.schema, EMPLOYEES)}
+        keyed.commit_batch(root, stream_id, batch_id, {"employees": batch}, tables)
+
+    states = stateful.employee_states(decode.decode_payroll(spec.source))
+    with stateful.state_store(states.sparkSession):
+        writer = (
+            states.writeStream.outputMode("update").foreachBatch(write).queryName(stream_id)
+            .option("checkpointLocation", f"{checkpoint}/{stream_id}")
+        )
+        return writer.trigger(**({"processingTime": interval} if interval else {"availableNow": True})).start()
+
+
+def projected_employees(spark: SparkSession, root: str) -> DataFrame:
+    """Employees that :func:`start_employees` has kept; a wallet without live logs is none."""
+    from . import stateful
+
+    table = keyed.Table(stateful.ROW, EMPLOYEES)
+    return keyed.read_current(spark, root, "employees", table).filter("present").drop("present")

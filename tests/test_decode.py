@@ -121,3 +121,25 @@ def test_logs_without_metadata_are_never_dropped(spark):
     with pytest.raises(Exception, match="no transaction 0xb"):
         decode.with_tx(logs, known).collect()
     assert decode.without(logs, known, ("chain_id", "tx_hash")).first().tx_hash == "0xb"
+
+
+def test_slots_of_every_type(spark):
+    word = lambda n: format(n % 2**256, "064x")
+    text = "é" * 40
+    body = text.encode().hex()
+    data = "0x" + word(-5) + word(-(2**255)) + word(2**256 - 1) + word(7 * 32) + word(0) + word(2**200) + word(1) + word(len(body) // 2) + body.ljust(192, "0")
+    own = reg.EventDef("x", "E", "0x" + "e" * 64, (("who", "address"), ("name", "string")), (
+        ("a", "int256"), ("b", "int256"), ("c", "uint256"), ("s", "string"), ("f", "bool"), ("far", "bytes"), ("t", "bool")))
+    topics = [own.topic0, "0x" + "0" * 24 + "AB" * 20, "0x" + "1" * 64]
+    rows = [(1, "0xc", topics, data, 1, "0x1", 0, False), (1, "0xc", topics[:2], "0x" + word(1)[:40], 2, "0x2", 0, False), (1, "0xc", [reg.TOPIC["Transfer"]], "0x", 3, "0x3", 0, False)]
+    logs = spark.createDataFrame(rows, "chain_id long, address string, topics array<string>, data string, block_number long, tx_hash string, log_index int, removed boolean")
+    for small in (10_000, 0):
+        decode.SMALL_REGISTRY, kept = small, decode.SMALL_REGISTRY
+        try:
+            got = {r.tx_hash: r.fields for r in decode.decode_by_registry(logs, reg.event_registry(spark, [own])).collect()}
+        finally:
+            decode.SMALL_REGISTRY = kept
+        assert got["0x1"] == {"who": "0x" + "ab" * 20, "name": "0x" + "1" * 64, "a": "-5", "b": str(-(2**255)), "c": str(2**256 - 1),
+                              "s": text, "f": "false", "far": None, "t": "true"}
+        assert got["0x2"] == {"who": "0x" + "ab" * 20, "name": None, **dict.fromkeys("abcs"), "f": None, "far": None, "t": None}
+        assert set(got) == {"0x1", "0x2"}

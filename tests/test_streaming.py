@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ledgerloom import registry as reg
 from ledgerloom.functions import u256
 from ledgerloom.operators import decode
-from ledgerloom.sources import batches
+from ledgerloom.sources import keyed
 from ledgerloom.sources import logs as log_source
 from ledgerloom.streaming import jobs
 
@@ -36,10 +36,7 @@ def spec(spark, path, fn=jobs.transfer_tables, name="erc20"):
 
 def current(spark, root):
     schema = decode.decode_transfers(spark.createDataFrame([], SCHEMA)).schema
-    from ledgerloom.schemas import RULES
-
-    df = batches.read_current(spark, root, "token_transfers", schema, RULES["token_transfers"], [F.col("removed").cast("int")])
-    out = df.select("block_number", u256.to_string(F.col("amount")).alias("a"), "removed")
+    out = jobs.current(spark, root, "token_transfers", schema).select("block_number", u256.to_string(F.col("amount")).alias("a"), "removed")
     return sorted((r.block_number, r.a, r.removed) for r in out.collect())
 
 
@@ -53,7 +50,7 @@ def test_restart_replay_and_reorg(spark, tmp_path):
     write(spark, src, transfer(1, 10, removed=True))
     jobs.start(spec(spark, src), root, cp).awaitTermination()
     assert current(spark, root)[0] == (1, "10", True)
-    assert batches.commits(spark, root).count() == 3
+    assert [(r.writer, r.batch_id) for r in keyed.commits(spark, root).collect()] == [("erc20", 2)]
 
 
 def test_failed_batch_is_invisible_and_is_retried(spark, tmp_path):
@@ -62,15 +59,15 @@ def test_failed_batch_is_invisible_and_is_retried(spark, tmp_path):
 
     def broken(batch):
         frames = jobs.transfer_tables(batch)
-        frames["chain_events"] = frames["chain_events"].withColumn("x", F.raise_error(F.lit("disk full")))
+        frames["chain_events"] = frames["chain_events"].withColumn("raw_data", F.raise_error(F.lit("disk full")).cast("string"))
         return frames
 
     outcome = jobs.run_available([spec(spark, src, broken)], root, cp)
     assert outcome["erc20"]
-    assert batches.cursors(spark, root).count() == 0
+    assert keyed.cursors(spark, root).count() == 0
     jobs.start(spec(spark, src), root, cp).awaitTermination()
     assert current(spark, root) == [(1, "10", False)]
-    assert batches.cursors(spark, root).first().last_indexed_block == 1
+    assert keyed.cursors(spark, root).first().last_indexed_block == 1
 
 
 def test_one_failing_stream_does_not_stop_the_other(spark, tmp_path):
@@ -155,17 +152,33 @@ def test_first_delivery_of_an_old_block_is_not_late(spark, tmp_path):
     assert sorted(r.day for r in spark.read.parquet(f"{tmp_path}/out").collect()) == sorted(set(days))
 
 
+def test_a_repeat_passes_once_its_time_is_over(spark, tmp_path):
+    """A first delivery, a repeat in time, another log 61 days on, and then the repeat once more."""
+    days = [("0x1", 100), ("0x1", 110), ("0x2", 161), ("0x1", 162), ("0x1", 163)]
+    names = "chain_id long, contract_address string, tx_hash string, log_index int, removed boolean, day int"
+    schema = spark.createDataFrame([], names).withColumn("at", F.lit(None).cast("timestamp")).schema
+    out = f"{tmp_path}/out"
+    for i, (tx, day) in enumerate(days):
+        frame = spark.createDataFrame([(1, A, tx, 0, False, day)], names).withColumn("at", F.timestamp_seconds(F.col("day") * 86400))
+        frame.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        source = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        jobs.dedup_stream(source, received="at").writeStream.format("parquet").option("path", out).option(
+            "checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
+    assert sorted((r.tx_hash, r.day) for r in spark.read.schema(schema).parquet(out).collect()) == [("0x1", 100), ("0x1", 162), ("0x2", 161)]
+
+
 def test_cursor_carries_the_hash_of_its_block(spark, tmp_path):
     root, cp, src = (f"{tmp_path}/{n}" for n in ("out", "cp", "in"))
     frame = spark.createDataFrame([transfer(3, 1), transfer(7, 1)], SCHEMA)
     frame.withColumn("block_hash", F.concat(F.lit("0xhash"), "block_number")).coalesce(1).write.parquet(src)
     source = spark.readStream.schema(spark.read.parquet(src).schema).parquet(src)
     jobs.start(jobs.StreamSpec("erc20", source, jobs.transfer_tables), root, cp).awaitTermination()
-    row = batches.cursors(spark, root).first()
+    row = keyed.cursors(spark, root).first()
     assert (row.last_indexed_block, row.last_block_hash) == (7, "0xhash7")
 
 
 def test_wallet_without_live_logs_leaves_the_projection(spark, tmp_path):
+    from ledgerloom.operators import fold
     from ledgerloom.plans import views
 
     logs = views.payroll_logs(spark, "/root/testdata/sf0.001").limit(400)
@@ -174,14 +187,83 @@ def test_wallet_without_live_logs_leaves_the_projection(spark, tmp_path):
     logs = spark.read.parquet(src)
     ledger = decode.decode_payroll(logs)
     job = jobs.StreamSpec("payroll", spark.readStream.schema(logs.schema).parquet(src), jobs.payroll_tables)
-    jobs.start_projected(job, root, cp, ledger.schema).awaitTermination()
-    before = {r.wallet for r in jobs.projected_employees(spark, root, ledger.schema).collect()}
+
+    def rows(df):
+        amounts = ("salary_per_second", "allocation", "total_leaves")
+        return sorted(df.withColumns({c: u256.to_string(F.col(c)) for c in amounts}).collect(), key=lambda r: r.wallet)
+
+    jobs.start_employees(job, root, cp).awaitTermination()
+    before = {r.wallet for r in jobs.projected_employees(spark, root).collect()}
+    assert rows(jobs.projected_employees(spark, root)) == rows(fold.fold_employees(ledger))
     gone = min(before)
     keys = ledger.filter(F.col("employee") == gone).select("tx_hash", "log_index").distinct()
-    logs.join(keys, ["tx_hash", "log_index"], "left_semi").withColumn("removed", F.lit(True)).select(
-        *logs.columns).coalesce(1).write.mode("append").parquet(src)
-    jobs.start_projected(job, root, cp, ledger.schema).awaitTermination()
-    assert {r.wallet for r in jobs.projected_employees(spark, root, ledger.schema).collect()} == before - {gone}
+    back = logs.join(keys, ["tx_hash", "log_index"], "left_semi").select(*logs.columns)
+    back.withColumn("removed", F.lit(True)).select(*logs.columns).coalesce(1).write.mode("append").parquet(src)
+    jobs.start_employees(job, root, cp).awaitTermination()
+    assert {r.wallet for r in jobs.projected_employees(spark, root).collect()} == before - {gone}
+    back.coalesce(1).write.mode("append").parquet(src)  # mined again
+    jobs.start_employees(job, root, cp).awaitTermination()
+    assert rows(jobs.projected_employees(spark, root)) == rows(fold.fold_employees(ledger))
+
+
+def test_rows_above_the_head_wait_and_late_ones_pass(spark, tmp_path):
+    root, cp, src = (f"{tmp_path}/{n}" for n in ("out", "cp", "in"))
+    cursor = lambda: [r.last_indexed_block for r in keyed.cursors(spark, root).collect()]
+    write(spark, src, transfer(1, 1), transfer(12, 12))
+    (query,) = jobs.start_live([spec(spark, src)], root, cp, "0 seconds", 5)
+    query.processAllAvailable()
+    assert [r[0] for r in current(spark, root)] == [1] and cursor() == [7]
+    write(spark, src, transfer(12, 12, removed=True), transfer(9, 9))  # a notice for a waiting row, no new head
+    query.processAllAvailable()
+    assert [r[0] for r in current(spark, root)] == [1] and cursor() == [7]
+    query.stop()
+    write(spark, src, transfer(3, 3))  # late, of a final block; the stream starts again
+    (query,) = jobs.start_live([spec(spark, src)], root, cp, "0 seconds", 5)
+    query.processAllAvailable()
+    assert [r[0] for r in current(spark, root)] == [1, 3] and cursor() == [7]
+    write(spark, src, transfer(17, 17))
+    query.processAllAvailable()
+    query.stop()
+    assert current(spark, root) == [(1, "1", False), (3, "3", False), (9, "9", False), (12, "12", True)] and cursor() == [12]
+
+
+@pytest.mark.parametrize("again", [0, 2])
+def test_a_batch_run_again_changes_nothing(spark, tmp_path, again):
+    """Also one that had been committed before the stream noticed."""
+    root = str(tmp_path)
+    frames = [spark.createDataFrame([transfer(b, b * 10) for b in blocks], SCHEMA) for blocks in ((1, 2), (2, 3, 9), (4, 12))]
+    job = jobs.StreamSpec("erc20", frames[0], jobs.transfer_tables)
+
+    def run(n):
+        rows = frames[n].persist()
+        pool, final, waits, safe = jobs._gated(rows, job, root, n, 5, "latest")
+        out = jobs.transfer_tables(final) | {"held_erc20": waits}
+        tables = job.tables(jobs.transfer_tables(final)) | {"held_erc20": keyed.Table(waits.schema, None)}
+        keyed.commit_batch(root, "erc20", n, out, tables, jobs._at_block(jobs._cursor(final, 1), safe), received=n)
+
+    for n in range(3):
+        run(n)
+        seen = current(spark, root)
+        if n == again:
+            run(n)
+            assert current(spark, root) == seen
+    assert [r[0] for r in current(spark, root)] == [1, 2, 3, 4]
+
+
+def test_two_streams_on_one_table_lose_nothing(spark, tmp_path):
+    root = str(tmp_path)
+    frame = lambda rows: spark.createDataFrame([transfer(*r) for r in rows], SCHEMA)
+    one, two = (jobs.StreamSpec(n, None, jobs.transfer_tables) for n in ("one", "two"))
+    first = {n: jobs.transfer_tables(frame(rows)) for n, rows in (("one", [(1, 10), (2, 20)]), ("two", [(2, 99), (3, 30)]))}
+    # both read the store before either of them writes its commit
+    for job in (one, two):
+        for name, f in first[job.stream_id].items():
+            keyed.write_table(root, name, job.tables(first[job.stream_id])[name], f, job.stream_id, 0, F.lit(5 if job is one else 6))
+    assert current(spark, root) == []
+    keyed.commit(spark, root, "two", "two", 0)
+    assert [r[0] for r in current(spark, root)] == [2, 3]
+    keyed.commit(spark, root, "one", "one", 0)
+    assert current(spark, root) == [(1, "10", False), (2, "20", False), (3, "30", False)]
 
 
 @pytest.fixture(autouse=True)

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from ledgerloom import schemas
 from ledgerloom.functions import u256
-from ledgerloom.functions.ordered import running_total, with_position
+from ledgerloom.functions.ordered import number_by_block, running_sums, with_position
 from ledgerloom.operators import checkpoints as cp
 from ledgerloom.operators import upsert as up
 from ledgerloom.operators.dedup import dedup_deliveries
-from ledgerloom.sources import batches
+from ledgerloom.sources import keyed
 
 RULE = schemas.WriteRule(("k",), ("first",), ("last",))
 
@@ -51,7 +51,7 @@ def test_running_total_of_a_key_spread_over_all_ranges(spark):
     rows = [("hot" if i % 3 else f"k{i % 40}", i, random.randint(-(10**20), 10**20)) for i in range(4000)]
     df = spark.createDataFrame([(k, i, str(abs(v)), v < 0) for k, i, v in rows], "k string, i int, d string, neg boolean")
     df = df.select("k", "i", u256.signed(u256.from_string(F.col("d")), F.col("neg")).alias("delta"))
-    out = running_total(df, ["k"], [F.col("i")], "delta", "total")
+    out = running_sums(df, ["k"], ["i"], "delta", "total", "i", width=100)
     got = {(r.k, r.i): int(r.t) for r in out.select("k", "i", u256.to_signed_string(F.col("total")).alias("t")).collect()}
     sums, want = {}, {}
     for k, i, v in rows:
@@ -71,75 +71,133 @@ def _cursor(spark, block):
     return spark.createDataFrame([(1, block, "0xh")], "chain_id long, last_indexed_block long, last_block_hash string")
 
 
-def test_batch_without_marker_is_invisible_and_rerun_replaces(spark, tmp_path):
+def _table(df):
+    return {"t": keyed.table_of(df, RULE, buckets=8)}
+
+
+def test_batch_without_commit_is_invisible_and_rerun_replaces(spark, tmp_path):
     root = str(tmp_path)
-    df = spark.createDataFrame([(1, 1, 1, 0)], "k int, first int, last int, seq int")
-    batches.commit_batch(root, "s", 0, {"t": df}, _cursor(spark, 10))
-    df.withColumn("last", F.lit(99)).write.parquet(f"{root}/t/stream=s/writer=live/batch_id=1")  # died before its marker
-    assert batches.read_current(spark, root, "t", df.schema, RULE, ["seq"]).collect()[0].last == 1
-    assert [r.last_indexed_block for r in batches.cursors(spark, root).collect()] == [10]
+    df = spark.createDataFrame([(1, 1, 1)], "k int, first int, last int")
+    tables = _table(df)
+    read = lambda: sorted(map(tuple, keyed.read_current(spark, root, "t", tables["t"]).collect()))
+    cursor = lambda: [r.last_indexed_block for r in keyed.cursors(spark, root).collect()]
+    keyed.commit_batch(root, "s", 0, {"t": df}, tables, _cursor(spark, 10))
+    keyed.write_table(root, "t", tables["t"], df.withColumn("last", F.lit(99)), "s", 1)  # died before its commit
+    assert read() == [(1, 1, 1)] and cursor() == [10]
     for _ in range(2):
-        batches.commit_batch(root, "s", 1, {"t": df.withColumn("last", F.lit(2))}, _cursor(spark, 20))
-    assert batches.read_versions(spark, root, "t", df.schema).count() == 2
-    assert batches.read_current(spark, root, "t", df.schema, RULE, ["seq"]).collect()[0].last == 2
-    assert batches.is_committed(spark, root, "s", 1) and not batches.is_committed(spark, root, "s", 2)
-    assert [r.last_indexed_block for r in batches.cursors(spark, root).collect()] == [20]
+        keyed.commit_batch(root, "s", 1, {"t": df.withColumns({"first": F.lit(7), "last": F.lit(2)})}, tables, _cursor(spark, 20))
+        assert read() == [(1, 1, 2)] and cursor() == [20]
+
+
+def test_a_batch_leaves_other_buckets_their_files(spark, tmp_path):
+    import glob
+
+    root = str(tmp_path)
+    df = spark.createDataFrame([(i, 0, 0) for i in range(100)], "k int, first int, last int")
+    tables = _table(df)
+    files = lambda: set(glob.glob(f"{root}/t/writer=s/bucket=*/slot=*/*.parquet"))
+    keyed.commit_batch(root, "s", 0, {"t": df}, tables)
+    before = files()
+    for n in range(1, 4):
+        keyed.commit_batch(root, "s", n, {"t": spark.createDataFrame([(5, n, n), (500 + n, n, n)], df.schema)}, tables)
+    kept = {f.split("/bucket=")[1].split("/")[0] for f in before & files()}
+    assert 5 <= len(kept) < 8 and len({f.rsplit("/", 1)[0] for f in files()}) <= 16
+    got = {r.k: (r.first, r.last) for r in keyed.read_current(spark, root, "t", tables["t"]).collect()}
+    assert len(got) == 103 and got[5] == (0, 3) and got[502] == (2, 2) and got[7] == (0, 0)
 
 
 def test_cursor_goes_forward_only_until_reset(spark, tmp_path):
-    root, df = str(tmp_path), spark.createDataFrame([(1,)], "k int")
+    root, df = str(tmp_path), spark.createDataFrame([(1, 1, 1)], "k int, first int, last int")
+    tables = _table(df)
 
     def cursor():
-        return [(r.last_indexed_block, r.last_block_hash) for r in batches.cursors(spark, root).collect()]
+        return [(r.last_indexed_block, r.last_block_hash) for r in keyed.cursors(spark, root).collect()]
 
-    batches.commit_batch(root, "s", 0, {"t": df}, _cursor(spark, 500))
+    keyed.commit_batch(root, "s", 0, {"t": df}, tables, _cursor(spark, 500), received=keyed.now())
     late = spark.createDataFrame([(1, 300, "0xlate")], "chain_id long, last_indexed_block long, last_block_hash string")
-    batches.commit_batch(root, "s", 1, {"t": df}, late)
+    keyed.commit_batch(root, "s", 1, {"t": df}, tables, late, received=keyed.now())
     assert cursor() == [(500, "0xh")]
-    batches.reset_cursor(spark, root, "s", 1, 200, "0xr")
+    keyed.reset_cursor(spark, root, "s", 1, 200, "0xr")
     assert cursor() == [(200, "0xr")]
-    batches.commit_batch(root, "s", 2, {"t": df}, late)
+    keyed.commit_batch(root, "s", 2, {"t": df}, tables, late, received=keyed.now())
     assert cursor() == [(300, "0xlate")]
 
 
 def test_backfill_and_live_share_a_stream(spark, tmp_path):
-    """A batch of one writer never replaces that of another, and the later commit has the last word."""
+    """A batch of one writer never replaces that of another, and the later receipt has the last word."""
     root = str(tmp_path)
     df = spark.createDataFrame([(1, 1, 1)], "k int, first int, last int")
-    batches.commit_batch(root, "s", 200, {"t": df}, _cursor(spark, 200), writer="backfill")
-    batches.commit_batch(root, "s", 0, {"t": df.withColumn("last", F.lit(2))}, _cursor(spark, 500))
-    assert batches.read_current(spark, root, "t", df.schema, RULE, []).first().last == 2
-    assert [r.last_indexed_block for r in batches.cursors(spark, root).collect()] == [500]
+    tables = _table(df)
+    keyed.commit_batch(root, "s", 200, {"t": df}, tables, _cursor(spark, 200), writer="s-backfill", received=1)
+    keyed.commit_batch(root, "s", 0, {"t": df.withColumns({"first": F.lit(9), "last": F.lit(2)})}, tables, _cursor(spark, 500), received=2)
+    assert [tuple(r) for r in keyed.read_current(spark, root, "t", tables["t"]).collect()] == [(1, 1, 2)]
+    assert [r.last_indexed_block for r in keyed.cursors(spark, root).collect()] == [500]
 
 
 def test_cursor_of_block_zero_is_not_kept(spark, tmp_path):
-    df = spark.createDataFrame([(1,)], "k int")
-    batches.commit_batch(str(tmp_path), "s", 0, {"t": df}, _cursor(spark, 0))
-    assert batches.cursors(spark, str(tmp_path)).count() == 0
-    assert batches.commits(spark, str(tmp_path)).count() == 1
-
-
-def test_compacted_table_equals_the_versions(spark, tmp_path):
-    root, shape = str(tmp_path), "k int, first int, last int"
-
-    def commit(n, *rows):
-        batches.commit_batch(root, "s", n, {"t": spark.createDataFrame(list(rows), shape)}, None)
-
-    def current():
-        got = batches.read_current(spark, root, "t", spark.createDataFrame([], shape).schema, RULE, [])
-        return sorted(map(tuple, got.select("k", "first", "last").collect()))
-
-    commit(0, (1, 1, 1))
-    commit(1, (1, 2, 2), (2, 5, 5))
-    schema = spark.createDataFrame([], shape).schema
-    for _ in range(2):
-        batches.compact(spark, root, "t", schema, RULE, [], buckets=2)
-        assert current() == [(1, 1, 2), (2, 5, 5)]
-    commit(2, (2, 9, 9), (3, 7, 7))  # on top of the base: the first value stays, the last one wins
-    assert current() == [(1, 1, 2), (2, 5, 9), (3, 7, 7)]
-    batches.compact(spark, root, "t", schema, RULE, [])
-    assert current() == [(1, 1, 2), (2, 5, 9), (3, 7, 7)]
-    assert batches.read_versions(spark, root, "t", schema).count() == 3
+    df = spark.createDataFrame([(1, 1, 1)], "k int, first int, last int")
+    keyed.commit_batch(str(tmp_path), "s", 0, {"t": df}, _table(df), _cursor(spark, 0))
+    assert keyed.cursors(spark, str(tmp_path)).count() == 0
+    assert keyed.commits(spark, str(tmp_path)).count() == 1
+
+
+def test_a_replaced_table_holds_its_last_contents(spark, tmp_path):
+    root, df = str(tmp_path), spark.createDataFrame([(1, "a"), (1, "a"), (2, None)], "k int, v string")
+    tables = {"t": keyed.table_of(df, None)}
+    for n, rows in enumerate((df, df.filter("k = 2"), df.limit(0), df.filter("k = 1"))):
+        keyed.commit_batch(root, "s", n, {"t": rows}, tables)
+        want = sorted(map(tuple, rows.collect()))
+        assert sorted(map(tuple, keyed.read_current(spark, root, "t", tables["t"]).collect())) == want
+    assert sorted(keyed.read_before(spark, root, "t", tables["t"], "s", 3).collect()) == []
+
+
+def test_numbers_along_blocks_are_dense(spark):
+    random.seed(4)
+    rows = [(random.randint(1, 3), 7 if i % 3 else random.randint(0, 900), i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "chain_id int, block_number int, n int").repartition(5)
+    got = number_by_block(df, ["chain_id", "block_number", "n"], "id")
+    assert [(r.chain_id, r.block_number, r.n) for r in got.orderBy("id").collect()] == sorted(rows)
+    assert sorted(r.id for r in got.collect()) == list(range(1, 3001))
+
+
+@pytest.mark.parametrize("direction", ["backward", "forward"])
+@pytest.mark.parametrize("tolerance", [None, 0, 15])
+def test_asof_join_equals_a_search(spark, direction, tolerance):
+    from ledgerloom.operators.asof import asof_join
+
+    random.seed(8)
+    facts = [("hot" if i % 2 else f"k{i % 9}", random.randint(0, 700), random.randint(0, 5)) for i in range(600)] + [(None, 5, 5)]
+    asks = [(i, random.choice(["hot", "k1", "k2", "none", None]), random.choice([None, *range(0, 760)])) for i in range(500)]
+    got = asof_join(
+        spark.createDataFrame(asks + asks[:5], "i int, k string, at int"), spark.createDataFrame(facts, "k string, at int, v int").repartition(4),
+        ["k"], "at", ["v"], direction=direction, tolerance=tolerance, width=64,
+    )
+
+    def want(k, at):
+        near = [(f[1], f[2]) for f in facts if k is not None and at is not None and f[0] == k and (f[1] <= at if direction == "backward" else f[1] >= at)]
+        near = [(b, v) for b, v in near if tolerance is None or abs(b - at) <= tolerance]
+        if not near:
+            return (None, None)
+        b = (max if direction == "backward" else min)(b for b, _ in near)
+        return max(v for x, v in near if x == b), b
+
+    assert sorted(tuple(r) for r in got.select("i", "v", "at_found").fillna(-1).collect()) == sorted(
+        (i, *[-1 if x is None else x for x in want(k, at)]) for i, k, at in asks + asks[:5]
+    )
+
+
+def test_balances_asof_in_narrow_slices(spark):
+    from ledgerloom.operators.asof import balances_asof
+
+    random.seed(6)
+    rows = [("0xt", random.choice("abz"), random.choice("abz"), random.randint(0, 300), random.randint(0, 99), random.random() < 0.1) for _ in range(800)]
+    df = spark.createDataFrame(rows, "token string, from_address string, to_address string, block_number long, cents long, removed boolean")
+    df = df.withColumns({"chain_id": F.lit(1).cast("long"), "amount": u256.from_small(F.col("cents"))})
+    asks = [(a, b) for a in "abzq" for b in range(0, 320, 7)]
+    asked = spark.createDataFrame(asks, "address string, block_number long").withColumns({"chain_id": F.lit(1).cast("long"), "token": F.lit("0xt")})
+    got = balances_asof(df, asked, width=16).select("address", "block_number", u256.to_signed_string(F.col("balance")).alias("b")).collect()
+    want = {(a, b): sum(c * ((t == a) - (f == a)) for _, f, t, n, c, gone in rows if n <= b and not gone) for a, b in asks}
+    assert {(r.address, r.block_number): int(r.b) for r in got} == want
 
 
 def test_checkpoint_reset_takes_underscore_literally(spark):
@@ -164,3 +222,46 @@ def test_ttl_dedup_equals_a_sequential_pass(spark, hot):
     out = dedup_deliveries(df.drop("d"), ["k"], "t", "30 days")
     got = [(r.k, r.d) for r in out.select("k", (F.unix_timestamp("t") / 86400).cast("int").alias("d")).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_ttl_dedup_of_one_key_doubles_its_steps(spark, monkeypatch):
+    """1500 times let through need eleven rounds, and not 1500."""
+    from ledgerloom.operators import dedup
+
+    rounds = []
+    real = dedup.durable
+    monkeypatch.setattr(dedup, "durable", lambda df: rounds.append(1) or real(df))
+    days = [31 * i for i in range(1500)] + [31 * i + 3 for i in range(1500)]
+    df = spark.createDataFrame([(None, d) for d in days], "k string, d int").select("k", F.timestamp_seconds(F.col("d").cast("long") * 86400).alias("t"))
+    out = dedup_deliveries(df, ["k"], "t", "30 days").select((F.unix_timestamp("t") / 86400).cast("int").alias("d"))
+    assert sorted(r.d for r in out.collect()) == [31 * i for i in range(1500)]
+    assert len(rounds) <= 3 + 2 * 11
+
+
+def test_stored_tables_join_without_an_exchange(spark):
+    from ledgerloom.operators import reads
+    from ledgerloom.plans.queries_reads import stored_ledger
+    from ledgerloom.session import scratch_path
+
+    stored = stored_ledger(spark, "/root/testdata/sf0.001", scratch_path(spark, "stored"))
+    none = spark.createDataFrame([], "last_indexed_block long")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = reads.transaction_events(stored["transactions"], stored["chain_events"], none).select("tx_hash", "status", "event_name")
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        main = plan.split("Subquery")[0]
+        assert "SortMergeJoin" in main and "Exchange" not in main.split("SortMergeJoin")[1]
+        assert out.count() > 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_fk_violations_count_rows_by_rule(spark):
+    from ledgerloom.operators import quality
+
+    people = spark.createDataFrame([(1, "a"), (2, "b")], "chain_id int, wallet string")
+    paid = spark.createDataFrame([(1, "a", "b"), (1, "x", "a"), (2, "x", "b"), (1, "x", None)], "chain_id int, employer string, employee string")
+    rules = (("paid", "employer", "people", "wallet"), ("paid", "employee", "people", "wallet"))
+    got = sorted(tuple(r) for r in quality.fk_violations({"paid": paid, "people": people}, rules).collect())
+    assert got == [("paid.employee->people.wallet", 1, "b", 1), ("paid.employer->people.wallet", 1, "x", 2), ("paid.employer->people.wallet", 2, "x", 1)]
