@@ -143,3 +143,24 @@ def test_slots_of_every_type(spark):
                               "s": text, "f": "false", "far": None, "t": "true"}
         assert got["0x2"] == {"who": "0x" + "ab" * 20, "name": None, **dict.fromkeys("abcs"), "f": None, "far": None, "t": None}
         assert set(got) == {"0x1", "0x2"}
+
+
+def test_registry_numbers_of_every_width_and_sign(spark):
+    """Words around the limits of a long, of a limb and of the type, signed and unsigned, beside a malformed one."""
+    kind = reg.EventDef("own", "Both", "0x" + "cd" * 32, (), (("n", "uint256"), ("s", "int256")))
+    near = {m + d for e in (0, 59, 60, 63, 64, 86, 87, 255, 256) for m in (1 << e, -(1 << e)) for d in (-1, 0, 1)} | {10**26, 10**52}
+    numbers = sorted(n % 2**256 for n in near)
+    rows = [(1, "0xc", kind.topic0, [kind.topic0], "0x" + format(n, "064x") * 2, 1, "0xt", i, False) for i, n in enumerate(numbers)]
+    rows.append((1, "0xc", kind.topic0, [kind.topic0], "0x" + "zz" * 32 + "00" * 8, 1, "0xt", len(numbers), False))
+    names = "chain_id long, address string, topic0 string, topics array<string>, data string, block_number long, tx_hash string, log_index int, removed boolean"
+    out = decode.decode_by_registry(spark.createDataFrame(rows, names), reg.event_registry(spark, [kind]))
+    got = {r["log_index"]: r["fields"] for r in out.collect()}
+    for i, n in enumerate(numbers):
+        assert got[i] == {"n": str(n), "s": str(n if n < 2**255 else n - 2**256)}
+    assert got[len(numbers)] == {"n": None, "s": None}
+
+
+def test_registry_decoding_parses_a_word_once(spark):
+    """However often a slot's number is used, its text has one parse of a word and one of a negated word."""
+    text = str(decode._slot_text(F.col("kind"), F.col("word"), F.col("data"))._jc)
+    assert text.count("aggregate(") == 2
