@@ -16,16 +16,16 @@ def parse_deliveries(text: DataFrame, column: str = "value") -> DataFrame:
     log index is 0. Use :func:`rejected_deliveries` to see what was left out.
     """
     body = text.select(_parsed(column).alias("d"))
-    # the outer form, filtered afterwards: a condition on the array itself would
-    # be pushed below the parser and parse every document twice
+    # the outer form, filtered afterwards on what it yields: a condition on the array or on the
+    # mark of malformed ones would be pushed below the parser and parse every document twice
+    logs = F.when(F.col("d._corrupt").isNull(), F.col("d.event.data.block.logs"))
     return (
         body.select(
             F.col("d.createdAt").alias("created_at"),
             F.col("d.event.data.block.number").alias("block_number_fallback"),
-            F.col("d._corrupt").alias("corrupt"),
-            F.explode_outer("d.event.data.block.logs").alias("log"),
+            F.explode_outer(logs).alias("log"),
         )
-        .filter(F.col("log").isNotNull() & F.col("corrupt").isNull())
+        .filter(F.col("log").isNotNull())
         .select(
             F.col("log.transactionHash").alias("tx_hash"),
             F.coalesce("log.logIndex", F.lit(0)).alias("log_index"),
@@ -43,7 +43,9 @@ def parse_deliveries(text: DataFrame, column: str = "value") -> DataFrame:
 
 def rejected_deliveries(text: DataFrame, column: str = "value") -> DataFrame:
     """Deliveries that do not parse: not JSON, or a member of the wrong type."""
-    return text.withColumn("_d", _parsed(column)).filter(F.col("_d._corrupt").isNotNull()).drop("_d")
+    # as in parse_deliveries, the condition is on what an outer form yields
+    marked = text.select("*", F.explode_outer(F.array(_parsed(column)["_corrupt"])).alias("_corrupt"))
+    return marked.filter(F.col("_corrupt").isNotNull()).drop("_corrupt")
 
 
 def _parsed(column: str) -> Column:

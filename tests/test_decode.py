@@ -164,3 +164,24 @@ def test_registry_decoding_parses_a_word_once(spark):
     """However often a slot's number is used, its text has one parse of a word and one of a negated word."""
     text = str(decode._slot_text(F.col("kind"), F.col("word"), F.col("data"))._jc)
     assert text.count("aggregate(") == 2
+
+
+def test_a_delivery_is_parsed_once(spark):
+    """Neither what is accepted nor what is rejected has a second parse pushed below the first."""
+    text = spark.createDataFrame([], "value string")
+    for rows in (parse_deliveries(text), rejected_deliveries(text)):
+        plan = rows._jdf.queryExecution().optimizedPlan()
+        parsers = sum(str(plan.apply(i).expressions()).count("from_json(") for i in range(plan.treeString().count("\n")))
+        assert parsers <= 1
+
+
+def test_malformed_deliveries_are_told_from_those_without_logs(spark):
+    whole = '{"id":"%s","event":{"data":{"block":{"number":"7","logs":[%s]}}}}'
+    log = '{"transactionHash":"%s","logIndex":%s}'
+    text = spark.createDataFrame(
+        [(whole % ("a", log % ("0xa", 1) + "," + log % ("0xb", 2)),), (whole % ("b", log % ("0xc", 1) + "," + log % ("0xd", '"x"')),),
+         (whole % ("c", ""),), ("{",), (None,)], "value string",
+    )
+    assert sorted(r["tx_hash"] for r in parse_deliveries(text).collect()) == ["0xa", "0xb"]
+    bad = [r["value"] for r in rejected_deliveries(text).collect()]
+    assert len(bad) == 2 and "{" in bad and rejected_deliveries(text).columns == ["value"]
