@@ -271,3 +271,16 @@ def _no_leftover_streams(spark):
     yield
     for query in spark.streams.active:
         query.stop()
+
+
+def test_input_files_grow_in_number_with_the_input(spark, tmp_path, monkeypatch):
+    from ledgerloom.plans import queries_streams
+
+    rows = spark.range(10_000).toDF("n")
+    for limit, each in ((1 << 30, 1), (8_000, 5)):
+        monkeypatch.setattr(queries_streams, "FILE_BYTES", limit)
+        for order in ("n", None):
+            path = tmp_path / f"{each}-{order}"
+            assert queries_streams._files(rows, str(path), 2, order) == each
+            assert len(list(path.glob("part-*"))) == 2 * each
+            assert spark.read.parquet(str(path)).distinct().count() == 10_000
