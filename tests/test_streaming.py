@@ -1,5 +1,6 @@
 """Streams: restart, isolation, replays and finality."""
 
+import json
 import pytest
 from pyspark.sql import functions as F
 
@@ -284,3 +285,87 @@ def test_input_files_grow_in_number_with_the_input(spark, tmp_path, monkeypatch)
             assert queries_streams._files(rows, str(path), 2, order) == each
             assert len(list(path.glob("part-*"))) == 2 * each
             assert spark.read.parquet(str(path)).distinct().count() == 10_000
+
+
+class Kept:
+    """A wallet's state without a store; counts what goes to it."""
+
+    def __init__(self):
+        self.held, self.calls = {}, 0
+
+    def getMapState(self, *_):  # noqa: N802
+        return self
+
+    def getValueState(self, *_):  # noqa: N802
+        return Kept.One()
+
+    def getValue(self, key):  # noqa: N802
+        self.calls += 1
+        return self.held.get(key)
+
+    def updateValue(self, key, value):  # noqa: N802
+        self.calls += 1
+        self.held[key] = value
+
+    def iterator(self):
+        return iter(self.held.items())
+
+    class One:
+        held = None
+
+        def get(self):
+            return self.held
+
+        def update(self, value):
+            self.held = value
+
+
+def test_wallet_state_reads_a_chunk_once_for_all_logs_of_a_batch():
+    from pyspark.sql import Row
+
+    from ledgerloom.streaming import stateful
+
+    def log(n, removed=False):
+        return Row(contract_address="0xc", tx=f"0x{n}", log_index=0, block_number=n, kind=stateful.CLAIMED, employer="0xe",
+                   salary=None, allocation=None, ts=n, removed=removed)
+
+    def run(*batches):
+        handle, state = Kept(), stateful.WalletState()
+        state.init(handle)
+        for batch in batches:
+            (row,) = state.handleInputRows((1, "0xw"), iter(batch), None)
+        return handle, row
+
+    logs = [log(n) for n in range(3000)]
+    handle, row = run(logs)
+    assert handle.calls <= 100 and (row.claimed_at, row.added_at, row.latest_tx_hash) == (2999, 0, "0x2999")
+    # grown chunk by chunk, the last and the first taken back, the last mined again
+    steps = [logs[i : i + 50] for i in range(0, 3000, 50)]
+    _, row = run(*steps, [log(2999, True), log(0, True)])
+    assert (row.claimed_at, row.added_at, row.latest_tx_hash) == (2998, 1, "0x2998")
+    handle, row = run(*steps, [log(2999, True)], [log(2999)])
+    assert (row.claimed_at, row.latest_tx_hash) == (2999, "0x2999")
+    assert sum(len(json.loads(v[0])) for v in handle.held.values()) == 3000
+    assert max(len(json.loads(v[0])) for v in handle.held.values()) <= 2 * stateful.CHUNK
+    assert not run([log(1)], [log(1, True)])[1].present
+
+
+def test_employee_states_go_through_the_state_once_a_batch_in_few_partitions(spark, tmp_path):
+    from ledgerloom.plans import views
+
+    root, cp, src = (f"{tmp_path}/{n}" for n in ("out", "cp", "in"))
+    views.payroll_logs(spark, "/root/testdata/sf0.001").limit(100).coalesce(1).write.parquet(src)
+    schema = spark.read.parquet(src).schema
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    try:
+        query = jobs.start_employees(jobs.StreamSpec("payroll", spark.readStream.schema(schema).parquet(src), jobs.payroll_tables), root, cp)
+        query.awaitTermination()
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "60"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    (operator,) = query.lastProgress["stateOperators"]
+    assert operator["numShufflePartitions"] <= 2 * spark.sparkContext.defaultParallelism
+    wallets = spark.read.parquet(src).transform(decode.decode_payroll).select("employee").na.drop().distinct().count()
+    assert query.lastProgress["numInputRows"] == 100
+    assert jobs.projected_employees(spark, root).count() == wallets
