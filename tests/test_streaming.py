@@ -1,6 +1,8 @@
 """Streams: restart, isolation, replays and finality."""
 
 import json
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -369,3 +371,43 @@ def test_employee_states_go_through_the_state_once_a_batch_in_few_partitions(spa
     wallets = spark.read.parquet(src).transform(decode.decode_payroll).select("employee").na.drop().distinct().count()
     assert query.lastProgress["numInputRows"] == 100
     assert jobs.projected_employees(spark, root).count() == wallets
+
+
+@pytest.mark.parametrize("how", ["plain", "shared", "reread", "gated"])
+def test_no_batch_is_kept_in_memory(spark, tmp_path, monkeypatch, how):
+    root, cp, src = (f"{tmp_path}/{n}" for n in ("out", "cp", "in"))
+    write(spark, src, transfer(1, 1), transfer(12, 12))
+    levels, frame = [], type(spark.range(0))
+    persist = frame.persist
+
+    def recorded(self, *level):
+        out = persist(self, *level)
+        levels.append(self.storageLevel)
+        return out
+
+    monkeypatch.setattr(frame, "persist", recorded)
+    job = replace(spec(spark, src), shared=(decode.decode_transfers,) if how == "shared" else (), reread=how in ("reread", "gated"))
+    jobs.start(job, root, cp, depth=0 if how == "gated" else None).awaitTermination()
+    assert [r[0] for r in current(spark, root)] == [1, 12]
+    assert not [level for level in levels if level.useMemory] and len(levels) == (how in ("plain", "shared"))
+
+
+def test_a_backfill_decodes_a_range_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(value):
+        made.add(1)
+        return value
+
+    counted = F.udf(seen, "string")
+
+    def step(batch):
+        return decode.decode_transfers(batch.withColumn("tx_hash", counted("tx_hash")))
+
+    def tables(batch):
+        return {"token_transfers": step(batch)}
+
+    logs = spark.createDataFrame([transfer(b, b) for b in range(1, 9)], SCHEMA)
+    job = jobs.StreamSpec("erc20", logs, tables, shared=(step,))
+    assert jobs.backfill(job, logs, str(tmp_path), target=8, start_block=1) == (1, 8)
+    assert [r[0] for r in current(spark, str(tmp_path))] == list(range(1, 9)) and made.value == 8
