@@ -151,10 +151,11 @@ def u256_roundtrip(spark, sf_dir):
         F.lpad(F.col("l_orderkey").cast("string"), 30, "0"),
         F.lpad(F.col("l_partkey").cast("string"), 30, "0"),
     )
-    return views.table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l_quantity").alias("q"),
-        u256.to_string(u256.from_string(text)).alias("digits"),
-    )
+    plain = [F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l_quantity").alias("q")]
+    # a projection a step: inside one expression every mention of the text and of the number is computed again
+    rows = views.table(spark, sf_dir, "lineitem").select(*plain, text.alias("text"))
+    rows = rows.select("k", "n", "q", u256.from_string(F.col("text")).alias("number"))
+    return rows.select("k", "n", "q", u256.to_string(F.col("number")).alias("digits"))
 
 
 @BOOK.add("u256_sum", """

@@ -77,3 +77,18 @@ def test_sums_stay_in_hash_aggregates(spark):
     df = spark.range(10).select(F.lit(1).alias("g"), u256.from_small(F.col("id")).alias("v"))
     plan = df.groupBy("g").agg(u256.total(F.col("v")).alias("s"))._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
+def test_text_of_every_length_and_of_no_number(spark):
+    digits = "9876543210" * 8
+    texts = [digits[:n] for n in range(1, 79)] + ["0" * 78, "0", " 7 ", digits[:79], "", "+1", "1e5", "1.5", "-3", "12a", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", u256.from_string(F.col("t")).alias("n"))
+    got = [r[1] for r in rows.select("i", u256.to_string(F.col("n"))).orderBy("i").collect()]
+    assert got == [str(int(t)) for t in texts[:81]] + [None] * 8
+
+
+def test_the_round_trip_parses_a_text_once(spark):
+    from ledgerloom.plans import catalog
+
+    plan = catalog.queries()["u256_roundtrip"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE(") == 1
