@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import evm, u256
 from ..functions.ordered import running_sums
+from ..session import durable
 
 
 def live(df: DataFrame) -> DataFrame:
@@ -90,8 +91,11 @@ def running_balances(transfers: DataFrame, width: int = 256) -> DataFrame:
     """Balance of each address after each of its movements.
 
     A window holds an address's movements of ``width`` blocks; what a chain puts into a block is bounded.
+    The live transfers are written once: the sums of slices read them beside the rows, and what they come
+    from, often a fold of all deliveries, is not done again for that.
     """
-    moves = movements(transfers).select(
+    kept = ("chain_id", "token", "from_address", "to_address", "block_number", "tx_hash", "log_index", "removed", "amount")
+    moves = movements(durable(live(transfers).select(*kept))).select(
         "chain_id", "token", "address", "block_number", "tx_hash", "log_index", "debit", "delta"
     )
     order = ["block_number", "log_index", "tx_hash", "debit"]
