@@ -11,7 +11,7 @@ from ..operators import balances as bal
 from ..operators import checkpoints as cp
 from ..operators import decode, filters, fold, notify, paging, reads
 from ..operators.dedup import dedup_deliveries as dedup_exact
-from ..session import scratch_path
+from ..session import estimated_bytes, scratch_path
 from ..sources import tables
 from . import sql, views
 from .book import Book
@@ -459,19 +459,26 @@ def tx_events_stored(spark, sf_dir):
     """The transaction view over stored tables in the layout of the join: no exchange below it."""
     root = scratch_path(spark, "stored")
     stored = stored_ledger(spark, sf_dir, root)
-    return reads.transaction_events(stored["transactions"], stored["chain_events"], cursors(spark, sf_dir)).select(
+    # the cursors stand where the stored transfers end; the deliveries are not folded again for them
+    seen = stored["chain_events"].select("chain_id", F.col("contract_address").alias("token"), "block_number")
+    return reads.transaction_events(stored["transactions"], stored["chain_events"], cursors(spark, sf_dir, seen)).select(
         "tx_hash", "sender", "recipient", "status", "confirmations", "contract_address", "log_index"
     )
 
 
+BUCKET_BYTES = 16 << 20
+
+
 def stored_ledger(spark, sf_dir, root: str) -> dict:
     """Transactions and their ledger rows as bucketed tables, under names of their own."""
     ledger = decode.ledger_rows(
         views.transfers(spark, sf_dir).withColumn("event_name", F.lit("Transfer")), decode.transfer_json()
     )
     suffix = root.rsplit("-", 1)[1]
+    # a bucket is sorted and joined by one task: their number grows with the deliveries
+    buckets = max(8, estimated_bytes(views.table(spark, sf_dir, "lineitem")) // BUCKET_BYTES)
     return {
-        name: tables.store(spark, df, name, f"{name}_{suffix}", f"{root}/{name}", buckets=8)
+        name: tables.store(spark, df, name, f"{name}_{suffix}", f"{root}/{name}", buckets=buckets)
         for name, df in (("transactions", views.transactions(spark, sf_dir)), ("chain_events", ledger))
     }
 

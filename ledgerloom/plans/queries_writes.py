@@ -248,9 +248,9 @@ cursors AS (
   SELECT 1, 'monthly_payroll', max(event_id), NULL FROM events)"""
 
 
-def cursors(spark, sf_dir):
+def cursors(spark, sf_dir, transfers=None):
     """One cursor per token stream, a few blocks apart, and one payroll cursor."""
-    t = views.transfers(spark, sf_dir)
+    t = views.transfers(spark, sf_dir) if transfers is None else transfers
     per_token = t.groupBy("chain_id", "token").agg(F.max("block_number").alias("b")).select(
         "chain_id",
         F.concat(F.lit("erc20_transfers_"), "token").alias("stream_id"),
