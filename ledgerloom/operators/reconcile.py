@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from ..functions import blocks as blk
 from ..functions import evm, u256
+from ..session import durable
 
 OPEN, RESOLVED = "open", "resolved"
 
@@ -479,9 +480,10 @@ def reconcile_events(
     if planned is None:
         return None
     first, last = planned
-    found = audit_events(
+    # written: the outcomes and every count read the mismatches, the audit behind them is done once
+    found = durable(audit_events(
         family, decoded, stored, first=first, last=last, safe=safe, cursor=ingest_cursor, token=token
-    )
+    ))
     scope = in_scope(family, chain_id, first, last, token)
     return EventRun(apply_lifecycle(exceptions, found, scope, now), found, first, last)
 
@@ -513,7 +515,8 @@ def reconcile_balances(
     block = blk.effective_target(wanted, safe, token_cursor, start)
     if block is None:
         return None
-    checked = reduce(DataFrame.unionByName, [c.select("matches", *_MISMATCH_COLUMNS) for c in checks(block)])
+    # written: what matches, what does not and each outcome are read from it, the audit behind it is done once
+    checked = durable(reduce(DataFrame.unionByName, [c.select("matches", *_MISMATCH_COLUMNS) for c in checks(block)]))
     found = checked.filter(~F.col("matches")).select(*_MISMATCH_COLUMNS)
     fixed = checked.filter("matches").select("entity_ref")
     return BalanceRun(apply_lifecycle(exceptions, found, fixed, now), found, checked, block)

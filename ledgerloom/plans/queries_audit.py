@@ -650,8 +650,8 @@ def _no_exceptions(spark):
     return spark.createDataFrame([], rec.EXCEPTION_SCHEMA)
 
 
-def _balance_run(spark, sf_dir, exceptions=None, **plan):
-    live = faults.live_transfers(spark, sf_dir)
+def _balance_run(spark, sf_dir, exceptions=None, live=None, **plan):
+    live = faults.live_transfers(spark, sf_dir) if live is None else live
     stored = _stored_transfers(live)
 
     def checks(block):
@@ -684,13 +684,14 @@ SELECT entity_ref, CASE WHEN matches THEN 'resolved' WHEN entity_ref IN (SELECT
 FROM checked WHERE NOT matches OR entity_ref IN (SELECT entity_ref FROM open_)""")
 def balance_run_recent(spark, sf_dir):
     """The recent window, limited by the token cursor, over exceptions that are already open."""
-    rows = _balance_run(spark, sf_dir, latest=TARGET + 12, mode="target", token_cursor=TARGET, target=TARGET).checked
+    live = faults.live_transfers(spark, sf_dir)
+    rows = _balance_run(spark, sf_dir, live=live, latest=TARGET + 12, mode="target", token_cursor=TARGET, target=TARGET).checked
     open_ = rows.filter(F.col("entity_ref").endswith("0:token_balance_mismatch")).select(
         F.lit(1).cast("long").alias("id"), "type", "severity", "entity_ref", "expected", "observed", F.lit("open").alias("status"),
         F.lit("2024-01-01").cast("timestamp").alias("detected_at"), F.lit(None).cast("timestamp").alias("resolved_at"),
     )
     run = _balance_run(
-        spark, sf_dir, durable(open_), latest=TARGET + 800 + 12, mode="recent", token_cursor=TARGET, window=100
+        spark, sf_dir, durable(open_), live, latest=TARGET + 800 + 12, mode="recent", token_cursor=TARGET, window=100
     )
     return run.lifecycle.marks.select("entity_ref", "outcome")
 
@@ -725,6 +726,8 @@ def combined_run_summary(spark, sf_dir):
         "payroll": payroll(rec.FUNDING, "PayrollFunded"),
         "claims": payroll(rec.CLAIM, "SalaryClaimed"),
         "token": events(rec.TRANSFER, live, faults.observed_transfers(live)),
-        "balance": lambda: _balance_run(spark, sf_dir, latest=TARGET + 12, mode="target", token_cursor=TARGET, target=TARGET),
+        "balance": lambda: _balance_run(
+            spark, sf_dir, live=live, latest=TARGET + 12, mode="target", token_cursor=TARGET, target=TARGET
+        ),
     })
     return rec.combined_summary(done)
