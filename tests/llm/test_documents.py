@@ -370,6 +370,45 @@ def test_changed_passages_are_found(spark, n, changed):
     assert got <= {(i, i + 1) for i in range(0, 120, 2)} and len(got) >= 59
 
 
+@pytest.mark.parametrize(("changed", "holders"), [(3, 4), (6, 4), (6, 30)])
+def test_changed_passages_beside_texts_of_their_halves(spark, changed, holders):
+    """Every pair that shares 60 words, some changed, while other texts hold one half of them; with many, all seeds are frequent."""
+    rng = random.Random(changed + holders)
+    rows = []
+    for i in range(0, 30 * 100, 100):
+        w = sentence(rng, 60).split()
+        other = list(w)
+        for at in rng.sample(range(2, 58, 2), changed):
+            other[at] = f"changed{at}"
+        rows += [(i + 90 + j, f"{sentence(rng, 40)} {' '.join(t)} {sentence(rng, 40)}", "s") for j, t in enumerate([w, other])]
+        halves = [x[a : a + 30] for x in (w, other) for a in (0, 30)]
+        rows += [(i + j, f"{sentence(rng, 40)} {' '.join(halves[j % 4])} {sentence(rng, 40)}", "s") for j in range(2 * holders)]
+    got = {tuple(sorted((r["doc_id"], r["other_id"]))) for r in substring_dedup.repeated_passages(made(spark, rows)).collect()}
+    assert got == {(i + 90, i + 91) for i in range(0, 30 * 100, 100)}
+
+
+def test_places_of_a_repeated_seed_meet_each_with_each(spark):
+    """A phrase that one text repeats is in a passage at its last place there, and at the first of the other text."""
+    rng = random.Random(31)
+    rows = []
+    for i in range(0, 20, 2):
+        phrase, x = sentence(rng, 4), [sentence(rng, 5) for _ in range(12)]
+        mixed = " ".join(f"{phrase} {y}" for y in x)
+        other = " ".join(f"{phrase} {y}" for y in [*(sentence(rng, 5) for _ in range(12)), *x])
+        rows += [(i, mixed, "s"), (i + 1, other, "s")]
+    got = substring_dedup.repeated_passages(made(spark, rows)).collect()
+    assert {tuple(sorted((r["doc_id"], r["other_id"]))) for r in got} == {(i, i + 1) for i in range(0, 20, 2)}
+
+
+def test_copies_of_a_text_are_tied_to_the_smallest_id(spark):
+    rng = random.Random(12)
+    one, short = sentence(rng, 60), sentence(rng, 20)
+    big = 2**60 + 1
+    rows = [(big, one, "s"), (big + 1, one, "s"), (big + 1, one, "s"), (None, one, "s"), (1, short, "s"), (2, short, "s")]
+    got = [tuple(r) for r in substring_dedup.repeated_passages(made(spark, rows)).collect()]
+    assert sorted(got, key=str) == sorted([(i, 0, 60, big, 0, 60, 60, 60) for i in (big + 1, None)], key=str)
+
+
 def test_best_chain_equals_brute_force():
     import numpy as np
 
