@@ -21,6 +21,7 @@ import hashlib
 import itertools
 import json
 import os
+import re
 import struct
 from collections.abc import Iterator
 from functools import cache
@@ -51,6 +52,9 @@ _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
 
+# Characters below U+0300 whose lower case is not.
+_FAR = frozenset(c for c in map(chr, range(0x300)) if max(c.lower()) >= "\u0300")
+
 _open: dict = {}
 
 
@@ -78,12 +82,16 @@ class Coder:
         self.special = special
         self.back = max([16, *(len(s) for s in special)]) + 8
         self.words = None if file.get("decoder") else _words(file)
+        self.latin = _latin(self.words) or self.words
         self.lowers = "Lowercase" in str(file.get("normalizer"))
         # without a decoder the library sets a space between tokens
         names = [self.tokenizer.id_to_token(i) for i in range(self.tokenizer.get_vocab_size())]
         self.names = None if file.get("decoder") or None in names else names
+        self.words = self.words if self.names else None
+        self.model = self.tokenizer.model
         self.seen: dict[str, tuple[bytes, str]] = {}
         self.kinds: dict[str, bool] = {}
+        self.fine: set[str] = set()
 
     def batch(self, texts: list[str]):
         return self.tokenizer.encode_batch(texts, add_special_tokens=False)
@@ -117,27 +125,48 @@ class Coder:
         """
         if self.words is None or any(s in text for s in self.special):
             return None
+        chars = set(text)
         # white space is in no word
-        text = text.lower() if self._lowers(text) else self.tokenizer.normalizer.normalize_str(text)
-        if not all(map(self._same_kind, set(text))):
-            return None
-        found = self._known(self.words.findall(text))
+        if self._lowers(chars):
+            if not self._all_fine(chars):
+                return None
+            text, cut = text.lower(), self._cut(chars)
+        else:
+            text, cut = self.tokenizer.normalizer.normalize_str(text), self.words
+            if not all(map(self._same_kind, set(text))):
+                return None
+        found = self._known(cut.findall(text))
         return b"".join([f[0] for f in found]), " ".join([f[1] for f in found])
 
-    def _lowers(self, text: str) -> bool:
+    def _cut(self, chars: set[str]):
+        """The pattern for these characters or their lower case."""
+        return self.latin if max(chars, default="") < "\u0300" and chars.isdisjoint(_FAR) else self.words
+
+    def _tokens(self, word: str) -> tuple[bytes, str]:
+        letters = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(_LETTERS)
+        ids = [t.id for t in self.model.tokenize(letters)]
+        return struct.pack(f"<{len(ids)}I", *ids), " ".join(map(self.names.__getitem__, ids))
+
+    def _all_fine(self, chars: set[str]) -> bool:
+        """Whether the library cuts the lower case of all these characters as the pattern does."""
+        if not chars <= self.fine:
+            self.fine |= {c for c in chars - self.fine if all(map(self._same_kind, c.lower()))}
+        return chars <= self.fine
+
+    def _lowers(self, chars: set[str]) -> bool:
         """Whether normalising is lower case character by character: nothing below U+0300 composes."""
-        return self.lowers and (text.isascii() or max(text) < "\u0300")
+        return self.lowers and max(chars, default="") < "\u0300"
 
     def _known(self, parts: list[str]) -> list[tuple[bytes, str]]:
-        seen, model = self.seen, self.tokenizer.model
-        if len(seen) > WORDS:
-            seen.clear()
-        for word in set(parts):
-            if word not in seen:
-                letters = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(_LETTERS)
-                tokens = model.tokenize(letters)
-                seen[word] = (struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens]), " ".join([t.value for t in tokens]))
-        return [seen[w] for w in parts]
+        seen = self.seen
+        found = list(map(seen.get, parts))
+        if None in found:
+            if len(seen) > WORDS:
+                seen.clear()
+            for word in set(parts).difference(seen):
+                seen[word] = self._tokens(word)
+            found = list(map(seen.__getitem__, parts))
+        return found
 
     def pieces(self, texts: list[str]) -> list[tuple[np.ndarray, list, list]]:
         """Ids of each text, and where words begin near its ends."""
@@ -149,19 +178,42 @@ class Coder:
             slow = slow[len(part) :]
         return out
 
-    def _piece(self, text: str) -> tuple[np.ndarray, list, list] | None:
-        # lower case keeps the places of all characters below U+0300 but one
-        if self.words is None or not self._lowers(text) or "\u0130" in text or any(s in text for s in self.special):
+    def begun(self, text: str) -> tuple[np.ndarray, list]:
+        """Ids of a short text, and where words begin."""
+        plain = self._plain(text)
+        if plain is None:
+            e = self.batch([text])[0]
+            return np.array(e.ids, dtype="<u4"), beginnings(e, text, range(len(e)))
+        matches = list(self._cut(set(plain)).finditer(plain))
+        found = [f[0] for f in self._known([m[0] for m in matches])]
+        begins = zip([m.start() for m in matches], itertools.accumulate([len(f) // 4 for f in found], initial=0), strict=False)
+        return np.frombuffer(b"".join(found), dtype="<u4"), list(begins)
+
+    def _plain(self, text: str) -> str | None:
+        """Lower case of a text that keeps the places of its characters and is cut by the pattern."""
+        # that of all characters below U+0300 but one
+        if self.words is None or any(s in text for s in self.special):
             return None
-        text = text.lower()
-        if not all(map(self._same_kind, set(text))):
+        chars = set(text)
+        return text.lower() if self._lowers(chars) and "\u0130" not in chars and self._all_fine(chars) else None
+
+    def _piece(self, text: str) -> tuple[np.ndarray, list, list] | None:
+        text = self._plain(text)
+        if text is None:
             return None
-        matches = list(self.words.finditer(text))
-        found = [f[0] for f in self._known([m[0] for m in matches])]
-        begins = list(zip([m.start() for m in matches], itertools.accumulate([len(f) // 4 for f in found], initial=0), strict=False))
-        ids = np.frombuffer(b"".join(found), dtype="<u4")
-        low, high = SIDE, len(text) - SIDE
-        return ids, list(itertools.takewhile(lambda b: b[0] <= low, begins)), [b for b in begins if b[0] >= high]
+        cut = self._cut(set(text))
+        ids = np.frombuffer(b"".join([f[0] for f in self._known(cut.findall(text))]), dtype="<u4")
+        # words are looked for near the ends only
+        head, token, low, high = [], 0, SIDE, len(text) - SIDE
+        for m in cut.finditer(text):
+            if m.start() > low:
+                break
+            head.append((m.start(), token))
+            token += len(self._known([m[0]])[0][0]) // 4
+        matches = list(cut.finditer(text, max(0, text.rfind(" ", 0, max(0, high)))))
+        sizes = [len(f[0]) // 4 for f in self._known([m[0] for m in matches])]
+        begins = itertools.accumulate(sizes, initial=len(ids) - sum(sizes))
+        return ids, head, [(m.start(), t) for m, t in zip(matches, begins, strict=False) if m.start() >= high]
 
     def _same_kind(self, c: str) -> bool:
         known = self.kinds.get(c)
@@ -180,9 +232,30 @@ def _words(file: dict):
         return None
     split, last = cuts
     plain = split["behavior"] == "Removed" and split["invert"] and "Regex" in split["pattern"] and not last.get("use_regex", True)
+    # the ends of a text are cut apart from the rest: no look around, anchor or edge may see that
+    plain = plain and not regex.search(r"\(\?|\\[bBAGzZmM<>]|\$|(?<!\[)\^", split["pattern"]["Regex"])
     return regex.compile(split["pattern"]["Regex"]) if plain else None
 
 
+def _latin(words):
+    """The same pattern for characters below U+0300 with its classes written out, which Python's own module cuts faster by."""
+    if words is None:
+        return None
+    text = words.pattern
+    for kind in (r"\p{L}", r"\p{N}", r"\s"):
+        runs: list[list[int]] = []
+        for c in (c for c in range(0x300) if regex.match(f"[{kind}]", chr(c))):
+            if runs and c == runs[-1][1] + 1:
+                runs[-1][1] = c
+            else:
+                runs.append([c, c])
+        text = text.replace(kind, "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in runs))
+    plain = regex.sub(r"\\p\{[LN]\}|\\s", "", words.pattern)
+    outside = regex.sub(r"\[[^\]]*\]", "", words.pattern)
+    fine = "\\" not in plain + outside and not any(x in plain for x in ("&&", "--", "||", "~~", "(?", "[["))
+    return re.compile(text) if fine else None
+
+
 def _check(file: dict, path: str) -> None:
     """Only files whose words follow from the text at and after their beginning."""
     normal = file.get("normalizer") or {"type": "Sequence", "normalizers": []}
@@ -366,10 +439,10 @@ def joined(text: str, pieces: list[Piece], by: Coder) -> np.ndarray:
         reach, met = STRETCH, None
         while met is None:
             stop = min(end + by.back + reach, len(text))
-            e = by.batch([text[begin:stop]])[0]
+            ids, begins = by.begun(text[begin:stop])
             if stop == len(text):
                 break
-            own = {begin + at: t for at, t in beginnings(e, text[begin:stop], range(len(e)))}
+            own = {begin + at: t for at, t in begins}
             for j in range(k + 1, len(pieces)):
                 for at, t in pieces[j].head:
                     q = pieces[j].start + at
@@ -379,7 +452,6 @@ def joined(text: str, pieces: list[Piece], by: Coder) -> np.ndarray:
                 if met or pieces[j].start + pieces[j].size > stop:
                     break
             reach *= 2
-        ids = np.array(e.ids, dtype="<u4")
         if met is None:
             out.append(ids)
             break

@@ -57,6 +57,30 @@ def test_pieces_are_those_of_the_library():
         assert ids.tolist() == e.ids and (head, tail) == ce.sides(e, text)
 
 
+def test_written_out_pattern_cuts_as_the_file_does():
+    """Characters below U+0300, white space and control characters among them."""
+    by, rng = ce.coder(None), random.Random(17)
+    assert by.latin is not by.words
+    for _ in range(400):
+        text = "".join(rng.choices([*map(chr, range(0x300)), *"abcdefgh  s t re   \n"], k=rng.randint(1, 300)))
+        assert [m.span() for m in by.latin.finditer(text)] == [m.span() for m in by.words.finditer(text)]
+    texts = ["".join(rng.choices([*map(chr, range(1, 0x300)), *"abc's  "], k=60)) for _ in range(300)]
+    assert [np.frombuffer(i, dtype="<u4").tolist() for i in by.whole(texts)[0]] == whole(texts)[0]
+
+
+def test_words_of_joins_are_those_of_the_library():
+    """What stands at a join is encoded by words; the library is asked only where it cuts otherwise."""
+    by, rng = ce.coder(None), random.Random(18)
+    plain = 0
+    for _ in range(300):
+        text = "".join(rng.choices(HARD[:5] * 8 + HARD[:10] + ["the ", "running", "ñandú ", "'s", "don't ", "x1 ", "...", "Ⱥb "] * 4, k=rng.randint(1, 60)))
+        e = by.batch([text])[0]
+        ids, begins = by.begun(text)
+        assert ids.tolist() == e.ids and begins == ce.beginnings(e, text, range(len(e)))
+        plain += by._plain(text) is not None
+    assert plain > 20
+
+
 def test_long_texts_cut_at_random_places():
     rng, by = random.Random(3), ce.coder(None)
     for _ in range(60):
