@@ -132,3 +132,21 @@ def test_clashing_columns_and_empty_tables(spark, sf_dir):
         assert out.columns == wide.columns and out.filter("size <> 'clash' or n_lines <> 'clash' or row <> 'clash'").count() == 0
         assert stage(spark, docs.limit(0), sf_dir).count() == 0
     assert STAGE["best-fit packing"](spark, docs.limit(0), sf_dir).count() == 0
+
+
+@pytest.mark.parametrize("stage", sorted(STAGE))
+def test_stages_send_small_batches_to_the_workers(spark, sf_dir, stage):
+    import pyarrow as pa
+
+    def rows(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, "10000")
+    try:
+        STAGE[stage](spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir)
+        got = spark.range(0, 5000, 1, 1).mapInArrow(rows, "n long").collect()
+    finally:
+        spark.conf.unset(key)
+    assert sum(r["n"] for r in got) == 5000 and max(r["n"] for r in got) <= pipeline.BATCH_ROWS
