@@ -400,6 +400,39 @@ def test_places_of_a_repeated_seed_meet_each_with_each(spark):
     assert {tuple(sorted((r["doc_id"], r["other_id"]))) for r in got} == {(i, i + 1) for i in range(0, 20, 2)}
 
 
+def test_every_two_texts_of_a_frequent_passage_are_tied(spark):
+    """Texts that share a frequent passage, some words changed in each, and another one with the texts that come first by its seeds."""
+    rng = random.Random(41)
+    shared, first, last = (sentence(rng, n).split() for n in (60, 40, 40))
+    rows = [(i, f"{sentence(rng, 30)} {' '.join(shared)} {sentence(rng, 20)}", "s") for i in range(60)]
+    rows += [(i, f"{rows[i][1]} {' '.join(first if i % 2 else last)} {sentence(rng, 20)}", "s") for i in range(40)]
+    del rows[:40]
+    both = [(100 + i, f"{sentence(rng, 30)} {' '.join(shared)} {sentence(rng, 20)} {' '.join(first + last)} {sentence(rng, 20)}", "s") for i in range(20)]
+    got = substring_dedup.repeated_passages(made(spark, rows + both)).collect()
+    ids = [r[0] for r in rows + both]
+    assert {tuple(sorted((r["doc_id"], r["other_id"]))) for r in got} == set(itertools.combinations(sorted(ids), 2))
+    long = {tuple(sorted((r["doc_id"], r["other_id"]))) for r in got if r["n_equal"] >= 80 or r["start"] >= 100}
+    assert long == set(itertools.combinations([100 + i for i in range(20)], 2))
+
+
+def test_common_counts_equal_brute_force():
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    doc, key = (v.ravel() for v in np.meshgrid(np.arange(30) * 1000 - 9000, np.arange(50)))
+    some = rng.random(len(doc)) < 0.3
+    doc, key = doc[some], key[some]
+    places = rng.integers(1, 4, len(doc)).astype(np.int32)
+    held = defaultdict(dict)
+    for d, k, n in zip(doc.tolist(), key.tolist(), places.tolist(), strict=True):
+        held[d][k] = n
+    common = lambda a, b: sum(min(n, held[b].get(k, 0)) for k, n in held[a].items())
+    for on_i, on_j in ((doc < 0, doc >= 0), (doc < 5000, doc < 5000)):
+        want = {(max(a, b), min(a, b)): common(a, b) for a in set(doc[on_i].tolist()) for b in set(doc[on_j].tolist()) if a != b}
+        got = substring_dedup.common_counts(doc, key, places, on_i, on_j)
+        assert {(a, b): n for a, b, n in zip(*(v.tolist() for v in got), strict=True)} == {p: n for p, n in want.items() if n}
+
+
 def test_copies_of_a_text_are_tied_to_the_smallest_id(spark):
     rng = random.Random(12)
     one, short = sentence(rng, 60), sentence(rng, 20)
