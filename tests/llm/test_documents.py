@@ -433,6 +433,44 @@ def test_common_counts_equal_brute_force():
         assert {(a, b): n for a, b, n in zip(*(v.tolist() for v in got), strict=True)} == {p: n for p, n in want.items() if n}
 
 
+def test_places_are_packed_and_unpacked():
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(5)
+    parts = []
+    for block in (0, 6):
+        doc = np.sort(rng.choice(rng.integers(-(1 << 62), 1 << 62, 40), 500))
+        at, key, texts = (rng.integers(0, top, 500).astype(np.int32) for top in (20_000, 700_000, 30))
+        parts.append((block, doc, at, key, texts))
+    rows = pd.DataFrame([(0, p[0], *substring_dedup.packed_places(*p[1:])) for p in parts], columns=["task", "block", *substring_dedup.PACKED])
+    got = substring_dedup.unpacked_places(rows, 7)
+    for column, values in zip((0, 1, 3), (1, 2, 4), strict=True):
+        assert (got[column] == np.concatenate([p[values] for p in parts])).all()
+    assert (got[2] == np.concatenate([p[3].astype(np.int64) * 7 + p[0] for p in parts])).all()
+
+
+def test_exchanges_take_no_disk_once_they_are_written(spark, tmp_path):
+    from pathlib import Path
+
+    from ledgerloom.session import durable, free_shuffles
+
+    before = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    folders = [Path(f"{x}") for x in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()]
+    size = lambda: sum(f.stat().st_size for d in folders for f in d.rglob("shuffle_*"))
+    try:
+        held = size()
+        wide = free_shuffles(spark).range(300_000).withColumn("t", F.sha2(F.col("id").cast("string"), 256))
+        assert durable(wide.repartition(4, "t")).count() == 300_000
+        for _ in range(50):
+            if size() <= held + (1 << 20):
+                break
+            __import__("time").sleep(0.2)
+        assert size() <= held + (1 << 20)
+    finally:
+        spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", before)
+
+
 def test_copies_of_a_text_are_tied_to_the_smallest_id(spark):
     rng = random.Random(12)
     one, short = sentence(rng, 60), sentence(rng, 20)
