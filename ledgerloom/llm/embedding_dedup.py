@@ -34,6 +34,8 @@ STEP = 1024  # rows of one product
 PER_CELL = 4096  # vectors of a cell, about
 MAX_CELLS = 4096  # centres are sent to all tasks
 SAMPLE = 20_000
+SCORES = 1 << 20  # products with centres that are held at once
+SENT = 8192  # rows of a batch of assigned vectors
 
 
 def spherical_kmeans(sample: np.ndarray, cells: int, rounds: int = 10, seed: int = 11) -> np.ndarray:
@@ -41,8 +43,9 @@ def spherical_kmeans(sample: np.ndarray, cells: int, rounds: int = 10, seed: int
     unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
     start = np.random.default_rng(seed).choice(len(unit), min(cells, len(unit)), replace=False)
     centres = unit[np.sort(start)]
+    step = max(1, SCORES // max(1, len(centres)))
     for _ in range(rounds):
-        home = np.argmax(unit @ centres.T, axis=1)
+        home = np.concatenate([np.argmax(unit[i : i + step] @ centres.T, axis=1) for i in range(0, len(unit), step)])
         sums = np.zeros_like(centres)
         np.add.at(sums, home, unit)
         norms = np.linalg.norm(sums, axis=1, keepdims=True)
@@ -55,13 +58,22 @@ def cells_of(unit: np.ndarray, centres: np.ndarray, threshold: float) -> tuple[n
     near = unit @ centres.T
     home = np.argmax(near, axis=1)
     chord = np.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9
-    apart = np.sqrt(np.maximum(0, 2 - 2 * centres @ centres.T))[home]
+    apart = np.sqrt(np.maximum(0, 2 - 2 * centres[home] @ centres.T))
     inside = near[np.arange(len(unit)), home][:, None] - near <= chord * apart + 1e-9
     inside[np.arange(len(unit)), home] = True
     row, cell = np.nonzero(inside)
     return row, cell, cell == home[row]
 
 
+def assigned(unit: np.ndarray, centres: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, cell, at home) of many vectors, some at once: a vector may be in every cell, however many there are."""
+    step = max(1, SCORES // len(centres))
+    for first in range(0, len(unit), step):
+        row, cell, home = cells_of(unit[first : first + step], centres, threshold)
+        for i in range(0, len(row), SENT):
+            yield row[i : i + SENT] + first, cell[i : i + SENT], home[i : i + SENT]
+
+
 def _united(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Component labels (smallest member) after also joining the pairs (i, j)."""
     while True:
@@ -162,14 +174,13 @@ def _products(classes: DataFrame, threshold: float, sample_rows: int) -> DataFra
                 continue
             unit = vectors.matrix(batch.column("v"))
             unit = unit / np.linalg.norm(unit, axis=1, keepdims=True)
-            row, cell, home = cells_of(unit, centres, threshold)
-            blobs = [u.tobytes() for u in unit]
-            take = pa.array(row)
-            yield pa.RecordBatch.from_pydict({
-                "label": batch.column("label").take(take), "cell": pa.array(cell, pa.int32()), "home": pa.array(home),
-                "rep": batch.column("rep").take(take), "copies": batch.column("copies").take(take),
-                "unit": pa.array([blobs[i] for i in row], pa.binary()),
-            })
+            for row, cell, home in assigned(unit, centres, threshold):
+                take = pa.array(row)
+                yield pa.RecordBatch.from_pydict({
+                    "label": batch.column("label").take(take), "cell": pa.array(cell, pa.int32()), "home": pa.array(home),
+                    "rep": batch.column("rep").take(take), "copies": batch.column("copies").take(take),
+                    "unit": vectors.blobs(unit[row]),
+                })
 
     kind = classes.schema["label"].dataType.simpleString()
     cells = classes.select("label", "rep", "copies", "v").mapInArrow(

@@ -21,6 +21,13 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
+def blobs(rows: np.ndarray) -> pa.Array:
+    """Rows as binaries, which :func:`stacked` reads."""
+    width = rows.shape[1] * rows.itemsize
+    offsets = np.arange(len(rows) + 1, dtype=np.int32) * np.int32(width)
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
 def stacked(blobs, dtype=np.float64) -> np.ndarray:
     """Rows of a column of equally long binaries."""
     data = np.frombuffer(b"".join(blobs), dtype=dtype)

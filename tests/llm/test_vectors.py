@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import ann, embedding_dedup
+from ledgerloom.llm import ann, embedding_dedup, vectors
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
 
@@ -164,3 +164,23 @@ def test_search_of_odd_rows(odd):
 def test_hadamard_is_orthogonal():
     h = ann.hadamard(np.eye(16))
     assert np.allclose(h @ h.T, np.eye(16)) and np.allclose(np.abs(h), 0.25)
+
+
+def test_vectors_of_many_cells_are_assigned_in_bounded_memory():
+    """Vectors without clusters are guests in nearly every cell: what is held at once grows neither with cells nor with vectors."""
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    unit, centres = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (rng.normal(size=(n, 32)) for n in (5000, 2000)))
+    few = [np.concatenate(c) for c in zip(*embedding_dedup.assigned(unit[:600], centres, 0.93), strict=True)]
+    assert all((a == b).all() for a, b in zip(few, embedding_dedup.cells_of(unit[:600], centres, 0.93), strict=True))
+    tracemalloc.start()
+    rows = homes = 0
+    for row, _, home in embedding_dedup.assigned(unit, centres, 0.93):
+        assert len(row) <= embedding_dedup.SENT
+        rows += len(row)
+        homes += home.sum()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert homes == len(unit) and rows > 5 * len(unit) and peak < 100 << 20
+    assert (vectors.stacked(vectors.blobs(unit).to_pylist()) == unit).all()
